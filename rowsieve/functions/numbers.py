@@ -29,10 +29,12 @@ def is_float_text(text: Column) -> Column:
     return text.rlike(FLOAT_TEXT)
 
 
-def is_nan_text(text: Column) -> Column:
-    return text.rlike(NAN_TEXT)
-
-
 def text_to_double(text: Column) -> Column:
-    """Value of text already known to fit ``FLOAT_TEXT`` (ASCII digits), else NULL."""
-    return F.translate(text, WHITESPACE + "_", "").try_cast("double")
+    """The number ``float()`` makes of the text, NULL where it makes none.
+
+    Digits of other scripts, which Python also reads, give NULL.
+    """
+    bare = F.translate(text, WHITESPACE + "_", "")
+    return F.when(text.rlike(NAN_TEXT), F.lit(float("nan"))).when(
+        is_float_text(text), bare.try_cast("double")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,22 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+# A way to use a costly value at several places of an expression.
+Let = Callable[[Column, Callable[[Column], Column]], Column]
+
+
+def inline(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` as it stands. In a projection Spark works out the repeated value
+    once and all of it is compiled."""
+    return body(value)
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once wherever it is used. In a filter,
+    where Spark shares nothing, this saves more than its interpreted body costs."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_blank(text: Column) -> Column:
     """Empty or only whitespace. Left trim stops at the first other character."""
     return F.ltrim(text, F.lit(WHITESPACE)) == F.lit("")
@@ -40,24 +58,17 @@ def is_missing(value: Column, dtype: T.DataType) -> Column:
 def _float_text(value: Column) -> Column:
     """Doubles as Python prints them: plain from 1e-4 up to 1e16, else like ``1e-05``."""
     number = value.cast("double")
-    java = number.cast("string")
     size = F.abs(number)
-    digits = F.regexp_replace(number.try_cast("decimal(38,21)").cast("string"), r"0+\z", "")
-    plain = F.regexp_replace(digits, r"\.\z", ".0")
-    mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0\z", "")
-    power = F.substring_index(java, "E", -1)
-    power_digits = F.ltrim(power, F.lit("-"))
-    exponent = F.concat(
-        F.when(power.startswith("-"), F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.length(power_digits) < 2, F.lit("0")).otherwise(F.lit("")),
-        power_digits,
-    )
+    java = number.cast("string")
+    digits = number.try_cast("decimal(38,21)").cast("string")
+    power = F.regexp_replace(java, r"(?:\.0)?E(\d)", "e+$1")
+    power = F.regexp_replace(power, r"(?:\.0)?E-(\d)\z", "e-0$1")
+    power = F.regexp_replace(power, r"(?:\.0)?E-", "e-")
+    special = F.replace(F.replace(power, F.lit("NaN"), F.lit("nan")), F.lit("Infinity"), F.lit("inf"))
     return (
-        F.when(F.isnan(number), F.lit("nan"))
-        .when(size == float("inf"), F.when(number > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(F.concat(mantissa, exponent))
+        F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
+        .when((size >= 1e-4) & (size < 1e16), F.regexp_replace(digits, r"(\.\d+?)0+\z", "$1"))
+        .otherwise(special)
     )
 
 
@@ -68,7 +79,7 @@ def as_text(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType):
         return F.when(value, F.lit("True")).when(~value, F.lit("False"))
     if isinstance(dtype, FLOATING):
-        return F.when(value.isNotNull(), _float_text(value))
+        return _float_text(value)
     if isinstance(dtype, TIMESTAMPS):
         whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
         exact = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")

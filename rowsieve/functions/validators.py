@@ -1,7 +1,8 @@
 """Validity validators and the registry of custom checks.
 
-A validator takes ``(value, dtype, params)`` and gives the Column that is TRUE for rows
-which FAIL. The caller guards against NULL, so NULL here counts as failing.
+A validator takes ``(value, dtype, params, let)`` and gives the Column that is TRUE for
+rows which FAIL and never NULL; ``let`` says how to use a value more than once. A custom
+check takes ``(value, dtype, params)``, and where it gives NULL the row fails.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import types as T
 
 from rowsieve.functions import identifiers, numbers
 from rowsieve.functions.patterns import full_match_pattern
-from rowsieve.functions.text import COMPLEX, FLOATING, TIMESTAMPS, as_text
+from rowsieve.functions.text import COMPLEX, FLOATING, TIMESTAMPS, Let, as_text
 from rowsieve.rules import BUILTIN_TYPES, RuleError
 
-Validator = Callable[[Column, T.DataType, Mapping[str, Any]], Column]
+Params = Mapping[str, Any]
+Validator = Callable[[Column, T.DataType, Params, Let], Column]
+CustomCheck = Callable[[Column, T.DataType, Params], Column]
 
 _NUMERIC = (T.IntegralType, T.DecimalType, *FLOATING)
 
@@ -29,7 +32,7 @@ def _fails(passes: Column) -> Column:
     return ~F.coalesce(passes, F.lit(False))
 
 
-def _regex(value: Column, dtype: T.DataType, params: Mapping[str, Any]) -> Column:
+def _regex(value: Column, dtype: T.DataType, params: Params, let: Let) -> Column:
     pattern = full_match_pattern(str(params.get("pattern", "")))
     return _fails(as_text(value, dtype).rlike(pattern))
 
@@ -70,7 +73,7 @@ def _is_number(item: Any) -> bool:
     return isinstance(item, (bool, int, float, decimal.Decimal))
 
 
-def _enum(value: Column, dtype: T.DataType, params: Mapping[str, Any]) -> Column:
+def _enum(value: Column, dtype: T.DataType, params: Params, let: Let) -> Column:
     allowed = list(params.get("allowed_values", ()))
     matching = (_comparable(item, dtype) for item in allowed)
     literals = list(dict.fromkeys(item for item in matching if item is not None))
@@ -83,7 +86,7 @@ def _enum(value: Column, dtype: T.DataType, params: Mapping[str, Any]) -> Column
     return ~passes
 
 
-def _dtype(value: Column, dtype: T.DataType, params: Mapping[str, Any]) -> Column:
+def _dtype(value: Column, dtype: T.DataType, params: Params, let: Let) -> Column:
     wanted = str(params.get("expected_type", "str"))
     if wanted not in ("int", "float"):
         return value.isNull()
@@ -97,30 +100,27 @@ def _dtype(value: Column, dtype: T.DataType, params: Mapping[str, Any]) -> Colum
     return F.lit(True)
 
 
-def _range(value: Column, dtype: T.DataType, params: Mapping[str, Any]) -> Column:
+def _range(value: Column, dtype: T.DataType, params: Params, let: Let) -> Column:
     low, high = (_bound(params, name) for name in ("min_value", "max_value"))
+    def inside(number: Column) -> Column:
+        within = number.isNotNull()
+        if low is not None:
+            within = within & (number >= low)
+        if high is not None:
+            within = within & (number <= high)
+        # NaN lies beyond no bound in Python, while Spark sorts it above every number.
+        return within | F.isnan(number)
+
     if isinstance(dtype, T.StringType):
-        number = numbers.text_to_double(value)
-        usable, unordered = numbers.is_float_text(value), numbers.is_nan_text(value)
-    elif isinstance(dtype, T.BooleanType):
-        number = value.cast("int").cast("double")
-        usable, unordered = value.isNotNull(), F.lit(False)
-    elif isinstance(dtype, _NUMERIC):
-        number = value.cast("double")
-        usable = value.isNotNull()
-        unordered = F.isnan(number) if isinstance(dtype, FLOATING) else F.lit(False)
-    else:
-        return F.lit(True)
-    inside = F.lit(True)
-    if low is not None:
-        inside = inside & (number >= low)
-    if high is not None:
-        inside = inside & (number <= high)
-    # NaN lies beyond no bound in Python, while Spark sorts it above every number.
-    return _fails(usable & (unordered | inside))
-
-
-def _bound(params: Mapping[str, Any], name: str) -> float | None:
+        return _fails(let(numbers.text_to_double(value), inside))
+    if isinstance(dtype, T.BooleanType):
+        return _fails(inside(value.cast("int").cast("double")))
+    if isinstance(dtype, _NUMERIC):
+        return _fails(inside(value.cast("double")))
+    return F.lit(True)
+
+
+def _bound(params: Params, name: str) -> float | None:
     if name not in params:
         return None
     try:
@@ -130,8 +130,8 @@ def _bound(params: Mapping[str, Any], name: str) -> float | None:
     return None if bound != bound else bound
 
 
-def _identifier(valid: Callable[[Column], Column]) -> Validator:
-    return lambda value, dtype, params: _fails(valid(as_text(value, dtype)))
+def _identifier(valid: Callable[[Column, Let], Column]) -> Validator:
+    return lambda value, dtype, params, let: _fails(valid(as_text(value, dtype), let))
 
 
 # Validator names and their aliases.
@@ -147,7 +147,7 @@ VALIDATORS: dict[str, Validator] = {
 }
 ALIASES = {"tc_kimlik": "tckn", "vergi_no": "vkn", "iban": "tr_iban", "telefon": "phone_tr"}
 
-_CUSTOM: dict[str, Validator] = {}
+_CUSTOM: dict[str, CustomCheck] = {}
 
 
 def validator_name(raw: Any) -> str:
@@ -162,7 +162,7 @@ def validator_for(raw: Any) -> Validator:
     return VALIDATORS[name]
 
 
-def register_check(type_name: str, fails: Validator) -> None:
+def register_check(type_name: str, fails: CustomCheck) -> None:
     """Add a rule type whose rows fail where ``fails(value, dtype, params)`` is TRUE."""
     name = type_name.lower()
     if name in BUILTIN_TYPES:
@@ -170,7 +170,7 @@ def register_check(type_name: str, fails: Validator) -> None:
     _CUSTOM[name] = fails
 
 
-def custom_checks() -> dict[str, Validator]:
+def custom_checks() -> dict[str, CustomCheck]:
     return dict(_CUSTOM)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsieve.functions.patterns import check_patterns, full_match_pattern
-from rowsieve.functions.text import is_missing, named
+from rowsieve.functions.text import bind, inline, is_missing, named
 from rowsieve.functions.validators import (
     custom_checks,
     reject_complex,
@@ -23,8 +23,9 @@ from rowsieve.rules import DEFAULT_THRESHOLD, Rule, RuleError
 class Check:
     """A rule bound to a table.
 
-    ``fails`` is set for rules that judge a row by itself, ``keys`` for uniqueness, and
-    neither for a rule whose column is absent (``absent`` then names it).
+    ``fails`` is set for rules that judge a row by itself, in one form for projections
+    and aggregates and in another, ``fails_in_filter``, for filters. ``keys`` is set for
+    uniqueness, and neither for a rule whose column is absent (``absent`` then names it).
     """
 
     position: int
@@ -32,6 +33,7 @@ class Check:
     threshold: float
     column: str | None
     fails: Column | None = None
+    fails_in_filter: Column | None = None
     keys: tuple[str, ...] = ()
     absent: str | None = None
 
@@ -64,18 +66,21 @@ def compile_checks(
             raise RuleError(f"rule {rule.id!r} of type {rule.type!r} needs 'column'")
         value, dtype = named(rule.column), types[rule.column]
         if rule.type == "completeness":
-            fails = is_missing(value, dtype)
+            fails = in_filter = is_missing(value, dtype)
         elif rule.type == "validity":
             if not rule.validator:
                 raise RuleError(f"rule {rule.id!r} names no validator")
             reject_complex(dtype, rule.id)
-            fails = validator_for(rule.validator)(value, dtype, rule.params)
+            validator = validator_for(rule.validator)
+            fails = validator(value, dtype, rule.params, inline)
+            in_filter = validator(value, dtype, rule.params, bind)
             if validator_name(rule.validator) == "regex":
                 patterns.append(full_match_pattern(str(rule.params.get("pattern", ""))))
         elif rule.type in custom:
             fails = F.coalesce(custom[rule.type](value, dtype, rule.params), F.lit(True))
+            in_filter = fails
         else:
             raise RuleError(f"rule {rule.id!r} has unknown type {rule.type!r}")
-        checks.append(Check(position, rule, threshold, rule.column, fails=fails))
+        checks.append(Check(position, rule, threshold, rule.column, fails, in_filter))
     check_patterns(df.sparkSession, dict.fromkeys(patterns))
     return checks

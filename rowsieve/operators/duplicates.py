@@ -63,19 +63,51 @@ def _key_names(keys: tuple[str, ...]) -> list[str]:
     return [f"__key_{place}" for place in range(len(keys))]
 
 
-def _order_value(order: list[str]) -> Column:
-    # A lone column stays bare: min() of a primitive runs in the hash aggregate, while a
-    # struct needs a sort.
-    return named(order[0]) if len(order) == 1 else F.struct(*[named(name) for name in order])
-
-
-def first_rows(df: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
-    """One row per key: the order of its first row and its number of rows."""
-    return (
-        df.select(*key_columns(df, keys), _order_value(order).alias("__order"))
-        .groupBy(*_key_names(keys))
-        .agg(F.min("__order").alias("__first"), F.count(F.lit(1)).alias("__n"))
+def _first_names(order: list[str]) -> list[str]:
+    return [f"__first_{place}" for place in range(len(order))]
+
+
+def _order_value(names: list[str]) -> Column:
+    # A lone column stays bare: min() of a primitive runs in the hash aggregate, while
+    # min() of a struct needs the rows sorted by key.
+    columns = [named(name).alias(f"o{place}") for place, name in enumerate(names)]
+    return columns[0] if len(columns) == 1 else F.struct(*columns)
+
+
+def _keys_and_order(df: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
+    return df.select(*key_columns(df, keys), _order_value(order).alias("__order"))
+
+
+def first_rows(
+    rows: DataFrame, keys: tuple[str, ...], order: list[str], least: int = 1
+) -> DataFrame:
+    """The order of the first row of each key that has at least ``least`` rows."""
+    found = rows.groupBy(*_key_names(keys)).agg(
+        F.min("__order").alias("__first"), F.count(F.lit(1)).alias("__n")
     )
+    first = F.col("__first")
+    parts = [first] if len(order) == 1 else [first[f"o{place}"] for place in range(len(order))]
+    return found.filter(F.col("__n") >= least).select(
+        *[F.col(name).alias(f"{name}_r") for name in _key_names(keys)],
+        *[part.alias(name) for part, name in zip(parts, _first_names(order), strict=True)],
+        F.lit(True).alias("__hit"),
+    )
+
+
+def _first_of_repeated(df: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
+    """First rows of the keys seen more than once, which are known to be few.
+
+    With several order columns the rows of other keys are dropped before the aggregate,
+    by a count that hashes, so that only a few rows are ever sorted.
+    """
+    rows = _keys_and_order(df, keys, order)
+    if len(order) == 1:
+        return first_rows(rows, keys, order, least=2)
+    names = _key_names(keys)
+    repeated = rows.groupBy(*names).count().filter(F.col("count") > 1)
+    repeated = repeated.select(*[F.col(name).alias(f"{name}_r") for name in names])
+    suspects = rows.join(F.broadcast(repeated), _same(names), "left_semi")
+    return first_rows(suspects, keys, order)
 
 
 def fits_broadcast(
@@ -109,29 +141,25 @@ def mark_duplicates(
     """Adds the boolean ``flag``. ``duplicates`` is the known number of rows to mark."""
     if duplicates == 0:
         return df.withColumn(flag, F.lit(False))
-    firsts = first_rows(df, keys, order)
+    names, firsts = _key_names(keys), _first_names(order)
     here = _order_value(order)
-    names = _key_names(keys)
     keyed = df.withColumns(dict(zip(names, key_columns(df, keys), strict=True)))
     if fits_broadcast(df, keys, order, duplicates, broadcast_bytes):
-        repeated = _as_right_side(firsts.filter(F.col("__n") > 1), names)
-        matched = keyed.join(F.broadcast(repeated), _same(names), "left")
-        later = F.coalesce(here > F.col("__first"), F.lit(True))
+        leaders = F.broadcast(_first_of_repeated(df, keys, order))
+        matched = keyed.join(leaders, _same(names), "left")
+        later = F.coalesce(here > _order_value(firsts), F.lit(True))
         repeats = F.col("__hit").isNotNull() & later
     else:
+        leaders = first_rows(_keys_and_order(df, keys, order), keys, order)
+        at_first = [
+            named(name).eqNullSafe(F.col(first)) for name, first in zip(order, firsts, strict=True)
+        ]
         # The keys join in as well, so that an order value shared by two rows of
         # different keys cannot multiply rows.
-        on_order = here.eqNullSafe(F.col("__first")) & _same(names)
-        matched = keyed.join(_as_right_side(firsts, names), on_order, "left")
+        matched = keyed.join(leaders, reduce(and_, at_first) & _same(names), "left")
         repeats = F.col("__hit").isNull()
-    return matched.withColumn(flag, repeats).drop(
-        *names, *[f"{name}_r" for name in names], "__first", "__hit"
-    )
-
-
-def _as_right_side(firsts: DataFrame, names: list[str]) -> DataFrame:
-    renamed = [F.col(name).alias(f"{name}_r") for name in names]
-    return firsts.select(*renamed, "__first", F.lit(True).alias("__hit"))
+    extra = [*names, *[f"{name}_r" for name in names], *firsts, "__hit"]
+    return matched.withColumn(flag, repeats).drop(*extra)
 
 
 def _same(names: list[str]) -> Column:

@@ -63,14 +63,14 @@ def null_counts(df: DataFrame) -> DataFrame:
         batch = numbered[start : start + COLUMNS_PER_SCAN]
         counted = df.agg(
             F.count(F.lit(1)).alias("rows"),
-            *[F.count_if(named(name).isNull()).alias(f"nulls_{place}") for place, name in batch],
+            *[F.count(named(name)).alias(f"present_{place}") for place, name in batch],
         )
         rows = [
             F.struct(
                 F.lit(place).alias("column_position"),
                 F.lit(name).alias("column"),
                 F.col("rows").alias("row_count"),
-                F.col(f"nulls_{place}").alias("null_count"),
+                (F.col("rows") - F.col(f"present_{place}")).alias("null_count"),
             )
             for place, name in batch
         ]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rowsieve.functions.text import named
@@ -23,28 +23,45 @@ OUTCOME_COLUMN = "outcome"
 
 @dataclass(frozen=True)
 class Split:
-    """The table split in two. Each frame is lazy and reads the table once."""
+    """The table split in two. Each frame is lazy and reads the table once.
 
-    tagged: DataFrame
+    ``tagged`` is every row with its outcome and reasons; write it when both halves are
+    wanted, since that is a single pass.
+    """
+
+    flagged: DataFrame
     columns: list[str]
+    broken: Column
+    broken_in_filter: Column
+    reasons: Column
+
+    def _own(self) -> list[Column]:
+        return [named(name) for name in self.columns]
+
+    @property
+    def tagged(self) -> DataFrame:
+        outcome = F.when(self.broken, F.lit("quarantine")).otherwise(F.lit("clean"))
+        return self.flagged.select(
+            *self._own(),
+            outcome.alias(OUTCOME_COLUMN),
+            F.when(self.broken, self.reasons).alias(REASON_COLUMN),
+        )
 
     @property
     def clean(self) -> DataFrame:
-        kept = self.tagged.filter(F.col(OUTCOME_COLUMN) == "clean")
-        return kept.select(*[named(name) for name in self.columns])
+        return self.flagged.filter(~self.broken_in_filter).select(*self._own())
 
     @property
     def quarantine(self) -> DataFrame:
-        held = self.tagged.filter(F.col(OUTCOME_COLUMN) == "quarantine")
-        return held.select(*[named(name) for name in self.columns], REASON_COLUMN)
+        held = self.flagged.filter(self.broken_in_filter)
+        return held.select(*self._own(), self.reasons.alias(REASON_COLUMN))
 
     def counts(self) -> DataFrame:
         """One row: total, clean and quarantined rows."""
-        outcome = F.col(OUTCOME_COLUMN)
-        return self.tagged.agg(
+        return self.flagged.agg(
             F.count(F.lit(1)).alias("total_rows"),
-            F.count_if(outcome == "clean").alias("clean_rows"),
-            F.count_if(outcome == "quarantine").alias("quarantine_rows"),
+            F.count_if(~self.broken).alias("clean_rows"),
+            F.count_if(self.broken).alias("quarantine_rows"),
         )
 
 
@@ -88,13 +105,16 @@ def split(
         placed, order = with_row_order(df, order_by)
     failed = {row["rule_position"]: row["failed_count"] for row in verdicts}
     flagged, flags = with_flags(placed, active, order, failed, broadcast_bytes)
-    broken = reduce(or_, flags.values(), F.lit(False))
+    in_filter = {
+        check.position: check.fails_in_filter for check in active if check.fails is not None
+    }
     reasons = [
         F.when(flags[check.position], reason_text(df, check, labels)) for check in active
     ]
-    tagged = flagged.select(
-        *[named(name) for name in df.columns],
-        F.when(broken, F.lit("quarantine")).otherwise(F.lit("clean")).alias(OUTCOME_COLUMN),
-        F.when(broken, F.concat_ws(" | ", *reasons)).alias(REASON_COLUMN),
+    return Split(
+        flagged,
+        df.columns,
+        reduce(or_, flags.values(), F.lit(False)),
+        reduce(or_, {**flags, **in_filter}.values(), F.lit(False)),
+        F.concat_ws(" | ", *reasons),
     )
-    return Split(tagged, df.columns)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsieve.functions.text import as_text, is_blank, named
+from rowsieve.functions.text import as_text, is_missing, named
 from rowsieve.operators.checks import Check, compile_checks
 from rowsieve.operators.duplicates import (
     BROADCAST_BYTES,
@@ -45,10 +47,8 @@ def shown_value(df: DataFrame, columns: Sequence[str], blank: str) -> Column:
 
 
 def _quoted(value: Column, dtype: T.DataType, blank: str) -> Column:
-    text = as_text(value, dtype)
-    return F.when(text.isNull() | is_blank(text), F.lit(blank)).otherwise(
-        F.concat(F.lit("'"), text, F.lit("'"))
-    )
+    quoted = F.concat(F.lit("'"), as_text(value, dtype), F.lit("'"))
+    return F.when(is_missing(value, dtype), F.lit(blank)).otherwise(quoted)
 
 
 def reason_text(df: DataFrame, check: Check, labels: Labels) -> Column:
@@ -123,6 +123,11 @@ def violations(
         {check.position: counts[check.keys] for check in unique},
         broadcast_bytes,
     )
+    broken = [
+        flags[check.position] if check.fails is None else check.fails_in_filter
+        for check in checks
+        if check.position in flags
+    ]
     entries = [
         F.when(
             flags[check.position],
@@ -143,6 +148,7 @@ def violations(
     if not entries:
         raise ValueError("no rule applies to this table")
     places = [named(name) for name in order]
-    found = F.array_compact(F.array(*entries))
-    listed = flagged.select(*places, F.explode(found).alias("__found"))
-    return listed.select(*places, "__found.*")
+    listed = flagged.filter(reduce(or_, broken)).select(
+        *places, F.explode(F.array(*entries)).alias("__found")
+    )
+    return listed.filter(F.col("__found").isNotNull()).select(*places, "__found.*")

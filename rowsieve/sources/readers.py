@@ -65,7 +65,8 @@ def read_csv(
     Types are the narrowest each whole column fits, which costs one extra pass; give a
     ``schema`` to save it. Columns in ``keep_text`` stay text, so that identifiers keep
     their leading zeros and plus signs. Quoted line breaks need ``multi_line``, which
-    makes each file one task.
+    makes each file one task. Code pages other than the Unicode ones and Latin-1, such as
+    windows-1254, need ``spark.sql.legacy.javaCharsets=true`` in the session.
     """
     reader = spark.read.options(
         header=True, sep=sep, encoding=encoding, multiLine=multi_line, quote='"', escape='"'
