@@ -24,6 +24,13 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def sql_text(value: str | None) -> str:
+    """A string as a SQL literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 # A way to use a costly value at several places of an expression.
 Let = Callable[[Column, Callable[[Column], Column]], Column]
 

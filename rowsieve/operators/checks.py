@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +34,14 @@ class Check:
     threshold: float
     column: str | None
     fails: Column | None = None
-    fails_in_filter: Column | None = None
+    for_filter: Callable[[], Column] | None = None
     keys: tuple[str, ...] = ()
     absent: str | None = None
 
+    @cached_property
+    def fails_in_filter(self) -> Column | None:
+        return self.fails if self.for_filter is None else self.for_filter()
+
     @property
     def flag(self) -> str:
         return f"__fails_{self.position}"
@@ -66,21 +71,21 @@ def compile_checks(
             raise RuleError(f"rule {rule.id!r} of type {rule.type!r} needs 'column'")
         value, dtype = named(rule.column), types[rule.column]
         if rule.type == "completeness":
-            fails = in_filter = is_missing(value, dtype)
+            fails, for_filter = is_missing(value, dtype), None
         elif rule.type == "validity":
             if not rule.validator:
                 raise RuleError(f"rule {rule.id!r} names no validator")
             reject_complex(dtype, rule.id)
             validator = validator_for(rule.validator)
             fails = validator(value, dtype, rule.params, inline)
-            in_filter = validator(value, dtype, rule.params, bind)
+            for_filter = partial(validator, value, dtype, rule.params, bind)
             if validator_name(rule.validator) == "regex":
                 patterns.append(full_match_pattern(str(rule.params.get("pattern", ""))))
         elif rule.type in custom:
             fails = F.coalesce(custom[rule.type](value, dtype, rule.params), F.lit(True))
-            in_filter = fails
+            for_filter = None
         else:
             raise RuleError(f"rule {rule.id!r} has unknown type {rule.type!r}")
-        checks.append(Check(position, rule, threshold, rule.column, fails, in_filter))
+        checks.append(Check(position, rule, threshold, rule.column, fails, for_filter))
     check_patterns(df.sparkSession, dict.fromkeys(patterns))
     return checks

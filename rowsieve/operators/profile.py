@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsieve.functions.text import FLOATING, as_text, named
+from rowsieve.functions.text import FLOATING, as_text, named, sql_text
 from rowsieve.rules import ID_WORDS
 
 KIND_ROWS = 10
@@ -66,15 +66,11 @@ def null_counts(df: DataFrame) -> DataFrame:
             *[F.count(named(name)).alias(f"present_{place}") for place, name in batch],
         )
         rows = [
-            F.struct(
-                F.lit(place).alias("column_position"),
-                F.lit(name).alias("column"),
-                F.col("rows").alias("row_count"),
-                (F.col("rows") - F.col(f"present_{place}")).alias("null_count"),
-            )
+            f"named_struct('column_position', {place}, 'column', {sql_text(name)}, "
+            f"'row_count', rows, 'null_count', rows - present_{place})"
             for place, name in batch
         ]
-        parts.append(counted.select(F.inline(F.array(*rows))))
+        parts.append(counted.selectExpr(f"inline(array({', '.join(rows)}))"))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -110,29 +106,28 @@ def _looks(df: DataFrame, order_by: Sequence[str] | None) -> DataFrame:
     gathered = F.collect_list("row")
     packed = head.agg((F.array_sort(gathered) if rank else gathered).alias(_HEAD))
     rows = [
-        F.struct(
-            F.lit(place).alias("column_position"),
-            _kind(field.dataType, _values(f"c{place}", KIND_ROWS)).alias("kind"),
-            _values(f"c{place}", SAMPLE_ROWS).alias("sample"),
-        )
+        f"named_struct('column_position', {place}, "
+        f"'kind', {_kind(field.dataType, _values(place, KIND_ROWS))}, "
+        f"'sample', {_values(place, SAMPLE_ROWS)})"
         for place, field in enumerate(fields, start=1)
     ]
-    return packed.select(F.inline(F.array(*rows)))
+    return packed.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _values(column: str, rows: int) -> Column:
-    return F.array_compact(F.slice(F.col(_HEAD).getField(column), 1, rows))
+def _values(place: int, rows: int) -> str:
+    """The texts of one column in the first rows, without the missing ones."""
+    return f"array_compact(slice({_HEAD}.c{place}, 1, {rows}))"
 
 
-def _kind(dtype: T.DataType, values: Column) -> Column:
-    first = F.get(values, F.lit(0))
+def _kind(dtype: T.DataType, values: str) -> str:
+    first = f"get({values}, 0)"
     if isinstance(dtype, T.BooleanType):
-        known = F.lit("boolean")
+        known = "'boolean'"
     elif isinstance(dtype, (T.IntegralType, T.DecimalType, *FLOATING)):
-        known = F.lit("number")
+        known = "'number'"
     elif isinstance(dtype, T.StringType):
-        dated = first.rlike(DATE_MARKS) & (F.length(first) >= DATE_LENGTH)
-        known = F.when(dated, F.lit("date")).otherwise(F.lit("text"))
+        dated = f"{first} RLIKE '{DATE_MARKS}' AND length({first}) >= {DATE_LENGTH}"
+        known = f"CASE WHEN {dated} THEN 'date' ELSE 'text' END"
     else:
-        known = F.lit("unknown")
-    return F.when(first.isNull(), F.lit("unknown")).otherwise(known)
+        known = "'unknown'"
+    return f"CASE WHEN {first} IS NULL THEN 'unknown' ELSE {known} END"

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsieve.functions.text import named, narrow_key
+from rowsieve.functions.text import named, narrow_key, sql_text
 from rowsieve.operators.checks import Check, compile_checks
 from rowsieve.rules import DEFAULT_THRESHOLD, Rule
 
@@ -51,9 +51,8 @@ def results_of(df: DataFrame, checks: list[Check]) -> DataFrame:
     parts += [_count_duplicates(df, keys, group) for keys, group in by_keys.items()]
     skipped = [check for check in checks if check.absent is not None]
     if skipped:
-        nothing = F.lit(0).cast("bigint")
         one_row = df.sparkSession.range(1, numPartitions=1)
-        parts.append(_as_rows(one_row, [(check, nothing, nothing) for check in skipped]))
+        parts.append(_as_rows(one_row, [(check, "0L", "0L") for check in skipped]))
     counted = reduce(DataFrame.unionByName, parts)
     # Every part is a finished aggregate of a few rows, so one partition orders them all
     # without the extra shuffle a range-partitioned sort would plan.
@@ -65,7 +64,7 @@ def _count_row_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         *[F.count_if(check.fails).alias(check.flag) for check in checks],
     )
-    return _as_rows(counted, [(check, F.col(check.flag), F.col("total")) for check in checks])
+    return _as_rows(counted, [(check, check.flag, "total") for check in checks])
 
 
 def key_columns(df: DataFrame, keys: tuple[str, ...]) -> list[Column]:
@@ -82,33 +81,29 @@ def _count_duplicates(df: DataFrame, keys: tuple[str, ...], checks: list[Check])
         .groupBy(*[f"__key_{place}" for place in range(len(keys))])
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    none = F.lit(0).cast("bigint")
-    counted = per_key.agg(
-        F.coalesce(F.sum(F.col("n") - 1), none).alias("failed"),
-        F.coalesce(F.sum("n"), none).alias("total"),
+    counted = per_key.selectExpr(
+        "coalesce(sum(n - 1), 0L) AS failed", "coalesce(sum(n), 0L) AS total"
     )
-    return _as_rows(counted, [(check, F.col("failed"), F.col("total")) for check in checks])
+    return _as_rows(counted, [(check, "failed", "total") for check in checks])
 
 
-def _as_rows(counted: DataFrame, cells: list[tuple[Check, Column, Column]]) -> DataFrame:
-    """One row of counts becomes one row per check, with the rule's own facts as literals."""
+def _as_rows(counted: DataFrame, cells: list[tuple[Check, str, str]]) -> DataFrame:
+    """One row of counts becomes one row per check, with the rule's own facts as literals.
+
+    Given as SQL text: a Column call for each of these cells would cost more driver time
+    than the plan they make.
+    """
     structs = [
-        F.struct(
-            F.lit(check.position).alias("rule_position"),
-            F.lit(check.rule.id).alias("rule_id"),
-            F.lit(check.rule.name).alias("rule_name"),
-            F.lit(check.rule.type).alias("rule_type"),
-            F.lit(check.column).cast("string").alias("column"),
-            F.lit(check.threshold).cast("double").alias("threshold"),
-            failed.alias("failed_count"),
-            total.alias("total_count"),
-            F.lit(check.rule.severity).alias("severity"),
-            F.lit(check.absent is not None).alias("skipped"),
-            F.lit(_subject(check)).alias("subject"),
-        )
+        "named_struct("
+        f"'rule_position', {check.position}, 'rule_id', {sql_text(check.rule.id)}, "
+        f"'rule_name', {sql_text(check.rule.name)}, 'rule_type', {sql_text(check.rule.type)}, "
+        f"'column', {sql_text(check.column)}, 'threshold', {float(check.threshold)!r}D, "
+        f"'failed_count', {failed}, 'total_count', {total}, "
+        f"'severity', {sql_text(check.rule.severity)}, "
+        f"'skipped', {check.absent is not None}, 'subject', {sql_text(_subject(check))})"
         for check, failed, total in cells
     ]
-    return counted.select(F.inline(F.array(*structs)))
+    return counted.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def _subject(check: Check) -> str:
@@ -121,37 +116,26 @@ def _subject(check: Check) -> str:
     return f"failing [{check.rule.type}]"
 
 
+SCORE = """
+    CASE WHEN skipped THEN 0D
+         WHEN total_count = 0 THEN 1D
+         ELSE CAST(total_count - failed_count AS DOUBLE) / CAST(total_count AS DOUBLE)
+    END AS score"""
+STATUS = """
+    CASE WHEN skipped THEN 'skipped'
+         WHEN score >= threshold THEN 'passed'
+         ELSE 'failed'
+    END AS status"""
+MESSAGE = """
+    CASE WHEN skipped THEN format_string('column %s is not in the table', column)
+         WHEN total_count = 0 THEN 'the table has no rows'
+         ELSE format_string(
+             '%d of %d rows %s (%.1f%%), score %.3f %s threshold %.3f',
+             failed_count, total_count, subject, failed_count * 100D / total_count, score,
+             CASE WHEN status = 'passed' THEN 'reaches' ELSE 'misses' END, threshold)
+    END AS message"""
+
+
 def _score(counted: DataFrame) -> DataFrame:
-    failed, total = F.col("failed_count"), F.col("total_count")
-    score = (
-        F.when(F.col("skipped"), F.lit(0.0))
-        .when(total == 0, F.lit(1.0))
-        .otherwise((total - failed).cast("double") / total.cast("double"))
-    )
-    status = (
-        F.when(F.col("skipped"), F.lit("skipped"))
-        .when(F.col("score") >= F.col("threshold"), F.lit("passed"))
-        .otherwise(F.lit("failed"))
-    )
-    message = (
-        F.when(F.col("skipped"), F.format_string("column %s is not in the table", F.col("column")))
-        .when(total == 0, F.lit("the table has no rows"))
-        .otherwise(
-            F.format_string(
-                "%d of %d rows %s (%.1f%%), score %.3f %s threshold %.3f",
-                failed,
-                total,
-                F.col("subject"),
-                failed * 100.0 / total,
-                F.col("score"),
-                F.when(F.col("status") == "passed", F.lit("reaches")).otherwise(F.lit("misses")),
-                F.col("threshold"),
-            )
-        )
-    )
-    return (
-        counted.withColumn("score", score)
-        .withColumn("status", status)
-        .withColumn("message", message)
-        .select(*RESULT_COLUMNS)
-    )
+    scored = counted.selectExpr("*", SCORE).selectExpr("*", STATUS).selectExpr("*", MESSAGE)
+    return scored.select(*RESULT_COLUMNS)
