@@ -15,9 +15,11 @@ from rowsieve.operators.report import blocking_failures, summarise, with_pass_ra
 from rowsieve.operators.split import Split, split
 from rowsieve.operators.validate import RESULT_COLUMNS, validate
 from rowsieve.operators.violations import violations
+from rowsieve.plans.cluster import shared_folder
 from rowsieve.plans.runs import run
 from rowsieve.rules import Rule, default_rules, rules_from_form
-from rowsieve.sources.readers import infer_types, null_nans, null_tokens
+from rowsieve.sources.readers import infer_types, null_nans, null_tokens, read
+from rowsieve.sources.writers import write_report, write_split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -296,6 +298,37 @@ def _inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _round_trip(fmt: str, **options) -> Query:
+    """Orders written as text files to the shared folder, read back and validated."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/orders_{fmt}"
+        orders = table(spark, sf_dir, "orders").drop("o_orderdate")
+        orders.write.mode("overwrite").option("header", True).format(fmt).save(path)
+        return compared(validate(read(spark, path, fmt, **options), ORDER_RULES))
+
+    return query
+
+
+def _sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{shared_folder(spark)}/customer_rows"
+    write_split(_customer_split(spark, sf_dir), root, "customer")
+    rows = spark.read.parquet(f"{root}/rows")
+    return rows.groupBy("run_id", "outcome").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count("violation_reasons").alias("reason_count"),
+        F.sum("c_custkey").alias("custkey_sum"),
+    )
+
+
+def _sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{shared_folder(spark)}/customer_report"
+    verdicts = validate(table(spark, sf_dir, "customer"), SPLIT_RULES).collect()
+    write_report(spark, verdicts, root, "customer", source="customer")
+    written = spark.read.json(f"{root}/results")
+    return written.select("run_id", "source", "rule_id", "status", "score", "failed_count")
+
+
 QUERIES: dict[str, Query] = {
     "completeness_gaps": checked("events", [rule("gap_present", "completeness", "gap")], "gap"),
     "completeness_full": checked(
@@ -414,4 +447,8 @@ QUERIES: dict[str, Query] = {
     "source_null_tokens": _null_tokens,
     "source_null_nans": _null_nans,
     "source_inferred_types": _inferred_types,
+    "source_csv": _round_trip("csv"),
+    "source_json": _round_trip("json", lines=True),
+    "sink_rows": _sink_rows,
+    "sink_report": _sink_report,
 }

@@ -573,4 +573,15 @@ ORACLE_SQL: dict[str, str] = {
         "'string' AS orderstatus_type, CAST(sum(o_orderkey) AS BIGINT) AS orderkey_sum, "
         "CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS totalprice_sum FROM orders"
     ),
+    "source_csv": _ORDER_RESULTS,
+    "source_json": _ORDER_RESULTS,
+    "sink_rows": (
+        f"SELECT 'customer' AS run_id, CASE WHEN {_HELD} THEN 'quarantine' ELSE 'clean' END "
+        f"AS outcome, count(*) AS row_count, count(*) FILTER (WHERE {_HELD}) AS reason_count, "
+        "CAST(sum(c_custkey) AS BIGINT) AS custkey_sum FROM customer GROUP BY ALL"
+    ),
+    "sink_report": (
+        "SELECT 'customer' AS run_id, 'customer' AS source, rule_id, status, "
+        f"round(score, 4) AS score, failed_count FROM ({_CUSTOMER_SPLIT_RESULTS}) AS results"
+    ),
 }

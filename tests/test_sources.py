@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowsieve import Rule, RuleError, load_rules, read, run, split, validate
+from rowsieve.plans.cluster import shared_folder, shuffle_settings
 from rowsieve.sources.readers import infer_types, null_nans, null_tokens, supports
 from rowsieve.sources.writers import write_split
 from rowsieve.streaming.batches import validate_stream
@@ -247,3 +248,15 @@ def test_stream_of_files(spark, tmp_path):
     rows = spark.read.parquet(f"{root}/rows")
     assert rows.filter(F.col("outcome") == "clean").count() == 3
     assert rows.filter(F.col("outcome") == "quarantine").count() == 2
+
+
+def test_shuffle_settings_grow_with_the_table():
+    assert shuffle_settings(10**9)["spark.sql.shuffle.partitions"] == "200"
+    assert int(shuffle_settings(100 * 10**12)["spark.sql.shuffle.partitions"]) > 300_000
+
+
+def test_shared_folder_follows_the_session(spark):
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(spark)
+    assert folder.startswith(root or "/")
+    assert folder == shared_folder(spark)
