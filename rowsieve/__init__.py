@@ -16,7 +16,7 @@ from rowsieve.rules import (
     rules_from_entries,
     rules_from_form,
 )
-from rowsieve.sources.readers import read
+from rowsieve.sources.readers import land, read
 
 __all__ = [
     "ENGLISH_LABELS",
@@ -28,6 +28,7 @@ __all__ = [
     "blocking_failures",
     "default_rules",
     "duplicate_rows",
+    "land",
     "load_rules",
     "profile",
     "read",

@@ -32,6 +32,10 @@ ENTRY_OVERHEAD_BYTES = 64
 FILE_POSITION = ("__file_path", "__row_index")
 
 
+class RowOrderError(ValueError):
+    """The first row of a key is asked for, but the rows have no order."""
+
+
 def with_row_order(df: DataFrame, order_by: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
     """The table and the columns giving its row order, which must be unique per row.
 
@@ -48,7 +52,7 @@ def with_row_order(df: DataFrame, order_by: Sequence[str] | None) -> tuple[DataF
         placed.schema  # noqa: B018 - forces analysis, which is where the columns may be missing
         return placed, list(FILE_POSITION)
     except AnalysisException as exc:
-        raise ValueError(
+        raise RowOrderError(
             "row order is needed to tell the first row from its duplicates: pass order_by, "
             "or read the table from Parquet"
         ) from exc
@@ -172,10 +176,13 @@ def duplicate_rows(
     keys: Sequence[str],
     order_by: Sequence[str] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    duplicates: int | None = None,
 ) -> DataFrame:
-    """The rows that repeat an earlier row's key. Counts the duplicates first (one job)."""
+    """The rows that repeat an earlier row's key. If their number is not given, for instance
+    from a uniqueness result, one job counts them first."""
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
     placed, order = with_row_order(df, order_by)
-    duplicates = count_duplicates(df, keys)
+    if duplicates is None:
+        duplicates = count_duplicates(df, keys)
     marked = mark_duplicates(placed, keys, order, "__duplicate", duplicates, broadcast_bytes)
     return marked.filter("__duplicate").select(*[named(name) for name in df.columns])

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,18 +100,24 @@ def violations(
     df: DataFrame,
     rules: Iterable[Rule],
     order_by: Sequence[str] | None = None,
+    results: DataFrame | Sequence[Row] | None = None,
     default_threshold: float = DEFAULT_THRESHOLD,
     labels: Labels = ENGLISH_LABELS,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The order columns of each failing row, once per broken rule, with value and reason.
 
-    One pass over the table for row rules; nothing is collected. Sort by the order columns
-    and ``rule_position`` if the listing is to be read in row order.
+    One pass over the table for row rules; nothing is collected but the verdicts. With
+    ``results`` the duplicates of uniqueness rules need no counting. Sort by the order
+    columns and ``rule_position`` if the listing is to be read in row order.
     """
     checks = compile_checks(df, rules, default_threshold)
-    unique = [check for check in checks if check.keys]
     counts: dict[tuple[str, ...], int] = {}
+    if results is not None:
+        verdicts = results.collect() if isinstance(results, DataFrame) else results
+        failed = {row["rule_position"]: row["failed_count"] for row in verdicts}
+        counts = {check.keys: failed[check.position] for check in checks if check.keys}
+    unique = [check for check in checks if check.keys]
     for check in unique:
         if check.keys not in counts:
             counts[check.keys] = count_duplicates(df, check.keys)

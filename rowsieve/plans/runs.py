@@ -8,11 +8,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
 
+from rowsieve.operators.duplicates import RowOrderError
 from rowsieve.operators.report import summarise
 from rowsieve.operators.split import Split, split
 from rowsieve.operators.validate import RESULT_SCHEMA, validate
 from rowsieve.operators.violations import ENGLISH_LABELS, Labels
+from rowsieve.plans.cluster import shared_folder
 from rowsieve.rules import DEFAULT_THRESHOLD, Rule, default_rules
+from rowsieve.sources.readers import land
 from rowsieve.sources.writers import write_report, write_split
 
 
@@ -40,14 +43,21 @@ def run(
 ) -> Run:
     """Without ``rules`` the default rules apply. With ``root`` report and rows are written.
 
-    The table is read once for the verdicts and once more for the rows.
+    The table is read once for the verdicts and once more for the rows. If duplicates have
+    to be told from first rows and nothing gives their order, the table is first landed as
+    Parquet in the shared folder, and positions there count.
     """
     chosen = default_rules(df) if rules is None else list(rules)
     verdicts = validate(df, chosen, default_threshold).collect()
     spark = df.sparkSession
     results = spark.createDataFrame(verdicts, RESULT_SCHEMA)
-    rows = split(df, chosen, verdicts, order_by, default_threshold, labels)
-    done = Run(run_id or str(uuid.uuid4()), verdicts, results, summarise(results), rows)
+    name = run_id or str(uuid.uuid4())
+    try:
+        rows = split(df, chosen, verdicts, order_by, default_threshold, labels)
+    except RowOrderError:
+        landed = land(df, f"{shared_folder(spark)}/landed/{name}")
+        rows = split(landed, chosen, verdicts, None, default_threshold, labels)
+    done = Run(name, verdicts, results, summarise(results), rows)
     if root is not None:
         origin = rules_source or ("default rules" if rules is None else "")
         write_report(spark, verdicts, root, done.run_id, source, origin)

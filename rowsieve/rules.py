@@ -57,14 +57,21 @@ class Rule:
         return default if self.threshold is None else self.threshold
 
 
-def rule_from_entry(entry: Mapping[str, Any], known_types: Iterable[str] = BUILTIN_TYPES) -> Rule:
+def known_types() -> set[str]:
+    """The built-in rule types and those registered as custom checks."""
+    from rowsieve.functions.validators import custom_checks
+
+    return {*BUILTIN_TYPES, *custom_checks()}
+
+
+def rule_from_entry(entry: Mapping[str, Any]) -> Rule:
     """Strict form: ``id``, ``name`` and ``type`` are required, severity defaults to error."""
     label = entry.get("id", "<no id>")
     absent = [name for name in ("id", "name", "type") if name not in entry]
     if absent:
         raise RuleError(f"rule {label!r} lacks {', '.join(absent)}")
     kind = str(entry["type"]).lower()
-    if kind not in set(known_types):
+    if kind not in known_types():
         raise RuleError(f"rule {label!r} has unknown type {kind!r}")
     severity = str(entry.get("severity", "error")).lower()
     if severity not in SEVERITIES:
@@ -84,17 +91,13 @@ def rule_from_entry(entry: Mapping[str, Any], known_types: Iterable[str] = BUILT
     )
 
 
-def rules_from_entries(
-    entries: Iterable[Mapping[str, Any]], known_types: Iterable[str] = BUILTIN_TYPES
-) -> list[Rule]:
-    return [rule_from_entry(entry, known_types) for entry in entries]
+def rules_from_entries(entries: Iterable[Mapping[str, Any]]) -> list[Rule]:
+    return [rule_from_entry(entry) for entry in entries]
 
 
-def rules_from_form(
-    entries: Iterable[Mapping[str, Any]], known_types: Iterable[str] = BUILTIN_TYPES
-) -> list[Rule]:
+def rules_from_form(entries: Iterable[Mapping[str, Any]]) -> list[Rule]:
     """Lenient form: missing parts take ``FORM_DEFAULTS``, unknown types are dropped."""
-    known = set(known_types)
+    known = known_types()
     rules = []
     for number, entry in enumerate(entries, start=1):
         filled = {**FORM_DEFAULTS, **entry}

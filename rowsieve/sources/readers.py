@@ -88,6 +88,13 @@ def read_json(
     return null_nans(reader.json(path, multiLine=not lines))
 
 
+def land(df: DataFrame, path: str) -> DataFrame:
+    """Write the table as Parquet and read it back. This gives rows of any source a lasting
+    order and later scans only the columns they need; ``path`` must be seen by all executors."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def null_nans(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in every floating column."""
     return df.select(
@@ -141,8 +148,8 @@ def _parse(text: Column, kind: str) -> Column:
 
 def _fits(text: Column) -> dict[str, Column]:
     whole = text.rlike(r"\A *[+-]?[0-9]+ *\z") & _parse(text, "bigint").isNotNull()
-    decimal = ~text.contains("_") & text.rlike(FLOAT_TEXT) & _parse(text, "double").isNotNull()
-    return {"bigint": whole, "double": decimal, "boolean": text.isin(*BOOLEAN_WORDS)}
+    decimal = text.rlike(FLOAT_TEXT) & ~text.contains("_") & _parse(text, "double").isNotNull()
+    return {"bigint": whole, "double": whole | decimal, "boolean": text.isin(*BOOLEAN_WORDS)}
 
 
 def _narrowest(df: DataFrame, names: list[str]) -> dict[str, str]:

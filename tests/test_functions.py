@@ -114,6 +114,7 @@ def mobile(text):
     return bool(re.fullmatch(r"(\+90|0)?5[0-9]{9}", re.sub(r"[\s()-]", "", text)))
 
 
+# Known good and bad identifiers, with some of our own at the end.
 NAMED = {
     "tckn": (
         identifiers.is_tckn,

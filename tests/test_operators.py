@@ -233,6 +233,9 @@ def test_custom_check(spark):
     df = spark.createDataFrame([(1,), (2,), (None,), (4,)], "v long")
     row = only(df, rule("even", "v"))
     assert (row.failed_count, row.total_count, row.rule_type) == (2, 4, "even")
+    made = rules_from_entries([{"id": "r", "name": "r", "type": "Even", "column": "v"}])
+    held = split(df, made).quarantine
+    assert sorted(row.violation_reasons for row in held.collect()) == ["[v] rule violated: r"] * 2
     with pytest.raises(RuleError):
         register_check("validity", lambda value, dtype, params: value)
 
@@ -411,6 +414,8 @@ def test_split_and_violations_against_brute_force(spark, limit):
     assert got == {(o, position) for position, rows in broken.items() for o in rows}
     assert listed.count() == len(got)
     results = validate(df, RANDOM_RULES).collect()
+    again = violations(df, RANDOM_RULES, ["o"], results, broadcast_bytes=limit)
+    assert sorted(again.collect()) == sorted(listed.collect())
     assert {row.rule_position: row.failed_count for row in results if row.status != "skipped"} == {
         position: len(rows) for position, rows in broken.items()
     }
