@@ -18,7 +18,7 @@ from rowsieve.operators.violations import ENGLISH_LABELS, Labels, reason_text, w
 from rowsieve.rules import DEFAULT_THRESHOLD, Rule
 
 REASON_COLUMN = "violation_reasons"
-OUTCOME_COLUMN = "outcome"
+OUTCOME_COLUMN = "sieve_outcome"
 
 
 @dataclass(frozen=True)
@@ -35,26 +35,28 @@ class Split:
     broken_in_filter: Column
     reasons: Column
 
-    def _own(self) -> list[Column]:
-        return [named(name) for name in self.columns]
+    def _besides_reasons(self) -> list[Column]:
+        """The table's columns, without the reasons of an earlier split."""
+        return [named(name) for name in self.columns if name != REASON_COLUMN]
 
     @property
     def tagged(self) -> DataFrame:
         outcome = F.when(self.broken, F.lit("quarantine")).otherwise(F.lit("clean"))
         return self.flagged.select(
-            *self._own(),
+            *self._besides_reasons(),
             outcome.alias(OUTCOME_COLUMN),
             F.when(self.broken, self.reasons).alias(REASON_COLUMN),
         )
 
     @property
     def clean(self) -> DataFrame:
-        return self.flagged.filter(~self.broken_in_filter).select(*self._own())
+        kept = self.flagged.filter(~self.broken_in_filter)
+        return kept.select(*[named(name) for name in self.columns])
 
     @property
     def quarantine(self) -> DataFrame:
         held = self.flagged.filter(self.broken_in_filter)
-        return held.select(*self._own(), self.reasons.alias(REASON_COLUMN))
+        return held.select(*self._besides_reasons(), self.reasons.alias(REASON_COLUMN))
 
     def counts(self) -> DataFrame:
         """One row: total, clean and quarantined rows."""

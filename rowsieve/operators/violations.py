@@ -103,13 +103,14 @@ def violations(
     results: DataFrame | Sequence[Row] | None = None,
     default_threshold: float = DEFAULT_THRESHOLD,
     labels: Labels = ENGLISH_LABELS,
+    in_row_order: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The order columns of each failing row, once per broken rule, with value and reason.
 
     One pass over the table for row rules; nothing is collected but the verdicts. With
-    ``results`` the duplicates of uniqueness rules need no counting. Sort by the order
-    columns and ``rule_position`` if the listing is to be read in row order.
+    ``results`` the duplicates of uniqueness rules need no counting. ``in_row_order`` adds
+    a sort by row order and rule.
     """
     checks = compile_checks(df, rules, default_threshold)
     counts: dict[tuple[str, ...], int] = {}
@@ -157,4 +158,5 @@ def violations(
     listed = flagged.filter(reduce(or_, broken)).select(
         *places, F.explode(F.array(*entries)).alias("__found")
     )
-    return listed.filter(F.col("__found").isNotNull()).select(*places, "__found.*")
+    listed = listed.filter(F.col("__found").isNotNull()).select(*places, "__found.*")
+    return listed.orderBy(*places, "rule_position") if in_row_order else listed

@@ -314,7 +314,7 @@ def _sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_folder(spark)}/customer_rows"
     write_split(_customer_split(spark, sf_dir), root, "customer")
     rows = spark.read.parquet(f"{root}/rows")
-    return rows.groupBy("run_id", "outcome").agg(
+    return rows.groupBy("run_id", F.col("sieve_outcome").alias("outcome")).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count("violation_reasons").alias("reason_count"),
         F.sum("c_custkey").alias("custkey_sum"),

@@ -290,6 +290,24 @@ def test_split_keeps_clean_rows_and_gives_reasons(people):
     assert tuple(parts.counts().first()) == (4, 2, 2)
 
 
+def test_quarantine_can_be_split_again(people):
+    held = split(people, PEOPLE_RULES).quarantine
+    parts = split(held, PEOPLE_RULES[:1])
+    assert parts.quarantine.columns == [*people.columns, "violation_reasons"]
+    assert ids(parts.quarantine) == [2]
+    assert parts.clean.first().violation_reasons == "[age] invalid value ('-5')"
+    assert parts.tagged.columns == [*people.columns, "sieve_outcome", "violation_reasons"]
+
+
+def test_violations_in_row_order(spark):
+    df = spark.createDataFrame([(3, None), (1, ""), (2, "x"), (4, None)], "o long, v string")
+    rules = [valid("v", "regex", pattern="[a-w]*"), rule("completeness", "v")]
+    listed = violations(df.repartition(3), rules, ["o"], in_row_order=True).collect()
+    assert [(row.o, row.rule_position) for row in listed] == [
+        (1, 2), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2),
+    ]
+
+
 def test_split_in_turkish(people):
     held = split(people, PEOPLE_RULES, labels=TURKISH_LABELS).quarantine
     reasons = {row.id: row.violation_reasons for row in held.collect()}
@@ -426,8 +444,8 @@ def test_split_and_violations_against_brute_force(spark, limit):
     assert {row.o for row in parts.clean.collect()} == {row[0] for row in data} - held
     assert parts.clean.count() + parts.quarantine.count() == len(data)
     assert tuple(parts.counts().first()) == (len(data), len(data) - len(held), len(held))
-    for row in parts.tagged.select("o", "outcome", "violation_reasons").collect():
-        assert (row.outcome == "quarantine") == (row.o in held)
+    for row in parts.tagged.select("o", "sieve_outcome", "violation_reasons").collect():
+        assert (row.sieve_outcome == "quarantine") == (row.o in held)
         count = sum(row.o in broken[position] for position in (1, 2, 3, 4))
         assert (row.violation_reasons or "").count("[") == count
 

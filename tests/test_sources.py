@@ -261,7 +261,7 @@ def test_report_and_rows_are_written_once_per_run(spark, tmp_path):
     assert (summary.overall_status, summary.overall_score, summary.source) == ("failed", 0.78, "people.csv")
     assert summary.executed_at
     rows = spark.read.parquet(f"{root}/rows")
-    counts = rows.groupBy("run_id", "outcome").count().orderBy("run_id", "outcome").collect()
+    counts = rows.groupBy("run_id", "sieve_outcome").count().orderBy("run_id", "sieve_outcome").collect()
     assert counts == [("one", "clean", 4), ("one", "quarantine", 6), ("two", "clean", 4), ("two", "quarantine", 6)]
 
 
@@ -302,8 +302,8 @@ def test_stream_of_files(spark, tmp_path):
         ("batch-000000000001", "u", 0),
     ]
     rows = spark.read.parquet(f"{root}/rows")
-    assert rows.filter(F.col("outcome") == "clean").count() == 3
-    assert rows.filter(F.col("outcome") == "quarantine").count() == 2
+    assert rows.filter(F.col("sieve_outcome") == "clean").count() == 3
+    assert rows.filter(F.col("sieve_outcome") == "quarantine").count() == 2
 
 
 def test_shuffle_settings_grow_with_the_table():
