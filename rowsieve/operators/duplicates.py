@@ -4,16 +4,17 @@ A window over the key would send all copies of a hot key to one task. Instead th
 row of each key is found by an aggregate, which merges copies before the shuffle, and
 the rows are compared with it:
 
-* few duplicates: only keys seen more than once are kept and broadcast. Their number
-  is at most the duplicate count, and their width is bounded, so their size is proven
-  before the hint is given. The table itself is not shuffled.
-* many duplicates: the first rows are joined on row order. That key is unique, so the
-  join spreads evenly however skewed the duplicated keys are.
+* few repeated keys, be it with many rows each: those keys are broadcast. Their number
+  is known, or at most the number of duplicates, and their width is bounded, so their
+  size is proven before the hint is given. The table itself is not shuffled.
+* many repeated keys: the first rows are joined on row order. That key is unique, so
+  the join spreads evenly however skewed the duplicated keys are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -58,9 +59,18 @@ def with_row_order(df: DataFrame, order_by: Sequence[str] | None) -> tuple[DataF
         ) from exc
 
 
-def count_duplicates(df: DataFrame, keys: tuple[str, ...]) -> int:
+@dataclass(frozen=True)
+class Duplicates:
+    """How many rows repeat an earlier row's key, and how many keys have such rows."""
+
+    rows: int
+    keys: int | None = None
+
+
+def count_duplicates(df: DataFrame, keys: tuple[str, ...]) -> Duplicates:
     per_key = df.select(*key_columns(df, keys)).groupBy(*_key_names(keys)).count()
-    return per_key.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0]
+    counted = per_key.selectExpr("coalesce(sum(count - 1), 0L)", "count_if(count > 1)").first()
+    return Duplicates(*counted)
 
 
 def _key_names(keys: tuple[str, ...]) -> list[str]:
@@ -102,7 +112,7 @@ def _first_of_repeated(df: DataFrame, keys: tuple[str, ...], order: list[str]) -
     """First rows of the keys seen more than once, which are known to be few.
 
     With several order columns the rows of other keys are dropped before the aggregate,
-    by a count that hashes, so that only a few rows are ever sorted.
+    by a count that hashes, so that only rows of repeated keys are ever sorted.
     """
     rows = _keys_and_order(df, keys, order)
     if len(order) == 1:
@@ -115,40 +125,52 @@ def _first_of_repeated(df: DataFrame, keys: tuple[str, ...], order: list[str]) -
 
 
 def fits_broadcast(
-    df: DataFrame, keys: tuple[str, ...], order: list[str], duplicates: int, limit: int
+    df: DataFrame, keys: tuple[str, ...], order: list[str], entries: int, limit: int
 ) -> bool:
-    """Whether the repeated keys surely take no more than ``limit`` bytes."""
+    """Whether so many keys, each with its first row's order, surely fit in ``limit`` bytes."""
     types = {field.name: field.dataType for field in df.schema.fields}
     width = ENTRY_OVERHEAD_BYTES + sum(_key_bytes(types[name]) for name in keys)
-    if duplicates * width > limit:
+    if entries * width > limit:
         return False
     texts = [name for name in order if isinstance(types[name], (T.StringType, T.BinaryType))]
     width += 16 * (len(order) - len(texts))
     if texts:
         longest = df.agg(*[F.max(F.octet_length(named(name))) for name in texts]).first()
         width += sum(size or 0 for size in longest)
-    return duplicates * width <= limit
+    return entries * width <= limit
 
 
 def _key_bytes(dtype: T.DataType) -> int:
     return NARROW_KEY_BYTES + 16 if isinstance(dtype, (T.StringType, T.BinaryType)) else 16
 
 
+def _few_keys(
+    df: DataFrame, keys: tuple[str, ...], order: list[str], found: Duplicates, limit: int
+) -> bool:
+    if found.keys is None:
+        if fits_broadcast(df, keys, order, found.rows, limit):
+            return True
+        # One hot key may own all duplicates. Counting narrow keys once more is cheap
+        # beside shuffling whole rows.
+        found = count_duplicates(df, keys)
+    return fits_broadcast(df, keys, order, found.keys, limit)
+
+
 def mark_duplicates(
     df: DataFrame,
     keys: tuple[str, ...],
     order: list[str],
     flag: str,
-    duplicates: int,
+    found: Duplicates,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Adds the boolean ``flag``. ``duplicates`` is the known number of rows to mark."""
-    if duplicates == 0:
+    """Adds the boolean ``flag``, TRUE for each of the ``found`` rows."""
+    if found.rows == 0:
         return df.withColumn(flag, F.lit(False))
     names, firsts = _key_names(keys), _first_names(order)
     here = _order_value(order)
     keyed = df.withColumns(dict(zip(names, key_columns(df, keys), strict=True)))
-    if fits_broadcast(df, keys, order, duplicates, broadcast_bytes):
+    if _few_keys(df, keys, order, found, broadcast_bytes):
         leaders = F.broadcast(_first_of_repeated(df, keys, order))
         matched = keyed.join(leaders, _same(names), "left")
         later = F.coalesce(here > _order_value(firsts), F.lit(True))
@@ -182,7 +204,6 @@ def duplicate_rows(
     from a uniqueness result, one job counts them first."""
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
     placed, order = with_row_order(df, order_by)
-    if duplicates is None:
-        duplicates = count_duplicates(df, keys)
-    marked = mark_duplicates(placed, keys, order, "__duplicate", duplicates, broadcast_bytes)
+    found = count_duplicates(df, keys) if duplicates is None else Duplicates(duplicates)
+    marked = mark_duplicates(placed, keys, order, "__duplicate", found, broadcast_bytes)
     return marked.filter("__duplicate").select(*[named(name) for name in df.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.functions.text import named
 from rowsieve.operators.checks import Check, compile_checks
-from rowsieve.operators.duplicates import BROADCAST_BYTES, with_row_order
+from rowsieve.operators.duplicates import BROADCAST_BYTES, Duplicates, with_row_order
 from rowsieve.operators.validate import results_of
 from rowsieve.operators.violations import ENGLISH_LABELS, Labels, reason_text, with_flags
 from rowsieve.rules import DEFAULT_THRESHOLD, Rule
@@ -105,8 +105,8 @@ def split(
     placed = df
     if any(check.keys for check in active):
         placed, order = with_row_order(df, order_by)
-    failed = {row["rule_position"]: row["failed_count"] for row in verdicts}
-    flagged, flags = with_flags(placed, active, order, failed, broadcast_bytes)
+    found = {row["rule_position"]: Duplicates(row["failed_count"]) for row in verdicts}
+    flagged, flags = with_flags(placed, active, order, found, broadcast_bytes)
     in_filter = {
         check.position: check.fails_in_filter for check in active if check.fails is not None
     }

@@ -14,6 +14,7 @@ from rowsieve.functions.text import as_text, is_missing, named
 from rowsieve.operators.checks import Check, compile_checks
 from rowsieve.operators.duplicates import (
     BROADCAST_BYTES,
+    Duplicates,
     count_duplicates,
     mark_duplicates,
     with_row_order,
@@ -68,7 +69,7 @@ def with_flags(
     df: DataFrame,
     checks: Iterable[Check],
     order: list[str],
-    duplicate_counts: Mapping[int, int],
+    duplicates: Mapping[int, Duplicates],
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> tuple[DataFrame, dict[int, Column]]:
     """The table ready for flagging, and per check the Column that is TRUE where it fails.
@@ -88,7 +89,7 @@ def with_flags(
                     check.keys,
                     order,
                     check.flag,
-                    duplicate_counts[check.position],
+                    duplicates[check.position],
                     broadcast_bytes,
                 )
                 shared[check.keys] = check.flag
@@ -113,21 +114,21 @@ def violations(
     a sort by row order and rule.
     """
     checks = compile_checks(df, rules, default_threshold)
-    counts: dict[tuple[str, ...], int] = {}
+    unique = [check for check in checks if check.keys]
+    found: dict[tuple[str, ...], Duplicates] = {}
     if results is not None:
         verdicts = results.collect() if isinstance(results, DataFrame) else results
         failed = {row["rule_position"]: row["failed_count"] for row in verdicts}
-        counts = {check.keys: failed[check.position] for check in checks if check.keys}
-    unique = [check for check in checks if check.keys]
+        found = {check.keys: Duplicates(failed[check.position]) for check in unique}
     for check in unique:
-        if check.keys not in counts:
-            counts[check.keys] = count_duplicates(df, check.keys)
+        if check.keys not in found:
+            found[check.keys] = count_duplicates(df, check.keys)
     placed, order = with_row_order(df, order_by)
     flagged, flags = with_flags(
         placed,
         checks,
         order,
-        {check.position: counts[check.keys] for check in unique},
+        {check.position: found[check.keys] for check in unique},
         broadcast_bytes,
     )
     broken = [

@@ -25,7 +25,12 @@ from rowsieve import (
     violations,
     with_pass_rate,
 )
-from rowsieve.operators.duplicates import fits_broadcast, mark_duplicates
+from rowsieve.operators.duplicates import (
+    Duplicates,
+    count_duplicates,
+    fits_broadcast,
+    mark_duplicates,
+)
 from rowsieve.operators.validate import CHECKS_PER_SCAN, RESULT_SCHEMA
 
 
@@ -467,7 +472,7 @@ def test_result_bounds(spark):
 def test_unordered_ties_never_multiply_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "b")], "o long, k string")
     for limit in (0, 1 << 20):
-        marked = mark_duplicates(df, ("k",), ["o"], "dup", 2, limit)
+        marked = mark_duplicates(df, ("k",), ["o"], "dup", Duplicates(2), limit)
         assert marked.count() == 4
 
 
@@ -535,6 +540,7 @@ def test_row_rules_share_one_narrow_scan(stored):
     plan = plan_of(validate(stored, rules))
     assert plan.count("FileScan") == 1
     assert "ReadSchema: struct<text:string,value:double>" in plan
+    assert "hashpartitioning" not in plan
     assert "Python" not in plan
 
 
@@ -582,6 +588,15 @@ def test_broadcast_needs_a_proven_size(stored):
     assert not fits_broadcast(stored, ("number",), ["text"], 60, 10_000)
 
 
+def test_one_hot_key_is_broadcast_however_many_rows_it_has(spark):
+    df = spark.range(30_000).selectExpr("id AS o", "if(id % 3 = 0, -1, id) AS k")
+    assert count_duplicates(df, ("k",)) == Duplicates(9_999, 1)
+    for found in (Duplicates(9_999), Duplicates(9_999, 1)):
+        marked = mark_duplicates(df, ("k",), ["o"], "dup", found, 1000)
+        assert "BroadcastHashJoin" in plan_of(marked)
+        assert marked.filter("dup").count() == 9_999
+
+
 def test_many_duplicates_join_on_row_order(spark, stored):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
