@@ -105,7 +105,12 @@ def split(
     placed = df
     if any(check.keys for check in active):
         placed, order = with_row_order(df, order_by)
-    found = {row["rule_position"]: Duplicates(row["failed_count"]) for row in verdicts}
+    found = {
+        row["rule_position"]: Duplicates(
+            row["failed_count"], row["repeated_keys"] if "repeated_keys" in row else None
+        )
+        for row in verdicts
+    }
     flagged, flags = with_flags(placed, active, order, found, broadcast_bytes)
     in_filter = {
         check.position: check.fails_in_filter for check in active if check.fails is not None

@@ -33,12 +33,14 @@ def validate(
     grouping. Each distinct uniqueness key adds a scan of its own columns and one shuffle
     of narrow keys, already merged per task, so a hot key weighs no more than a rare one.
     """
-    return results_of(df, compile_checks(df, rules, default_threshold))
+    return results_of(df, compile_checks(df, rules, default_threshold)).select(*RESULT_COLUMNS)
 
 
 def results_of(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """Results with one more column, ``repeated_keys``: how many keys have duplicates. The
+    count is free here and tells a later split how large the set of those keys is."""
     if not checks:
-        return df.sparkSession.createDataFrame([], RESULT_SCHEMA)
+        return df.sparkSession.createDataFrame([], f"{RESULT_SCHEMA}, repeated_keys bigint")
     row_checks = [check for check in checks if check.fails is not None]
     parts = [
         _count_row_checks(df, row_checks[start : start + CHECKS_PER_SCAN])
@@ -82,12 +84,16 @@ def _count_duplicates(df: DataFrame, keys: tuple[str, ...], checks: list[Check])
         .agg(F.count(F.lit(1)).alias("n"))
     )
     counted = per_key.selectExpr(
-        "coalesce(sum(n - 1), 0L) AS failed", "coalesce(sum(n), 0L) AS total"
+        "coalesce(sum(n - 1), 0L) AS failed",
+        "coalesce(sum(n), 0L) AS total",
+        "count_if(n > 1) AS repeated",
     )
-    return _as_rows(counted, [(check, "failed", "total") for check in checks])
+    return _as_rows(counted, [(check, "failed", "total") for check in checks], "repeated")
 
 
-def _as_rows(counted: DataFrame, cells: list[tuple[Check, str, str]]) -> DataFrame:
+def _as_rows(
+    counted: DataFrame, cells: list[tuple[Check, str, str]], repeated: str = "0L"
+) -> DataFrame:
     """One row of counts becomes one row per check, with the rule's own facts as literals.
 
     Given as SQL text: a Column call for each of these cells would cost more driver time
@@ -100,7 +106,8 @@ def _as_rows(counted: DataFrame, cells: list[tuple[Check, str, str]]) -> DataFra
         f"'column', {sql_text(check.column)}, 'threshold', {float(check.threshold)!r}D, "
         f"'failed_count', {failed}, 'total_count', {total}, "
         f"'severity', {sql_text(check.rule.severity)}, "
-        f"'skipped', {check.absent is not None}, 'subject', {sql_text(_subject(check))})"
+        f"'skipped', {check.absent is not None}, 'subject', {sql_text(_subject(check))}, "
+        f"'repeated_keys', {repeated})"
         for check, failed, total in cells
     ]
     return counted.selectExpr(f"inline(array({', '.join(structs)}))")
@@ -138,4 +145,4 @@ MESSAGE = """
 
 def _score(counted: DataFrame) -> DataFrame:
     scored = counted.selectExpr("*", SCORE).selectExpr("*", STATUS).selectExpr("*", MESSAGE)
-    return scored.select(*RESULT_COLUMNS)
+    return scored.select(*RESULT_COLUMNS, "repeated_keys")

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
 
+from rowsieve.operators.checks import compile_checks
 from rowsieve.operators.duplicates import RowOrderError
 from rowsieve.operators.report import summarise
 from rowsieve.operators.split import Split, split
-from rowsieve.operators.validate import RESULT_SCHEMA, validate
+from rowsieve.operators.validate import RESULT_COLUMNS, RESULT_SCHEMA, results_of
 from rowsieve.operators.violations import ENGLISH_LABELS, Labels
 from rowsieve.plans.cluster import shared_folder
 from rowsieve.rules import DEFAULT_THRESHOLD, Rule, default_rules
@@ -48,15 +49,16 @@ def run(
     Parquet in the shared folder, and positions there count.
     """
     chosen = default_rules(df) if rules is None else list(rules)
-    verdicts = validate(df, chosen, default_threshold).collect()
     spark = df.sparkSession
+    counted = results_of(df, compile_checks(df, chosen, default_threshold)).collect()
+    verdicts = [Row(**{name: row[name] for name in RESULT_COLUMNS}) for row in counted]
     results = spark.createDataFrame(verdicts, RESULT_SCHEMA)
     name = run_id or str(uuid.uuid4())
     try:
-        rows = split(df, chosen, verdicts, order_by, default_threshold, labels)
+        rows = split(df, chosen, counted, order_by, default_threshold, labels)
     except RowOrderError:
         landed = land(df, f"{shared_folder(spark)}/landed/{name}")
-        rows = split(landed, chosen, verdicts, None, default_threshold, labels)
+        rows = split(landed, chosen, counted, None, default_threshold, labels)
     done = Run(name, verdicts, results, summarise(results), rows)
     if root is not None:
         origin = rules_source or ("default rules" if rules is None else "")

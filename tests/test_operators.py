@@ -476,6 +476,14 @@ def test_unordered_ties_never_multiply_rows(spark):
         assert marked.count() == 4
 
 
+def test_run_knows_the_number_of_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "b")], "o long, k string")
+    done = run(df, [rule("uniqueness", "k", threshold=1.0)], order_by=["o"])
+    assert sorted(row.o for row in done.rows.quarantine.collect()) == [2, 3, 5]
+    assert done.results.columns == [part.split()[0] for part in RESULT_SCHEMA.split(", ")]
+    assert run(df, [], order_by=["o"]).rows.clean.count() == 5
+
+
 def test_run_writes_nothing_unless_asked(people):
     done = run(people, PEOPLE_RULES)
     assert done.summary.first().overall_status == "failed"
