@@ -102,6 +102,7 @@ def _dtype(value: Column, dtype: T.DataType, params: Params, let: Let) -> Column
 
 def _range(value: Column, dtype: T.DataType, params: Params, let: Let) -> Column:
     low, high = (_bound(params, name) for name in ("min_value", "max_value"))
+
     def inside(number: Column) -> Column:
         within = number.isNotNull()
         if low is not None:

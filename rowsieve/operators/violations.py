@@ -39,6 +39,17 @@ TURKISH_LABELS: Labels = {
     "blank": "boş",
 }
 
+VIOLATION_COLUMNS = {
+    "rule_position": "int",
+    "rule_id": "string",
+    "rule_name": "string",
+    "rule_type": "string",
+    "column": "string",
+    "severity": "string",
+    "value": "string",
+    "reason": "string",
+}
+
 
 def shown_value(df: DataFrame, columns: Sequence[str], blank: str) -> Column:
     """The values as text in quotes, with a word in place of a blank one."""
@@ -153,9 +164,10 @@ def violations(
         for check in checks
         if check.position in flags
     ]
-    if not entries:
-        raise ValueError("no rule applies to this table")
     places = [named(name) for name in order]
+    if not entries:
+        typed = [F.lit(None).cast(dtype).alias(name) for name, dtype in VIOLATION_COLUMNS.items()]
+        return placed.filter(F.lit(False)).select(*places, *typed)
     listed = flagged.filter(reduce(or_, broken)).select(
         *places, F.explode(F.array(*entries)).alias("__found")
     )

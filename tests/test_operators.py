@@ -313,6 +313,13 @@ def test_violations_in_row_order(spark):
     ]
 
 
+def test_violations_of_skipped_rules_are_an_empty_table(people):
+    listed = violations(people, [rule("completeness", "absent")], ["id"])
+    full = violations(people, PEOPLE_RULES, ["id"])
+    assert listed.collect() == []
+    assert listed.dtypes == full.dtypes
+
+
 def test_split_in_turkish(people):
     held = split(people, PEOPLE_RULES, labels=TURKISH_LABELS).quarantine
     reasons = {row.id: row.violation_reasons for row in held.collect()}
