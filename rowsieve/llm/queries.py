@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsieve.llm.common import full_text, table
+from rowsieve.llm.common import full_text, table, word_count
+from rowsieve.llm.mixing import mix
 from rowsieve.llm.sharding import ring_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,4 +32,15 @@ def ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_ring_sharding": ring_sharding}
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    mixed = mix(documents, F.col("doc_id"), F.col("source"), word_count())
+    return mixed.rows.select(
+        F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "source", "draws"
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "op1_ring_sharding": ring_sharding,
+    "op2_source_mixing": source_mixing,
+}
