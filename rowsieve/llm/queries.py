@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.llm.common import full_text, table, word_count
 from rowsieve.llm.mixing import mix
+from rowsieve.llm.quality import judged, references
 from rowsieve.llm.sharding import ring_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +41,15 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return judged(documents.select("doc_id", "text", "lang"), references(documents)).drop(
+        "text", "lang"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_ring_sharding": ring_sharding,
     "op2_source_mixing": source_mixing,
+    "op6_quality_rules": quality_rules,
 }
