@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 from rowsieve.llm.common import full_text, table, word_count
 from rowsieve.llm.mixing import mix
+from rowsieve.llm.packing import LENGTH, pack
 from rowsieve.llm.quality import judged, references
 from rowsieve.llm.sharding import ring_shards
+from rowsieve.llm.topk import top_k
+
+def word_tokenizer() -> str:
+    """The vocabulary file of the packing queries; other tokenisers are a parameter away."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +50,11 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asks = F.col("vec_id") % 100 == 0
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", asks, 10)
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return judged(documents.select("doc_id", "text", "lang"), references(documents)).drop(
@@ -48,8 +62,16 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checksum = F.crc32("ids").alias("ids_crc32")
+    documents = table(spark, sf_dir, "documents")
+    return pack(documents, "doc_id", "text", word_tokenizer(), LENGTH, checksum)
+
+
 QUERIES: dict[str, Query] = {
     "op1_ring_sharding": ring_sharding,
     "op2_source_mixing": source_mixing,
+    "op4_exact_top_k": exact_top_k,
     "op6_quality_rules": quality_rules,
+    "op8_sequence_packing": sequence_packing,
 }
