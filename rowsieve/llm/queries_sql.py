@@ -3,10 +3,10 @@
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": """
         with v as (
-          select vec_id, list_transform(embedding, x -> floor(1024 * cast(x as double))) v
+          select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) v
           from embeddings
           where embedding is not null
-            and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), s as (
           select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) score
           from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from rowsieve.llm.common import stored
 
 BLOCK = 8192
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 256
+# Copies of each block of queries, so that the blocks of rows that meet it are many tasks' work.
+SPREAD = 16
 STEP = 8
 # Sums of doubles are exact below this; beyond it integers are used.
 EXACT = float(2**53)
@@ -104,13 +106,21 @@ def top_k(
             "block", F.monotonically_increasing_id()
         )
     )
+    # One row per vector length, with the numbers of its blocks of queries.
     numbers = queries.groupBy("dim").agg(F.collect_list("block").alias("blocks"))
-    blocks = _packed(rows.select("id", "v"), BLOCK)
+    blocks = _packed(rows.select("id", "v"), BLOCK).withColumn(
+        "part", (F.monotonically_increasing_id() % SPREAD + F.spark_partition_id()) % SPREAD
+    )
     # Each block of rows once for every block of queries of its length.
-    meeting = blocks.join(numbers, "dim").select(
-        "dim", "ids", "values", F.explode("blocks").alias("block")
+    meeting = blocks.join(F.broadcast(numbers), "dim").select(
+        "dim", "ids", "values", "part", F.explode("blocks").alias("block")
+    )
+    asked = queries.select(
+        "block",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("part"),
+        F.col("ids").alias("asking"),
+        F.col("values").alias("asked"),
     )
-    asked = queries.select("block", F.col("ids").alias("asking"), F.col("values").alias("asked"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,7 +131,7 @@ def top_k(
                 yield pd.DataFrame(found, columns=["query_id", "id", "score"])
 
     found = (
-        meeting.join(asked, "block")
+        meeting.join(asked, ["block", "part"])
         .select("dim", "ids", "values", "asking", "asked")
         .mapInPandas(search, "query_id long, id long, score long")
     )
