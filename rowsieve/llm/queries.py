@@ -13,6 +13,7 @@ from rowsieve.llm.packing import LENGTH, pack
 from rowsieve.llm.quality import judged, references
 from rowsieve.llm.sharding import ring_shards
 from rowsieve.llm.topk import top_k
+from rowsieve.llm.urls import Rule, judged_urls
 
 def word_tokenizer() -> str:
     """The vocabulary file of the packing queries; other tokenisers are a parameter away."""
@@ -62,6 +63,19 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The rules of the URL query.
+URL_RULES = [
+    Rule("net", "/", "block"),
+    Rule("example.net", "/en/", "allow"),
+    Rule("example.com", "/de/", "block"),
+    Rule("org", "/fr/", "allow"),
+]
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES)
+
+
 def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     checksum = F.crc32("ids").alias("ids_crc32")
     documents = table(spark, sf_dir, "documents")
@@ -73,5 +87,6 @@ QUERIES: dict[str, Query] = {
     "op2_source_mixing": source_mixing,
     "op4_exact_top_k": exact_top_k,
     "op6_quality_rules": quality_rules,
+    "op7_url_filter": url_filter,
     "op8_sequence_packing": sequence_packing,
 }
