@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsieve.llm.common import full_text, table, word_count
+from rowsieve.llm.minhash import near_duplicates
 from rowsieve.llm.mixing import mix
 from rowsieve.llm.packing import LENGTH, pack
 from rowsieve.llm.quality import judged, references
@@ -56,6 +57,17 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", asks, 10)
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), "doc_id")
+    return found.select(
+        "doc_id",
+        F.col("class").alias("class_id"),
+        F.col("size").alias("class_size"),
+        F.col("links").alias("n_links"),
+        (F.col("doc_id") == F.col("class")).alias("kept"),
+    )
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return judged(documents.select("doc_id", "text", "lang"), references(documents)).drop(
@@ -86,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op1_ring_sharding": ring_sharding,
     "op2_source_mixing": source_mixing,
     "op4_exact_top_k": exact_top_k,
+    "op5_minhash_near_dedup": minhash_near_dedup,
     "op6_quality_rules": quality_rules,
     "op7_url_filter": url_filter,
     "op8_sequence_packing": sequence_packing,
