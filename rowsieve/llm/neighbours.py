@@ -163,3 +163,47 @@ def similar_pairs(
         open_ = open_.filter("low <> high and not all").select("bucket")
         here = stored(after.join(open_, "bucket", "left_semi").drop("class"))
         centres *= 2
+
+
+def classes(
+    signed: DataFrame,
+    texts_of: Callable[[DataFrame], DataFrame],
+    shingled: Shingled,
+    alike: Alike,
+    least: float,
+) -> DataFrame:
+    """Classes of similar texts: digest, ``class`` (smallest key), ``size``, ``links``, ``blank``.
+
+    ``signed`` is stored and has key, digest of the text and ``buckets``; ``texts_of`` joins
+    ``first`` (a key), digest and node with the texts, as ``text``.
+    """
+    # Equal texts merge before the shuffle and go on as one node.
+    nodes = signed.groupBy("digest").agg(
+        F.min("key").alias("first"), F.first("buckets").alias("buckets"), F.count(F.lit(1)).alias("n")
+    )
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+    entries = nodes.select("node", F.explode("buckets").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    entries = stored(entries.join(shared.select("bucket"), "bucket").select("node", "bucket"))
+    wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi")
+    wanted = small(stored(wanted.select("first", "digest", "node")))
+    # A key may belong to rows of other texts as well.
+    texts = texts_of(wanted).filter(F.unhex(F.md5("text")) == F.col("digest"))
+    texts = stored(texts.select("node", "text").dropDuplicates(["node"]))
+
+    edges = similar_pairs(entries, texts, shingled, alike, least)
+    none = F.lit(0).cast("long")
+    if edges is None or not edges.limit(1).count():
+        found = nodes.withColumn("component", F.col("node")).withColumn("links", none)
+    else:
+        ends = edges.select("a", "b").distinct()
+        links = ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
+        links = links.agg(F.count(F.lit(1)).alias("links"))
+        found = nodes.join(components(edges), "node", "left").join(links, "node", "left")
+        found = found.withColumn("component", F.coalesce("component", "node"))
+        found = found.withColumn("links", F.coalesce("links", none))
+    # Texts without words are alone even where they are equal.
+    blank = F.size("buckets") == 0
+    found = stored(found.select("digest", "component", "links", "first", "n", blank.alias("blank")))
+    sizes = found.groupBy("component").agg(F.min("first").alias("class"), F.sum("n").alias("size"))
+    return found.join(sizes, "component").select("digest", "class", "size", "links", "blank")

@@ -11,6 +11,7 @@ from rowsieve.llm.common import full_text, table, word_count
 from rowsieve.llm.minhash import near_duplicates
 from rowsieve.llm.mixing import mix
 from rowsieve.llm.packing import LENGTH, pack
+from rowsieve.llm.passages import repeated_passages
 from rowsieve.llm.quality import judged, references
 from rowsieve.llm.sharding import ring_shards
 from rowsieve.llm.topk import top_k
@@ -94,6 +95,13 @@ def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents, "doc_id", "text", word_tokenizer(), LENGTH, checksum)
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"), "doc_id")
+    return found.withColumnsRenamed(
+        {"class_key": "class_doc_id", "size": "class_size", "links": "n_links"}
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_ring_sharding": ring_sharding,
     "op2_source_mixing": source_mixing,
@@ -102,4 +110,5 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": quality_rules,
     "op7_url_filter": url_filter,
     "op8_sequence_packing": sequence_packing,
+    "op10_substring_dedup": substring_dedup,
 }
