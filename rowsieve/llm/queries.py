@@ -14,6 +14,7 @@ from rowsieve.llm.packing import LENGTH, pack
 from rowsieve.llm.passages import repeated_passages
 from rowsieve.llm.quality import judged, references
 from rowsieve.llm.sharding import ring_shards
+from rowsieve.llm.suffixes import without_repeats
 from rowsieve.llm.topk import top_k
 from rowsieve.llm.urls import Rule, judged_urls
 
@@ -95,6 +96,10 @@ def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents, "doc_id", "text", word_tokenizer(), LENGTH, checksum)
 
 
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"), "doc_id", texts=False)
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"), "doc_id")
     return found.withColumnsRenamed(
@@ -110,5 +115,6 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": quality_rules,
     "op7_url_filter": url_filter,
     "op8_sequence_packing": sequence_packing,
+    "op9_suffix_dedup": suffix_dedup,
     "op10_substring_dedup": substring_dedup,
 }
