@@ -12,6 +12,7 @@ from rowsieve.llm.minhash import near_duplicates
 from rowsieve.llm.mixing import mix
 from rowsieve.llm.packing import LENGTH, pack
 from rowsieve.llm.passages import repeated_passages
+from rowsieve.llm.pii import personal_data
 from rowsieve.llm.quality import judged, references
 from rowsieve.llm.sharding import ring_shards
 from rowsieve.llm.suffixes import without_repeats
@@ -54,6 +55,11 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"), "doc_id")
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks = F.col("vec_id") % 100 == 0
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", asks, 10)
@@ -110,6 +116,7 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ring_sharding": ring_sharding,
     "op2_source_mixing": source_mixing,
+    "op3_pii_redaction": pii_redaction,
     "op4_exact_top_k": exact_top_k,
     "op5_minhash_near_dedup": minhash_near_dedup,
     "op6_quality_rules": quality_rules,
