@@ -15,6 +15,18 @@ WORDS_PER_SHINGLE = 5
 LEAST_SIMILARITY = 0.8
 
 
+# What Spark hands to a Python worker at a time: texts may be long.
+BYTES_PER_BATCH = 16 * 1024 * 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps what a Python worker gets at once within bounds; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = int(spark.conf.get(name).removesuffix("b"))
+    if had <= 0 or had > BYTES_PER_BATCH:
+        spark.conf.set(name, str(BYTES_PER_BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

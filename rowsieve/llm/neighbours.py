@@ -17,17 +17,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowsieve.llm.common import stored
+from rowsieve.llm.shingles import chunks
 
 PER_TASK = 256
 # Up to so many rows of two longs are broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
-Shingled = Callable[[list[str]], list]
+Shingled = Callable[[pa.Array], list]
 Alike = Callable[[object, object], float]
 
 
@@ -83,25 +84,30 @@ def compared(
         "centre", "part", F.col("node") != F.col("centre")
     )
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, None
-        for batch in batches:
+        for batch in chunks(batches, 2):
             found: dict[str, list] = {"a": [], "b": [], "similarity": []}
-            for at, node, one in zip(
-                batch["centre"], batch["node"], shingled(batch["text"].tolist()), strict=True
-            ):
-                if node == at:
-                    centre, own = at, one
+            at, node, sets = batch.column(0), batch.column(1), shingled(batch.column(2))
+            for one, row in zip(sets, zip(at.to_pylist(), node.to_pylist(), strict=True), strict=True):
+                if row[0] == row[1]:
+                    centre, own = row[0], one
                     continue
-                assert centre == at, "a centre's text is missing"
+                assert centre == row[0], "a centre's text is missing"
                 value = alike(own, one)
                 if value >= least:
-                    found["a"].append(at)
-                    found["b"].append(node)
-                    found["similarity"].append(value)
-            yield pd.DataFrame(found).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+                    for name, part in zip(found, (*row, value), strict=True):
+                        found[name].append(part)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(found["a"], pa.int64()),
+                    pa.array(found["b"], pa.int64()),
+                    pa.array(found["similarity"], pa.float64()),
+                ],
+                names=list(found),
+            )
 
-    return dealt.select("centre", "node", "text").mapInPandas(
+    return dealt.select("centre", "node", "text").mapInArrow(
         compare, "a long, b long, similarity double"
     )
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsieve.llm.common import stored
+from rowsieve.llm.common import small_batches, stored
 
 LENGTH = 2048
 END_TOKEN = 0
@@ -224,6 +224,7 @@ def pack(
 ) -> DataFrame:
     """All pieces with their places: key, piece, start, length, sequence_id, offset, and the
     ids, or only what is ``wanted`` of these, which then travels in their stead."""
+    small_batches(df.sparkSession)
     pieces = stored(tokenised(df, key, text, path, length))
     places = stored(placements(pieces, length))
     carried = pieces.select("key", "unit", "piece", "start", "length", *(wanted or [F.col("ids")]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsieve.llm.common import LEAST_SIMILARITY, stored
+from rowsieve.llm.common import LEAST_SIMILARITY, small_batches, stored
 from rowsieve.llm.minhash import band_keys, text_digest
 from rowsieve.llm.neighbours import classes
 from rowsieve.llm.shingles import chunks, mixed, shingles_of, similarity, words_of
@@ -79,8 +79,8 @@ def signatures(rows: DataFrame, bands: int, rows_per_band: int = ROWS) -> DataFr
     )
 
 
-def shingle_sets(parts: list[str]) -> list:
-    numbers, _, begins = shingles_of(words_of(pa.array(parts, pa.string())))
+def shingle_sets(parts: pa.Array) -> list:
+    numbers, _, begins = shingles_of(words_of(parts))
     sets = [np.unique(numbers[a:b]) for a, b in zip(begins, begins[1:], strict=False)]
     return [(own, np.ones(len(own), dtype=np.float32)) for own in sets]
 
@@ -91,6 +91,7 @@ def repeated_passages(
     """One row for every paragraph that is like another: key, ``place`` (line, from 0),
     ``class_key`` and ``class_place`` of the one that stays, ``size`` of the class, ``links``
     and ``removed``."""
+    small_batches(df.sparkSession)
     lines = paragraphs(df, key, text)
     signed = signatures(lines, tuned_bands(least))
     # NULL keys last, as structs sort NULLs first.

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsieve.llm.common import stored
+from rowsieve.llm.common import small_batches, stored
 from rowsieve.llm.neighbours import small
 from rowsieve.llm.shingles import mixed
 
@@ -303,6 +303,7 @@ def without_repeats(
 ) -> DataFrame:
     """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256, and, with
     ``texts``, the remaining bytes as ``kept``."""
+    small_batches(df.sparkSession)
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = df.select(
         F.col(f"`{key}`").alias("key"), F.xxhash64(whole).alias("number"), whole.alias("text")
