@@ -32,14 +32,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsieve.llm.common import small_batches, stored
+from rowsieve.llm.shingles import chunks
 
 LENGTH = 2048
 END_TOKEN = 0
 GROUP = 65_536
-REMEMBERED = 2_000_000
+CHUNK_WORDS = 1_000_000
+REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
 
-_PLAIN = re.compile(r"([A-Za-zà-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?]?)")
+_LETTERS = re.compile(r"[A-Za-zà-öø-ÿÀ-ÖØ-Þ]{1,64}")
+_STOPS = frozenset(".,;:!?")
+_MARK = "0"
+_JOINED = 200
 
 
 @lru_cache(maxsize=4)
@@ -59,39 +64,71 @@ def splits_at_blanks(path: str) -> bool:
 
 
 class WordTokens:
-    """Token ids of words, remembered. Plain words are looked up in small letters and without
-    the stop behind them, as the tokeniser treats them so too if ``folds``."""
+    """Token ids of words (unsigned 32-bit little-endian, as bytes), remembered.
+
+    Words of letters are looked up in small letters and without the stop behind them, if the
+    tokeniser treats them so (``folds``), and tokenised many at a time with a mark between.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.ids: dict[str, np.ndarray] = {}
-        encode = self._encode(["Word", "word", "word,", ","])
-        self.folds = list(encode[0]) == list(encode[1])
-        self.folds &= list(encode[2]) == [*encode[1], *encode[3]]
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        self.ids: dict[str, bytes] = {}
+        word, small_, stopped, stop, mark = self._alone(["Word", "word", "word,", ",", _MARK])
+        together = self._ids(f"word {_MARK} word")
+        self.folds = word == small_ and stopped == small_ + stop
+        self.folds &= len(mark) == 4 and together == small_ + mark + small_
+        self.mark = int.from_bytes(mark[:4], "little")
+
+    def _ids(self, text: str) -> bytes:
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.asarray(found, dtype="<u4").tobytes()
+
+    def _alone(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.asarray(one.ids, dtype="<u4") for one in found]
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        keys: list[tuple[str, str]] = []
-        for word in words:
-            plain = self.folds and _PLAIN.fullmatch(word)
-            keys.append((plain[1].lower(), plain[2]) if plain else (word, ""))
+        return [np.asarray(one.ids, dtype="<u4").tobytes() for one in found]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone, none of whose ids is the mark's."""
+        between = f" {_MARK} "
+        texts = [between.join(words[at : at + _JOINED]) for at in range(0, len(words), _JOINED)]
+        out: list[bytes] = []
+        for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.asarray(one.ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            data = ids.tobytes()
+            starts = [0, *((cuts + 1) * 4).tolist()]
+            ends = [*(cuts * 4).tolist(), len(data)]
+            out += [data[start:end] for start, end in zip(starts, ends, strict=True)]
+        return out
+
+    def of(self, words: list[str]) -> list[bytes]:
         known = self.ids
-        new = list({part for key in keys for part in key if part and part not in known})
-        fresh = dict(zip(new, self._encode(new), strict=True))
-        found = [
-            (known.get(word) if word in known else fresh[word])
-            if not stop
-            else np.concatenate(
-                [known[word] if word in known else fresh[word], known[stop] if stop in known else fresh[stop]]
-            )
-            for word, stop in keys
-        ]
-        known.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST_REMEMBERED)
+        if len(known) > REMEMBERED:
+            known.clear()
+        parts: dict[str, tuple[str, str]] = {}
+        plain, other = set(), set()
+        for word in words:
+            if word in known:
+                continue
+            stop = word[-1:] if word[-1:] in _STOPS else ""
+            stem = word[:-1] if stop else word
+            if self.folds and _LETTERS.fullmatch(stem):
+                stem = stem.lower()
+                parts[word] = stem, stop
+                plain.add(stem)
+                if stop:
+                    other.add(stop)
+            else:
+                other.add(word)
+        plain, rest = [w for w in plain if w not in known], [w for w in other if w not in known]
+        known.update(zip(plain, self._together(plain), strict=True))
+        known.update(zip(rest, self._alone(rest), strict=True))
+        for word, (stem, stop) in parts.items():
+            known[word] = known[stem] + known[stop] if stop else known[stem]
+        found = [known[word] for word in words]
+        for word in rest:
+            if len(word) > LONGEST_REMEMBERED:
+                del known[word]
         return found
 
 
@@ -103,8 +140,8 @@ def token_ids(texts: pa.Array, tokens: WordTokens) -> tuple[np.ndarray, np.ndarr
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     ids = tokens.of(words)
-    lengths = np.fromiter((len(one) for one in ids), dtype=np.int64, count=len(ids))
-    pool = np.concatenate(ids) if ids else np.zeros(0, dtype="<u4")
+    lengths = np.fromiter((len(one) // 4 for one in ids), dtype=np.int64, count=len(ids))
+    pool = np.frombuffer(b"".join(ids), dtype="<u4")
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(ids) else np.zeros(0, np.int64)
     codes = coded.indices.to_numpy(zero_copy_only=False)
     each = lengths[codes]
@@ -127,8 +164,7 @@ def tokenised(df: DataFrame, key: str, text: str, path: str, length: int = LENGT
         tokens = WordTokens(path)
         unit = TaskContext.get().partitionId() << 33
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for batch in chunks(iter([whole]), 1, CHUNK_WORDS):
                 ids, begins = token_ids(batch.column(1).cast(pa.string()), tokens)
                 rows: dict[str, list] = {name: [] for name in ("row", "piece", "start", "ids")}
                 for row in range(batch.num_rows):

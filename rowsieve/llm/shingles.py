@@ -70,11 +70,13 @@ def shingles_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed(combined), first, begins
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The rows again in batches of about ``CHUNK_WORDS`` words, one row at least."""
+def chunks(
+    batches: Iterator[pa.RecordBatch], text: int, words: int = CHUNK_WORDS
+) -> Iterator[pa.RecordBatch]:
+    """The rows again in batches of about so many words, one row at least."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes) // (CHUNK_WORDS * 6)
+        ends = np.cumsum(sizes) // (words * 6)
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:], strict=False):
             if end > start:
