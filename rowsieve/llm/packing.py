@@ -2,9 +2,9 @@
 
 ``tokenised`` cuts documents into pieces of at most ``LENGTH`` tokens. A whole piece of that
 length is a sequence by itself; all others are placed one by one, longest first, into the
-open sequence, or a new one, by which the sum over residual gaps of the squared number of
-open sequences with that gap becomes smallest. That keeps gaps of many kinds at hand, and so
-nearly every sequence is filled to its end.
+open sequence with room by which the sum over residual gaps of the squared number of open
+sequences with that gap becomes smallest, and into a new one where none has room. That keeps
+gaps of many kinds at hand, and so nearly every sequence is filled to its end.
 
 Pieces are dealt evenly into groups of about ``GROUP`` by a number of their own, so that no
 source, size or repeated document makes a group larger; each group is packed by one task
@@ -206,10 +206,9 @@ def place_all(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
         change = 2 * (counts[: length + 1 - size] - counts[size:]) + 2
         change[0] = 1 - 2 * counts[size]
         change[counts[size:] == 0] = np.iinfo(np.int64).max
-        fresh = 2 * counts[length - size] + 1 if size < length else 0
-        best = int(np.argmin(change))
-        gap = best + size
-        if counts[gap] and change[best] <= fresh:
+        gap = int(np.argmin(change)) + size
+        # With the longest first, a new sequence is worth opening only where none has room.
+        if counts[gap]:
             where = open_by_gap[gap].pop()
             counts[gap] -= 1
         else:
