@@ -6,7 +6,7 @@ from rowsieve.operators.profile import profile
 from rowsieve.operators.report import blocking_failures, summarise, with_pass_rate
 from rowsieve.operators.split import Split, split
 from rowsieve.operators.validate import validate
-from rowsieve.operators.violations import ENGLISH_LABELS, TURKISH_LABELS, violations
+from rowsieve.operators.violations import ENGLISH_LABELS, violations
 from rowsieve.plans.runs import Run, run
 from rowsieve.rules import (
     Rule,
@@ -20,7 +20,6 @@ from rowsieve.sources.readers import land, read
 
 __all__ = [
     "ENGLISH_LABELS",
-    "TURKISH_LABELS",
     "Rule",
     "RuleError",
     "Run",

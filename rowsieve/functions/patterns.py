@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
@@ -31,7 +32,16 @@ _INSIDE = {
     "v": r"\x0B",
     "b": r"\x08",
 }
-_ESCAPE = re.compile(r"\\(?:U([0-9a-fA-F]{8})|(.))", re.DOTALL)
+_ESCAPE = re.compile(
+    r"\\(?:U([0-9a-fA-F]{8})|N\{([^}]+)\}|(0[0-7]{0,2}|[1-3][0-7]{2})|(.))", re.DOTALL
+)
+# What the classes mean under the ASCII flag.
+_ASCII = {"d": "0-9", "w": "a-zA-Z0-9_", "s": r"\t\n\x0B\f\r "}
+_FLAGS = re.compile(r"\A\(\?([aiLmsux]+)\)")
+# One character out of several, over and over, to the end of the pattern.
+_ONE = r"(?:[^\\\[\](){}|*+?.^$]|\[\^?[^\\\[\]]+\])"
+_TAIL = re.compile(rf"\((?:\?:)?{_ONE}(?:\|{_ONE})+\)[*+]\Z")
+_ONE_OF = re.compile(r"\((?:\?:)?((?:[A-Za-z0-9 _,;:@%-]\|)+[A-Za-z0-9 _,;:@%-])\)(?=[*+])")
 _GROUP_NAME = re.compile(r"\(\?P(?:<(\w+)>|=(\w+)\))")
 _COMMENT = re.compile(r"\(\?#[^)]*\)")
 _REPEAT = re.compile(r"\{(\d*)(,?)(\d*)\}")
@@ -43,6 +53,14 @@ def full_match_pattern(pattern: str) -> str:
         re.compile(pattern)
     except re.error as exc:
         raise RuleError(f"invalid pattern {pattern!r}: {exc}") from exc
+    flags = _FLAGS.match(pattern)
+    letters = flags[1] if flags else ""
+    ascii_only = "a" in letters
+    if flags:
+        pattern = pattern[flags.end() :]
+    if not re.compile(pattern).groupindex and not re.search(r"\\[1-9]", pattern):
+        # Repeats of one character out of several need no stack as a class.
+        pattern = _ONE_OF.sub(lambda one: f"[{re.escape(one[1].replace('|', ''))}]", pattern)
     out: list[str] = []
     groups: dict[str, str] = {}
     bracket_at: int | None = None
@@ -51,9 +69,7 @@ def full_match_pattern(pattern: str) -> str:
         char = pattern[at]
         if char == "\\":
             found = _ESCAPE.match(pattern, at)
-            code, letter = found.groups()
-            table = _OUTSIDE if bracket_at is None else _INSIDE
-            out.append(rf"\x{{{int(code, 16):x}}}" if code else table.get(letter, found[0]))
+            out.append(_escaped(found, bracket_at is not None, ascii_only))
             at = found.end()
             continue
         if bracket_at is not None:
@@ -78,7 +94,25 @@ def full_match_pattern(pattern: str) -> str:
             continue
         out.append(_rewrite(special, groups))
         at = special.end()
-    return r"(?Ud)\A(?:" + "".join(out) + r")\z"
+    if _TAIL.search(pattern):
+        # All of the rest has to match anyway, so nothing read is ever given back; a repeat
+        # that may give back takes a stack frame for each character.
+        out.append("+")
+    kept = "".join(letter for letter in letters if letter in "imsx")
+    return f"(?{'' if ascii_only else 'U'}d{kept})" + r"\A(?:" + "".join(out) + r")\z"
+
+
+def _escaped(found: re.Match[str], in_bracket: bool, ascii_only: bool) -> str:
+    code, name, octal, letter = found.groups()
+    if code or name or octal:
+        number = int(code, 16) if code else ord(unicodedata.lookup(name)) if name else int(octal, 8)
+        return rf"\x{{{number:x}}}"
+    if ascii_only and letter.lower() in _ASCII:
+        inside = _ASCII[letter.lower()]
+        if letter.isupper():
+            return f"[^{inside}]"
+        return inside if in_bracket else f"[{inside}]"
+    return (_INSIDE if in_bracket else _OUTSIDE).get(letter, found[0])
 
 
 def _rewrite(found: re.Match[str], groups: dict[str, str]) -> str:

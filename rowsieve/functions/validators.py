@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import math
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -61,7 +62,11 @@ def _comparable(item: Any, dtype: T.DataType) -> Any:
     if isinstance(dtype, T.DecimalType):
         if not _is_number(item) or item != item or item in (float("inf"), float("-inf")):
             return None
-        return decimal.Decimal(item)
+        exact = decimal.Decimal(item)
+        places = max(0, -exact.as_tuple().exponent)
+        # A value of more places or digits than the column has is equal to none of its values.
+        fits = places <= dtype.scale and abs(exact) < 10 ** (dtype.precision - dtype.scale)
+        return exact if fits else None
     if isinstance(dtype, TIMESTAMPS):
         return item if isinstance(item, dt.datetime) else None
     if isinstance(dtype, T.DateType):
@@ -103,6 +108,8 @@ def _dtype(value: Column, dtype: T.DataType, params: Params, let: Let) -> Column
 def _range(value: Column, dtype: T.DataType, params: Params, let: Let) -> Column:
     low, high = (_bound(params, name) for name in ("min_value", "max_value"))
 
+    may_be_nan = isinstance(dtype, (T.StringType, *FLOATING))
+
     def inside(number: Column) -> Column:
         within = number.isNotNull()
         if low is not None:
@@ -110,7 +117,7 @@ def _range(value: Column, dtype: T.DataType, params: Params, let: Let) -> Column
         if high is not None:
             within = within & (number <= high)
         # NaN lies beyond no bound in Python, while Spark sorts it above every number.
-        return within | F.isnan(number)
+        return within | F.isnan(number) if may_be_nan else within
 
     if isinstance(dtype, T.StringType):
         return _fails(let(numbers.text_to_double(value), inside))
@@ -121,6 +128,40 @@ def _range(value: Column, dtype: T.DataType, params: Params, let: Let) -> Column
     return F.lit(True)
 
 
+def pushable(
+    name: str, value: Column, dtype: T.DataType, params: Params
+) -> tuple[Column, Column] | None:
+    """For filters that a scan can use: what holds for all failing rows, and for all others.
+
+    Both leave NaN aside, so neither says which of the two a row is.
+    """
+    if name == "range" and isinstance(dtype, _NUMERIC) and not isinstance(dtype, T.DecimalType):
+        low, high = (_bound(params, bound) for bound in ("min_value", "max_value"))
+        if isinstance(dtype, T.IntegralType):
+            # Bounds of the column's own type, as a cast of the column is not pushed.
+            low = None if low is None or low < -(2.0**62) else math.ceil(min(low, 2.0**62))
+            high = None if high is None or high > 2.0**62 else math.floor(max(high, -(2.0**62)))
+        fails, passes = value.isNull(), value.isNotNull()
+        if low is not None:
+            fails, passes = fails | (value < low), passes & (value >= low)
+        if high is not None:
+            fails = fails | (value > high)
+            if not isinstance(dtype, FLOATING):
+                passes = passes & (value <= high)
+        return fails, passes
+    if name == "enum":
+        allowed = list(params.get("allowed_values", ()))
+        matching = (_comparable(item, dtype) for item in allowed)
+        literals = list(dict.fromkeys(item for item in matching if item is not None))
+        if not literals or isinstance(dtype, T.FloatType):
+            return None
+        listed = value.isin(*literals)
+        if None in allowed:
+            return ~listed, listed | value.isNull()
+        return value.isNull() | ~listed, value.isNotNull() & listed
+    return None
+
+
 def _bound(params: Params, name: str) -> float | None:
     if name not in params:
         return None
@@ -146,6 +187,7 @@ VALIDATORS: dict[str, Validator] = {
     "tr_iban": _identifier(identifiers.is_tr_iban),
     "phone_tr": _identifier(identifiers.is_tr_mobile),
 }
+TEXT_VALIDATORS = ("regex", "tckn", "vkn", "tr_iban", "phone_tr")
 ALIASES = {"tc_kimlik": "tckn", "vergi_no": "vkn", "iban": "tr_iban", "telefon": "phone_tr"}
 
 _CUSTOM: dict[str, CustomCheck] = {}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import cached_property, partial
+from functools import cached_property, partial, reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from rowsieve.functions.patterns import check_patterns, full_match_pattern
 from rowsieve.functions.text import bind, inline, is_missing, named
 from rowsieve.functions.validators import (
     custom_checks,
+    pushable,
     reject_complex,
     validator_for,
     validator_name,
@@ -35,6 +37,7 @@ class Check:
     column: str | None
     fails: Column | None = None
     for_filter: Callable[[], Column] | None = None
+    pushable: tuple[Column, Column] | None = None
     keys: tuple[str, ...] = ()
     absent: str | None = None
 
@@ -70,6 +73,7 @@ def compile_checks(
         if rule.column is None:
             raise RuleError(f"rule {rule.id!r} of type {rule.type!r} needs 'column'")
         value, dtype = named(rule.column), types[rule.column]
+        pushed = None
         if rule.type == "completeness":
             fails, for_filter = is_missing(value, dtype), None
         elif rule.type == "validity":
@@ -79,6 +83,7 @@ def compile_checks(
             validator = validator_for(rule.validator)
             fails = validator(value, dtype, rule.params, inline)
             for_filter = partial(validator, value, dtype, rule.params, bind)
+            pushed = pushable(validator_name(rule.validator), value, dtype, rule.params)
             if validator_name(rule.validator) == "regex":
                 patterns.append(full_match_pattern(str(rule.params.get("pattern", ""))))
         elif rule.type in custom:
@@ -86,6 +91,16 @@ def compile_checks(
             for_filter = None
         else:
             raise RuleError(f"rule {rule.id!r} has unknown type {rule.type!r}")
-        checks.append(Check(position, rule, threshold, rule.column, fails, for_filter))
+        checks.append(Check(position, rule, threshold, rule.column, fails, for_filter, pushed))
     check_patterns(df.sparkSession, dict.fromkeys(patterns))
     return checks
+
+
+def for_scan(checks: Iterable[Check]) -> tuple[Column, Column]:
+    """What a scan may skip by: true for every row that breaks one of the checks, and true for
+    every row that breaks none. Where nothing is known it is just true."""
+    known = [check.pushable for check in checks]
+    passing = reduce(and_, [found[1] for found in known if found], F.lit(True))
+    if not known or None in known:
+        return F.lit(True), passing
+    return reduce(or_, [found[0] for found in known]), passing

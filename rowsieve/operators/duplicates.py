@@ -9,6 +9,9 @@ the rows are compared with it:
   size is proven before the hint is given. The table itself is not shuffled.
 * many repeated keys: the first rows are joined on row order. That key is unique, so
   the join spreads evenly however skewed the duplicated keys are.
+
+Row order is made unique by file positions before either way is taken, so both mark the same
+rows, and as many as a uniqueness rule counts, whatever ties or NULLs the given order has.
 """
 
 from __future__ import annotations
@@ -25,11 +28,15 @@ from pyspark.sql import types as T
 
 from rowsieve.functions.text import NARROW_KEY_BYTES, named
 from rowsieve.operators.validate import key_columns
+from rowsieve.plans.cluster import fresh_folder
+from rowsieve.sources.readers import land
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 # Row header, null bits and offsets of one entry in the broadcast hash table.
 ENTRY_OVERHEAD_BYTES = 64
 
+# A path is taken to be this long, rather than measured by one more scan.
+LONGEST_PATH_BYTES = 1024
 FILE_POSITION = ("__file_path", "__row_index")
 
 
@@ -38,12 +45,26 @@ class RowOrderError(ValueError):
 
 
 def with_row_order(df: DataFrame, order_by: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
-    """The table and the columns giving its row order, which must be unique per row.
+    """The table and the columns giving its row order, unique per row.
 
-    Without ``order_by`` a Parquet table is ordered by file and position in the file.
+    Rows go by ``order_by``, NULL first, and where that ties by file and position in the
+    file. A table without positions is taken as it is if ``order_by`` tells all of its rows
+    apart, which one job over these columns finds out, and landed as Parquet if not.
     """
-    if order_by:
-        return df, [order_by] if isinstance(order_by, str) else list(order_by)
+    wanted = [order_by] if isinstance(order_by, str) else list(order_by or ())
+    try:
+        placed, place = _with_positions(df)
+    except RowOrderError:
+        if not wanted:
+            raise
+        if not count_duplicates(df, tuple(wanted)).rows:
+            return df, wanted
+        spark = df.sparkSession
+        placed, place = _with_positions(land(df, fresh_folder(spark, "landed/ordered")))
+    return placed, [*wanted, *place]
+
+
+def _with_positions(df: DataFrame) -> tuple[DataFrame, list[str]]:
     try:
         placed = df.select(
             "*",
@@ -82,10 +103,9 @@ def _first_names(order: list[str]) -> list[str]:
 
 
 def _order_value(names: list[str]) -> Column:
-    # A lone column stays bare: min() of a primitive runs in the hash aggregate, while
-    # min() of a struct needs the rows sorted by key.
-    columns = [named(name).alias(f"o{place}") for place, name in enumerate(names)]
-    return columns[0] if len(columns) == 1 else F.struct(*columns)
+    # A struct compares NULL as smaller than all values, where min() of a bare column would
+    # pass over it and a comparison give NULL.
+    return F.struct(*[named(name).alias(f"o{place}") for place, name in enumerate(names)])
 
 
 def _keys_and_order(df: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
@@ -100,7 +120,7 @@ def first_rows(
         F.min("__order").alias("__first"), F.count(F.lit(1)).alias("__n")
     )
     first = F.col("__first")
-    parts = [first] if len(order) == 1 else [first[f"o{place}"] for place in range(len(order))]
+    parts = [first[f"o{place}"] for place in range(len(order))]
     return found.filter(F.col("__n") >= least).select(
         *[F.col(name).alias(f"{name}_r") for name in _key_names(keys)],
         *[part.alias(name) for part, name in zip(parts, _first_names(order), strict=True)],
@@ -111,12 +131,10 @@ def first_rows(
 def _first_of_repeated(df: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
     """First rows of the keys seen more than once, which are known to be few.
 
-    With several order columns the rows of other keys are dropped before the aggregate,
-    by a count that hashes, so that only rows of repeated keys are ever sorted.
+    Rows of other keys are dropped before the aggregate, by a count that hashes, so that
+    only rows of repeated keys are ever sorted.
     """
     rows = _keys_and_order(df, keys, order)
-    if len(order) == 1:
-        return first_rows(rows, keys, order, least=2)
     names = _key_names(keys)
     repeated = rows.groupBy(*names).count().filter(F.col("count") > 1)
     repeated = repeated.select(*[F.col(name).alias(f"{name}_r") for name in names])
@@ -132,6 +150,8 @@ def fits_broadcast(
     width = ENTRY_OVERHEAD_BYTES + sum(_key_bytes(types[name]) for name in keys)
     if entries * width > limit:
         return False
+    order = [name for name in order if name not in FILE_POSITION]
+    width += LONGEST_PATH_BYTES
     texts = [name for name in order if isinstance(types[name], (T.StringType, T.BinaryType))]
     width += 16 * (len(order) - len(texts))
     if texts:
@@ -173,8 +193,7 @@ def mark_duplicates(
     if _few_keys(df, keys, order, found, broadcast_bytes):
         leaders = F.broadcast(_first_of_repeated(df, keys, order))
         matched = keyed.join(leaders, _same(names), "left")
-        later = F.coalesce(here > _order_value(firsts), F.lit(True))
-        repeats = F.col("__hit").isNotNull() & later
+        repeats = F.col("__hit").isNotNull() & (here > _order_value(firsts))
     else:
         leaders = first_rows(_keys_and_order(df, keys, order), keys, order)
         at_first = [

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rowsieve.functions.text import named
-from rowsieve.operators.checks import Check, compile_checks
+from rowsieve.operators.checks import Check, compile_checks, for_scan
 from rowsieve.operators.duplicates import BROADCAST_BYTES, Duplicates, with_row_order
 from rowsieve.operators.validate import results_of
 from rowsieve.operators.violations import ENGLISH_LABELS, Labels, reason_text, with_flags
@@ -34,6 +34,7 @@ class Split:
     broken: Column
     broken_in_filter: Column
     reasons: Column
+    scan: tuple[Column, Column]
 
     def _besides_reasons(self) -> list[Column]:
         """The table's columns, without the reasons of an earlier split."""
@@ -50,12 +51,12 @@ class Split:
 
     @property
     def clean(self) -> DataFrame:
-        kept = self.flagged.filter(~self.broken_in_filter)
+        kept = self.flagged.filter(self.scan[1]).filter(~self.broken_in_filter)
         return kept.select(*[named(name) for name in self.columns])
 
     @property
     def quarantine(self) -> DataFrame:
-        held = self.flagged.filter(self.broken_in_filter)
+        held = self.flagged.filter(self.scan[0]).filter(self.broken_in_filter)
         return held.select(*self._besides_reasons(), self.reasons.alias(REASON_COLUMN))
 
     def counts(self) -> DataFrame:
@@ -124,4 +125,5 @@ def split(
         reduce(or_, flags.values(), F.lit(False)),
         reduce(or_, {**flags, **in_filter}.values(), F.lit(False)),
         F.concat_ws(" | ", *reasons),
+        for_scan(active),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowsieve.functions.text import as_text, is_missing, named
-from rowsieve.operators.checks import Check, compile_checks
+from rowsieve.operators.checks import Check, compile_checks, for_scan
 from rowsieve.operators.duplicates import (
     BROADCAST_BYTES,
     Duplicates,
@@ -30,14 +30,6 @@ ENGLISH_LABELS: Labels = {
     "other": "[{column}] rule violated: {rule}",
     "blank": "blank",
 }
-# Reason texts in Turkish, for readers of earlier quarantine files.
-TURKISH_LABELS: Labels = {
-    "completeness": "[{column}] Sütunu Eksik Veri ({value})",
-    "uniqueness": "[{column}] Sütununda Tekrarlayan Kayıt ({value})",
-    "validity": "[{column}] Sütununda Format/Değer Hatası ({value})",
-    "other": "[{column}] Kural İhlali: {rule}",
-    "blank": "boş",
-}
 
 VIOLATION_COLUMNS = {
     "rule_position": "int",
@@ -129,8 +121,11 @@ def violations(
     found: dict[tuple[str, ...], Duplicates] = {}
     if results is not None:
         verdicts = results.collect() if isinstance(results, DataFrame) else results
-        failed = {row["rule_position"]: row["failed_count"] for row in verdicts}
-        found = {check.keys: Duplicates(failed[check.position]) for check in unique}
+        counted = {row["rule_position"]: row for row in verdicts}
+        for check in unique:
+            row = counted[check.position]
+            keys = row["repeated_keys"] if "repeated_keys" in row else None
+            found[check.keys] = Duplicates(row["failed_count"], keys)
     for check in unique:
         if check.keys not in found:
             found[check.keys] = count_duplicates(df, check.keys)
@@ -164,11 +159,13 @@ def violations(
         for check in checks
         if check.position in flags
     ]
-    places = [named(name) for name in order]
+    shown = [order_by] if isinstance(order_by, str) else list(order_by or order)
+    places = [named(name) for name in shown]
     if not entries:
         typed = [F.lit(None).cast(dtype).alias(name) for name, dtype in VIOLATION_COLUMNS.items()]
         return placed.filter(F.lit(False)).select(*places, *typed)
-    listed = flagged.filter(reduce(or_, broken)).select(
+    scan, _ = for_scan([check for check in checks if check.position in flags])
+    listed = flagged.filter(scan).filter(reduce(or_, broken)).select(
         *places, F.explode(F.array(*entries)).alias("__found")
     )
     listed = listed.filter(F.col("__found").isNotNull()).select(*places, "__found.*")

@@ -14,7 +14,7 @@ from rowsieve.operators.report import summarise
 from rowsieve.operators.split import Split, split
 from rowsieve.operators.validate import RESULT_COLUMNS, RESULT_SCHEMA, results_of
 from rowsieve.operators.violations import ENGLISH_LABELS, Labels
-from rowsieve.plans.cluster import shared_folder
+from rowsieve.plans.cluster import fresh_folder
 from rowsieve.rules import DEFAULT_THRESHOLD, Rule, default_rules
 from rowsieve.sources.readers import land
 from rowsieve.sources.writers import write_report, write_split
@@ -57,7 +57,7 @@ def run(
     try:
         rows = split(df, chosen, counted, order_by, default_threshold, labels)
     except RowOrderError:
-        landed = land(df, f"{shared_folder(spark)}/landed/{name}")
+        landed = land(df, fresh_folder(spark, f"landed/{name}"))
         rows = split(landed, chosen, counted, None, default_threshold, labels)
     done = Run(name, verdicts, results, summarise(results), rows)
     if root is not None:

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowsieve.functions.text import as_text
 from rowsieve.functions.validators import register_check
-from rowsieve.operators.duplicates import duplicate_rows
+from rowsieve.operators.duplicates import BROADCAST_BYTES, duplicate_rows
 from rowsieve.operators.profile import null_counts, profile
 from rowsieve.operators.report import blocking_failures, summarise, with_pass_rate
 from rowsieve.operators.split import Split, split
 from rowsieve.operators.validate import RESULT_COLUMNS, validate
 from rowsieve.operators.violations import violations
-from rowsieve.plans.cluster import shared_folder
+from rowsieve.plans.cluster import fresh_folder
 from rowsieve.plans.runs import run
 from rowsieve.rules import Rule, default_rules, rules_from_form
 from rowsieve.sources.readers import infer_types, null_nans, null_tokens, read
@@ -302,16 +302,98 @@ def _round_trip(fmt: str, **options) -> Query:
     """Orders written as text files to the shared folder, read back and validated."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"{shared_folder(spark)}/orders_{fmt}"
-        orders = table(spark, sf_dir, "orders").drop("o_orderdate")
+        path = fresh_folder(spark, f"orders_{fmt}")
+        orders = table(spark, sf_dir, "orders")
         orders.write.mode("overwrite").option("header", True).format(fmt).save(path)
         return compared(validate(read(spark, path, fmt, **options), ORDER_RULES))
 
     return query
 
 
+SCHEMA_RULES = [
+    rule("type_present", "completeness", "na_type", threshold=1.0),
+    valid("type_known", "na_type", "enum", 0.5, allowed_values=["view", "click", "purchase"]),
+    valid("value_range", "value", "range", 0.5, min_value=5),
+]
+
+
+def _csv_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that spell a missing value are missing with a schema too."""
+    path = fresh_folder(spark, "events_csv")
+    events = table(spark, sf_dir, "events", "na_type").select("event_id", "na_type", "value")
+    events.write.option("header", True).csv(path)
+    df = read(spark, path, "csv", schema="event_id bigint, na_type string, value double")
+    return compared(validate(df, SCHEMA_RULES))
+
+
+def _json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are one array of records each; the columns keep the records' order."""
+    path = fresh_folder(spark, "labels_json")
+    records = F.to_json(F.struct("toxic", "quality", "doc_id"))
+    # A thousand ids to an array, and one array to a folder.
+    part = F.floor(F.col("doc_id") / 1000).alias("part")
+    labels = table(spark, sf_dir, "labels").select(part, records.alias("one"))
+    arrays = labels.groupBy("part").agg(F.collect_list("one").alias("all"))
+    joined = F.concat(F.lit("["), F.array_join("all", ",\n"), F.lit("]"))
+    arrays.select("part", joined.alias("value")).write.partitionBy("part").text(path)
+    df = read(spark, f"{path}/*", "json")
+    order = ",".join(df.columns)
+    return df.agg(
+        F.lit(order).alias("column_order"),
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum("doc_id").alias("doc_id_sum"),
+        F.sum("quality").alias("quality_sum"),
+        F.sum("toxic").alias("toxic_sum"),
+    )
+
+
+def _identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers read from CSV stay text where a rule reads them so."""
+    path = fresh_folder(spark, "identifiers_csv")
+    orders = table(spark, sf_dir, "orders", "tck", "vk", "ib", "ph")
+    orders.select("o_orderkey", "tck", "vk", "ib", "ph").write.option("header", True).csv(path)
+    return compared(validate(read(spark, path, "csv", rules=IDENTIFIER_RULES), IDENTIFIER_RULES))
+
+
+def _enum_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "lineitem").withColumn(
+        "tenths", F.col("l_discount").cast("decimal(10,2)")
+    )
+    return compared(
+        validate(parts, [valid("listed", "tenths", "enum", allowed_values=[0.5, 0, 0.1])])
+    )
+
+
+def _tied(limit: int, order: str = "lang") -> Query:
+    """Repeats of a language, in an order that ties for all of them, counted."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        documents = table(spark, sf_dir, "documents")
+        if order not in documents.columns:
+            documents = documents.withColumn(order, F.expr("nullif(doc_id % 3, 0)"))
+        marked = duplicate_rows(documents, ["lang"], [order], broadcast_bytes=limit)
+        return marked.groupBy("lang").agg(F.count(F.lit(1)).alias("repeats"))
+
+    return query
+
+
+def _split_counts_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [rule("lang_unique", "uniqueness", "lang", threshold=1.0)]
+    return split(table(spark, sf_dir, "documents"), rules, order_by=["lang"]).counts()
+
+
+def _in_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failing rows in row order; each row's number in the sorted result shows it."""
+    found = violations(
+        table(spark, sf_dir, "customer"), SPLIT_RULES, ["c_custkey"], in_row_order=True
+    )
+    rows = found.select("c_custkey", "rule_position", F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(Window.orderBy("at"))
+    return rows.select("c_custkey", "rule_position", place.cast("long").alias("row_number"))
+
+
 def _sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{shared_folder(spark)}/customer_rows"
+    root = fresh_folder(spark, "customer_rows")
     write_split(_customer_split(spark, sf_dir), root, "customer")
     rows = spark.read.parquet(f"{root}/rows")
     return rows.groupBy("run_id", F.col("sieve_outcome").alias("outcome")).agg(
@@ -322,7 +404,7 @@ def _sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{shared_folder(spark)}/customer_report"
+    root = fresh_folder(spark, "customer_report")
     verdicts = validate(table(spark, sf_dir, "customer"), SPLIT_RULES).collect()
     write_report(spark, verdicts, root, "customer", source="customer")
     written = spark.read.json(f"{root}/results")
@@ -415,7 +497,7 @@ QUERIES: dict[str, Query] = {
     "threshold_edge": _threshold_edge,
     "threshold_default": _threshold_default,
     "empty_table": _empty_table,
-    "skipped_rule": checked("orders", [ORDER_RULES[-1]]),
+    "skipped_rule": checked("orders", [ORDER_RULES[-1], ORDER_RULES[0]]),
     "validate_orders": _validate_orders,
     "validate_customer": checked("customer", CUSTOMER_RULES),
     "form_rules": _form_rules,
@@ -449,6 +531,19 @@ QUERIES: dict[str, Query] = {
     "source_inferred_types": _inferred_types,
     "source_csv": _round_trip("csv"),
     "source_json": _round_trip("json", lines=True),
+    "source_csv_schema": _csv_schema,
+    "source_json_array": _json_array,
+    "source_identifiers": _identifiers,
+    "duplicate_rows_tied": _tied(BROADCAST_BYTES),
+    "duplicate_rows_tied_shuffled": _tied(0),
+    "duplicate_rows_null_order": _tied(BROADCAST_BYTES, "third"),
+    "duplicate_rows_null_order_shuffled": _tied(0, "third"),
+    "split_counts_tied": _split_counts_tied,
+    "violations_in_row_order": _in_row_order,
+    "validity_enum_decimal": _enum_decimal,
+    "validity_regex_text": checked(
+        "documents", [valid("characters", "text", "regex", pattern=r"(a|b|[^ab])*")]
+    ),
     "sink_rows": _sink_rows,
     "sink_report": _sink_report,
 }

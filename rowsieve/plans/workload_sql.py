@@ -323,6 +323,8 @@ def _profile_flags() -> str:
     )
 
 
+_REPEATS = "SELECT lang, count(*) - 1 AS repeats FROM documents GROUP BY lang HAVING count(*) > 1"
+
 ORACLE_SQL: dict[str, str] = {
     "completeness_gaps": _result(1, "gap_present", "completeness", "gap", _GAP),
     "completeness_full": _result(
@@ -455,7 +457,13 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "empty_table": "WITH orders_none AS (SELECT * FROM orders WHERE false) "
     + _all(*_ORDERS).replace("FROM orders", "FROM orders_none"),
-    "skipped_rule": _skipped(1, "absent_column", "no_such_column", "info"),
+    "skipped_rule": _all(
+        _skipped(1, "absent_column", "no_such_column", "info"),
+        _result(
+            2, "priority_present", "completeness", "o_orderpriority",
+            _failing("orders", _blank("o_orderpriority")), "1.0",
+        ),
+    ),
     "validate_orders": (
         "SELECT *, CASE WHEN total_count = 0 THEN CAST(1 AS DOUBLE) ELSE "
         "CAST(total_count - failed_count AS DOUBLE) / total_count END AS pass_rate "
@@ -584,4 +592,52 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT 'customer' AS run_id, 'customer' AS source, rule_id, status, "
         f"round(score, 4) AS score, failed_count FROM ({_CUSTOMER_SPLIT_RESULTS}) AS results"
     ),
+    "source_identifiers": _all(
+        _result(1, "national_id", "validity", "tck", _failing(_IDS, _tckn("tck"))),
+        _result(2, "tax_no", "validity", "vk", _failing(_IDS, _vkn("vk"))),
+        _result(3, "bank_account", "validity", "ib", _failing(_IDS, _iban("ib"))),
+        _result(4, "mobile", "validity", "ph", _failing(_IDS, _mobile("ph"))),
+    ),
+    "source_csv_schema": _all(
+        _result(
+            1, "type_present", "completeness", "na_type",
+            _failing("events", "event_type IN ('error', 'view')"), "1.0",
+        ),
+        _result(
+            2, "type_known", "validity", "na_type",
+            _failing("events", "event_type NOT IN ('click', 'purchase')"), "0.5",
+        ),
+        _result(
+            3, "value_range", "validity", "value",
+            _failing("events", "value IS NULL OR value < 5"), "0.5",
+        ),
+    ),
+    "source_json_array": (
+        "SELECT 'toxic,quality,doc_id' AS column_order, count(*) AS row_count, "
+        "CAST(sum(doc_id) AS BIGINT) AS doc_id_sum, CAST(sum(quality) AS BIGINT) AS quality_sum, "
+        "CAST(sum(toxic) AS BIGINT) AS toxic_sum FROM labels"
+    ),
+    "duplicate_rows_tied": _REPEATS,
+    "duplicate_rows_tied_shuffled": _REPEATS,
+    "duplicate_rows_null_order": _REPEATS,
+    "duplicate_rows_null_order_shuffled": _REPEATS,
+    "split_counts_tied": (
+        "SELECT count(*) AS total_rows, count(DISTINCT lang) AS clean_rows, "
+        "count(*) - count(DISTINCT lang) AS quarantine_rows FROM documents"
+    ),
+    "violations_in_row_order": (
+        "SELECT c_custkey, rule_position, row_number() OVER (ORDER BY c_custkey, rule_position) "
+        "AS row_number FROM ("
+        f"SELECT c_custkey, CAST(1 AS INTEGER) AS rule_position FROM customer WHERE {_BALANCE} "
+        "UNION ALL SELECT c_custkey, CAST(2 AS INTEGER) FROM customer WHERE c_mktsegment NOT IN "
+        "('BUILDING', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE') "
+        "UNION ALL SELECT c_custkey, CAST(3 AS INTEGER) FROM customer WHERE c_nationkey > 20) AS found"
+    ),
+    "validity_enum_decimal": _result(
+        1, "listed", "validity", "tenths",
+        _failing("lineitem", "CAST(l_discount AS DECIMAL(10, 2)) NOT IN (0.5, 0)"),
+    ),
+    "validity_regex_text": _result(
+        1, "characters", "validity", "text", _failing("documents", "text IS NULL")
+    ),
 }

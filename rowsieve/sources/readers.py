@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from pathlib import PurePosixPath
 
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from rowsieve.functions.numbers import FLOAT_TEXT
 from rowsieve.functions.text import FLOATING, named
+from rowsieve.functions.validators import TEXT_VALIDATORS, validator_name
+from rowsieve.rules import Rule
 
 # Text that stands for a missing cell in CSV files, as pandas reads it.
 NA_TOKENS = (
@@ -59,12 +62,14 @@ def read_csv(
     infer: bool = True,
     schema: T.StructType | str | None = None,
     multi_line: bool = False,
+    rules: Iterable[Rule] = (),
 ) -> DataFrame:
     """CSV with a header row. Cells that spell a missing value become NULL.
 
     Types are the narrowest each whole column fits, which costs one extra pass; give a
     ``schema`` to save it. Columns in ``keep_text`` stay text, so that identifiers keep
-    their leading zeros and plus signs. Quoted line breaks need ``multi_line``, which
+    their leading zeros and plus signs; so do columns whose ``rules`` read them as text.
+    Quoted line breaks need ``multi_line``, which
     makes each file one task. Code pages other than the Unicode ones and Latin-1, such as
     windows-1254, need ``spark.sql.legacy.javaCharsets=true`` in the session.
     """
@@ -72,9 +77,9 @@ def read_csv(
         header=True, sep=sep, encoding=encoding, multiLine=multi_line, quote='"', escape='"'
     )
     if schema is not None:
-        return null_nans(reader.options(nullValue="").schema(schema).csv(path))
+        return null_tokens(null_nans(reader.options(nullValue="").schema(schema).csv(path)))
     text = null_tokens(reader.csv(path))
-    return infer_types(text, keep_text) if infer else text
+    return infer_types(text, {*keep_text, *text_columns(rules)}) if infer else text
 
 
 def read_json(
@@ -84,8 +89,38 @@ def read_json(
     schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """An array of records per file, or with ``lines`` one record per line, which splits."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return null_nans(reader.json(path, multiLine=not lines))
+    if schema is not None:
+        return null_nans(spark.read.schema(schema).json(path, multiLine=not lines))
+    df = null_nans(spark.read.json(path, multiLine=not lines))
+    # Spark sorts the columns it finds by name. They come in the first record's order again,
+    # with those that it lacks behind.
+    first = [name for name in _first_record(spark, path) if name in df.columns]
+    return df.select(*[named(name) for name in dict.fromkeys([*first, *df.columns])])
+
+
+def _first_record(spark: SparkSession, path: str) -> list[str]:
+    """The names in the first record, from no more lines than it takes to close it."""
+    lines = 64
+    while True:
+        head = [row[0] for row in spark.read.text(path).limit(lines).collect()]
+        text = "\n".join(head).lstrip("\ufeff \t\r\n[")
+        try:
+            record, _ = json.JSONDecoder().raw_decode(text)
+        except ValueError:
+            if len(head) < lines:
+                return []
+            lines *= 8
+        else:
+            return list(record) if isinstance(record, dict) else []
+
+
+def text_columns(rules: Iterable[Rule]) -> set[str]:
+    """Columns that a rule reads character by character."""
+    return {
+        rule.column
+        for rule in rules
+        if rule.column and rule.type == "validity" and validator_name(rule.validator) in TEXT_VALIDATORS
+    }
 
 
 def land(df: DataFrame, path: str) -> DataFrame:

@@ -23,6 +23,7 @@ def spark() -> SparkSession:
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="rowsieve-warehouse-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rowsieve-shared-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
