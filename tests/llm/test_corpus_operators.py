@@ -132,7 +132,9 @@ def test_mixing_meets_targets(spark, docs, empty, rows):
                 free.discard(name)
     for name in names:
         assert target[name] == pytest.approx(goal[name])
-        assert abs(taken[name] - goal[name]) <= max(60, 0.02 * goal[name])
+        # What is left out does not fit, and rows stay whole.
+        left_out = [row.size for row in got if row.source == name and 0 < row.size and row.taken < 2 * row.size]
+        assert abs(taken[name] - goal[name]) <= min(left_out, default=1)
     again = mixing.mix(docs.repartition(2), F.col("doc_id"), F.col("source"), word_count(), seed=3)
     assert sorted(map(str, again.rows.collect())) == sorted(map(str, got))
     assert mixing.mix(empty, F.col("doc_id"), F.col("source"), word_count()).rows.collect() == []
