@@ -123,51 +123,50 @@ def similar_pairs(
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     crowd = entries.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("crowd"))
     # The centre of a group of copies meets all of them, copies meet each other less often.
-    here = stored(entries.join(crowd, "node").withColumn("seen", F.lit(False)))
-    edges, centres = None, 1
+    here = entries.join(crowd, "node").withColumn("seen", F.lit(False))
+    here = stored(here.withColumn("class", F.col("node")))
+    edges, past, centres = None, None, 1
     while True:
         unseen = here.filter(~F.col("seen"))
-        ranked = unseen.groupBy("bucket").agg(
-            F.max(F.struct("crowd", (-F.col("node")).alias("minus"))).alias("top")
-        )
         if centres == 1:
-            middle = ranked.select("bucket", (-F.col("top.minus")).alias("centre"))
+            ranked = unseen.groupBy("bucket").agg(
+                F.max(F.struct("crowd", (-F.col("node")).alias("minus"), "class")).alias("top")
+            )
+            middle = ranked.select(
+                "bucket", (-F.col("top.minus")).alias("centre"), F.col("top.class").alias("own")
+            )
         else:
             by_crowd = Window.partitionBy("bucket").orderBy(F.desc("crowd"), "node")
             middle = (
                 unseen.withColumn("place", F.row_number().over(by_crowd))
                 .filter(F.col("place") <= centres)
-                .select("bucket", F.col("node").alias("centre"))
+                .select("bucket", F.col("node").alias("centre"), F.col("class").alias("own"))
             )
         middle = stored(middle)
         if not middle.limit(1).count():
             return edges
-        pairs = here.join(middle, "bucket").filter("node <> centre").select("centre", "node")
-        pairs = stored(pairs.distinct())
+        # Earlier centres have met all, and one class has nothing to learn.
+        pairs = unseen.join(middle, "bucket").filter("node <> centre and class <> own")
+        pairs = pairs.select("centre", "node").distinct()
+        if past is not None:
+            pairs = pairs.join(past, ["centre", "node"], "left_anti")
+        pairs = stored(pairs)
         found = stored(compared(pairs, texts, shingled, alike, least))
-        edges = found if edges is None else stored(edges.unionByName(found))
-        if not edges.limit(1).count():
-            classes = None
-        else:
-            classes = components(edges)
-        marks = middle.withColumnRenamed("centre", "node").withColumn("done", F.lit(True))
-        after = here.join(marks, ["bucket", "node"], "left")
-        if classes is None:
-            after = after.withColumn("class", F.col("node"))
-        else:
-            after = after.join(classes, "node", "left").withColumn(
-                "class", F.coalesce("component", "node")
-            )
-        after = stored(
-            after.select(
-                "node", "bucket", "crowd", (F.col("seen") | F.coalesce("done", F.lit(False))).alias("seen"), "class"
-            )
+        past = pairs if past is None else past.union(pairs)
+        marks = middle.select("bucket", F.col("centre").alias("node"), F.lit(True).alias("done"))
+        after = here.join(marks, ["bucket", "node"], "left").withColumn(
+            "seen", F.col("seen") | F.coalesce("done", F.lit(False))
         )
-        open_ = after.groupBy("bucket").agg(
+        if found.limit(1).count():
+            edges = found if edges is None else stored(edges.unionByName(found))
+            after = after.drop("class").join(components(edges), "node", "left")
+            after = after.withColumn("class", F.coalesce("component", "node"))
+        after = stored(after.select("node", "bucket", "crowd", "seen", "class"))
+        left = after.groupBy("bucket").agg(
             F.min("class").alias("low"), F.max("class").alias("high"), F.bool_and("seen").alias("all")
         )
-        open_ = open_.filter("low <> high and not all").select("bucket")
-        here = stored(after.join(open_, "bucket", "left_semi").drop("class"))
+        left = left.filter("low <> high and not all").select("bucket")
+        here = stored(after.join(left, "bucket", "left_semi"))
         centres *= 2
 
 
