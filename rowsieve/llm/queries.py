@@ -78,9 +78,8 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return judged(documents.select("doc_id", "text", "lang"), references(documents)).drop(
-        "text", "lang"
-    )
+    found = judged(documents.select("doc_id", "text", "lang"), references(documents))
+    return found.drop("text", "lang", "class_distance", "word_distance")
 
 
 # The rules of the URL query.

@@ -1,6 +1,82 @@
 """DuckDB equivalents of the corpus queries that SQL can express."""
 
+
+
+def _distance(counts: str, total: str, shares: str) -> str:
+    p, q = f"({counts}[i] / {total})", f"{shares}[i]"
+    return f"""sqrt(greatest(list_sum(list_transform(range(1, len({shares}) + 1), lambda i:
+        case when {counts}[i] > 0 then {p} * log2(2 * {p} / ({p} + {q})) else 0 end / 2
+        + case when {q} > 0 then {q} * log2(2 * {q} / ({p} + {q})) else 0 end / 2)), 0))"""
+
+
+def _kept(characters: str) -> str:
+    return f"length(regexp_replace(t, '[^{characters}]+', '', 'g'))"
+
+
+# As in the quality rules.
+_CLASSES = ", ".join(
+    map(_kept, [r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r".,;:?''\"()-", "#*$%&|<>"])
+)
+QUALITY = rf"""
+    with d as (
+      select doc_id, coalesce(text, '') t, coalesce(lang, '') lang from documents
+    ), f as (
+      select doc_id, lang, t,
+        list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws,
+        [{_CLASSES}] own, length(t) len,
+        length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) black
+      from d
+    ), c as (
+      select *, list_concat(own, [len - black, black - list_sum(own)]) classes from f
+    ), lc as (
+      select lang, sum(len(ws)) total, sum(len) chars,
+        [sum(classes[1]), sum(classes[2]), sum(classes[3]), sum(classes[4]), sum(classes[5]),
+         sum(classes[6]), sum(classes[7])] sums
+      from c group by lang
+    ), lw as (
+      select lang, w, count(*) n from (select lang, unnest(ws) w from c) where length(w) <= 4
+      group by lang, w
+      qualify row_number() over (partition by lang order by count(*) desc, w) <= 24
+    ), refs as (
+      select lc.lang, list_transform(sums, lambda x: x / greatest(chars, 1)) class_share,
+        coalesce(list(w order by n desc, w) filter (w is not null), []) common,
+        list_transform(
+          list_concat(coalesce(list(n order by n desc, w) filter (w is not null), []),
+            [total - coalesce(sum(n), 0)]), lambda x: x / greatest(total, 1)) common_share
+      from lc left join lw on lc.lang = lw.lang group by lc.lang, sums, chars, total
+    ), win as (
+      select doc_id, i, ws[i : i + 4] win from (
+        select doc_id, ws, unnest(range(1, len(ws) - 3)) i from c where len(ws) >= 5)
+    ), rep as (
+      select doc_id, count(distinct p) n from (
+        select doc_id, unnest(range(i, i + 5)) p from (
+          select doc_id, i from win qualify count(*) over (partition by doc_id, win) > 1))
+      group by doc_id
+    ), j as (
+      select c.doc_id, len(ws) n_words, black word_chars, own[5] n_symbols,
+        len(lines) - len(list_distinct(lines)) n_dup_lines, coalesce(rep.n, 0) n_repeat_words,
+        case when black >= 200 then {_distance("classes", "greatest(len, 1)", "class_share")} end cd,
+        case when len(ws) >= 40 then {_distance("hits", "greatest(len(ws), 1)", "common_share")} end wd
+      from (
+        select c.*, common, class_share, common_share,
+          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines,
+          list_concat(
+            list_transform(common, lambda w: len(list_filter(ws, lambda x: x = w))),
+            [len(ws) - len(list_filter(ws, lambda x: list_contains(common, x)))]) hits
+        from c join refs on c.lang = refs.lang
+      ) c left join rep on c.doc_id = rep.doc_id
+    ), b as (
+      select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from j
+    )
+    select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars,
+      cast(n_symbols as bigint) n_symbols, cast(n_dup_lines as bigint) n_dup_lines,
+      cast(n_repeat_words as bigint) n_repeat_words, base_failed,
+      not base_failed and not coalesce(cd > 0.3, false) and not coalesce(wd > 0.42, false) kept
+    from b
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": QUALITY,
     "op4_exact_top_k": """
         with v as (
           select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) v
