@@ -1,33 +1,49 @@
-"""Repeated passages: paragraphs by MinHash banding, exact verification, components.
+"""Repeated passages: paragraphs by MinHash banding, exact verification, components; and what
+they share inside, by units of words.
 
-Paragraphs are the lines of a text that have at least ``LEAST_WORDS`` words; shorter ones are
-headings and forms that many documents share by right. Each is the set of its five-word
-shingles. Bands and rows are tuned so that two paragraphs at the limit of similarity collide
-with the wanted recall; colliding ones are compared by exact Jaccard similarity, and linked
-ones form classes. Of every class the first paragraph, by key and place, stays, and all
+Paragraphs are the lines of a text that have a five-word shingle. Each is the set of its
+five-word shingles. Bands and rows are tuned so that two paragraphs at the limit of similarity
+collide with the wanted recall; colliding ones are compared by exact Jaccard similarity, and
+linked ones form classes. Of every class the first paragraph, by key and place, stays, and all
 others are removed.
 
+Passages that are wrapped otherwise, or stand inside longer lines, share units: ``UNIT_WORDS``
+words in a row, whatever lines they stand in, that begin at the least shingle of any
+``WINDOW`` in a row. So any ``UNIT_WORDS + WINDOW - 1`` words in a row that stand in two
+places share a unit there. Equal units are a class; the first one stays, those outside
+removed lines before all others. Units wholly inside removed lines are left out.
+
 Defined cases: NULL texts have no paragraphs; equal paragraphs are always one class, also
 within a document; repeated rows repeat their paragraphs and so lose them all but once; NULL
-keys come last.
+keys come last. A word that a unit would remove stays where one that stays has it too.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsieve.llm.common import LEAST_SIMILARITY, small_batches, stored
+from rowsieve.llm.common import (
+    LEAST_SIMILARITY,
+    WORD,
+    WORDS_PER_SHINGLE,
+    small_batches,
+    stored,
+)
 from rowsieve.llm.minhash import band_keys, text_digest
-from rowsieve.llm.neighbours import classes
-from rowsieve.llm.shingles import chunks, mixed, shingles_of, similarity, words_of
+from rowsieve.llm.neighbours import classes, small
+from rowsieve.llm.shingles import Words, chunks, mixed, shingles_of, similarity, words_of
 
-LEAST_WORDS = 20
+LEAST_WORDS = WORDS_PER_SHINGLE
+UNIT_WORDS = 20
+WINDOW = 5
 RECALL = 0.999
 ROWS = 3
 
@@ -37,20 +53,28 @@ def tuned_bands(least: float, recall: float = RECALL, rows: int = ROWS) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - least**rows))
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
+
+
 def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, place and text of all lines."""
+    """key, hash of the whole text, place and text of all lines."""
     lines = F.split(F.col(f"`{text}`").cast("string"), "\n")
-    rows = df.select(F.col(f"`{key}`").alias("doc"), F.posexplode(lines).alias("place", "text"))
+    rows = df.select(
+        F.col(f"`{key}`").alias("doc"),
+        text_hash(text).alias("whole"),
+        F.posexplode(lines).alias("place", "text"),
+    )
     # Cheap first: so many words need so many characters.
     return rows.filter(F.length("text") >= 2 * LEAST_WORDS - 1)
 
 
 def signatures(rows: DataFrame, bands: int, rows_per_band: int = ROWS) -> DataFrame:
-    """doc, place, digest and buckets of all paragraphs that are long enough."""
+    """doc, whole, place, digest and buckets of all paragraphs that are long enough."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 2):
-            words = words_of(batch.column(2))
+        for batch in chunks(batches, 3):
+            words = words_of(batch.column(3))
             enough = np.flatnonzero(np.diff(words.starts) >= LEAST_WORDS)
             if not len(enough):
                 continue
@@ -67,15 +91,16 @@ def signatures(rows: DataFrame, bands: int, rows_per_band: int = ROWS) -> DataFr
                 [
                     part.column(0),
                     part.column(1),
-                    pa.array(text_digest(part.column(2).to_pylist()), pa.binary()),
+                    part.column(2),
+                    pa.array(text_digest(part.column(3).to_pylist()), pa.binary()),
                     pa.array(keys.tolist(), pa.list_(pa.int64())),
                 ],
-                names=["doc", "place", "digest", "buckets"],
+                names=["doc", "whole", "place", "digest", "buckets"],
             )
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.select("doc", "place", "text").mapInArrow(
-        sign, f"doc {kind}, place int, digest binary, buckets array<long>"
+    return rows.select("doc", "whole", "place", "text").mapInArrow(
+        sign, f"doc {kind}, whole long, place int, digest binary, buckets array<long>"
     )
 
 
@@ -85,42 +110,194 @@ def shingle_sets(parts: pa.Array) -> list:
     return [(own, np.ones(len(own), dtype=np.float32)) for own in sets]
 
 
-def repeated_passages(
-    df: DataFrame, key: str, text: str = "text", least: float = LEAST_SIMILARITY
-) -> DataFrame:
-    """One row for every paragraph that is like another: key, ``place`` (line, from 0),
-    ``class_key`` and ``class_place`` of the one that stays, ``size`` of the class, ``links``
-    and ``removed``."""
+def unit_places(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the first words of all units, and two hashes of each one's words."""
+    numbers, first, begins = shingles_of(words)
+    if len(numbers) <= UNIT_WORDS - WORDS_PER_SHINGLE:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    own = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    view = np.lib.stride_tricks.sliding_window_view
+    least = np.where(own[: 1 - WINDOW] == own[WINDOW - 1 :], view(numbers, WINDOW).min(axis=1), 0)
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    highest = view(np.concatenate([edge, least.astype(np.uint64), edge]), WINDOW).max(axis=1)
+    whole = first + UNIT_WORDS <= words.starts[1:][own]
+    at = np.flatnonzero((numbers == highest) & whole)
+    hashes = []
+    for seed in (0x9E3779B97F4A7C15, 0x632BE59BD9B4E019):
+        own_hash = np.full(len(at), seed, np.uint64)
+        for step in range(0, UNIT_WORDS, WORDS_PER_SHINGLE):
+            own_hash = mixed(own_hash * np.uint64(seed) + numbers[at + step])
+        hashes.append(own_hash)
+    return first[at], *hashes
+
+
+def units(df: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, whole, first and last line, first word, and two hashes of all units."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 2):
+            lines = pc.split_pattern(pc.fill_null(batch.column(2), ""), "\n")
+            offsets = lines.offsets.to_numpy() - lines.offsets[0].as_py()
+            words = words_of(lines.flatten())
+            starts = words.starts[offsets]
+            at, a, b = unit_places(Words(words.numbers, starts))
+            row = np.searchsorted(starts, at, side="right") - 1
+            ends = (at, at + UNIT_WORDS - 1)
+            line = [np.searchsorted(words.starts, end, side="right") - 1 - offsets[row] for end in ends]
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(rows),
+                    batch.column(1).take(rows),
+                    *[pa.array(place.astype(np.int32)) for place in line],
+                    pa.array((at - starts[row]).astype(np.int64)),
+                    pa.array(a.view(np.int64)),
+                    pa.array(b.view(np.int64)),
+                ],
+                names=["doc", "whole", "place", "last", "first_word", "a", "b"],
+            )
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(f"`{key}`"), text_hash(text), F.col(f"`{text}`").cast("string"))
+    return rows.mapInArrow(
+        cut, f"doc {kind}, whole long, place int, last int, first_word long, a long, b long"
+    )
+
+
+def repeated_units(df: DataFrame, key: str, text: str, gone: DataFrame) -> DataFrame:
+    """The units that stand in several places, and their classes; ``gone`` has the doc, whole
+    and place of lines that are removed."""
+    cut = stored(units(df, key, text))
+    several = cut.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = cut.join(small(stored(several.select("a", "b"))), ["a", "b"], "left_semi")
+    lines = found.withColumn("line", F.explode(F.sequence("place", "last")))
+    gone = gone.select(
+        F.col("doc").alias("_doc"), F.col("whole").alias("_whole"), F.col("place").alias("_line")
+    ).distinct()
+    same = (
+        F.col("doc").eqNullSafe(F.col("_doc"))
+        & (F.col("whole") == F.col("_whole"))
+        & (F.col("line") == F.col("_line"))
+    )
+    own = F.struct(F.col("doc").isNull().alias("none"), "doc", "place", "first_word")
+    marked = (
+        lines.join(gone, same, "left")
+        .groupBy("doc", "whole", "place", "last", "first_word", "a", "b")
+        .agg(F.count(F.lit(1)).alias("n"), F.count("_line").alias("removed"))
+        .filter("removed < n")
+        .select(
+            "a",
+            "b",
+            (F.col("removed") > 0).alias("torn"),
+            own.alias("key"),
+            # Repeated rows have their units in common.
+            (F.col("n") / (F.col("last") - F.col("place") + 1)).cast("long").alias("copies"),
+            "whole",
+        )
+    )
+    marked = stored(marked)
+    tops = marked.groupBy("a", "b").agg(
+        F.min(F.struct("torn", "key")).alias("top"), F.sum("copies").alias("size")
+    )
+    tops = stored(tops.filter("size > 1").select("a", "b", F.col("top.key").alias("class"), "size"))
+    return marked.join(small(tops), ["a", "b"]).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+    )
+
+
+def _passages(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
     small_batches(df.sparkSession)
     lines = paragraphs(df, key, text)
     signed = signatures(lines, tuned_bands(least))
     # NULL keys last, as structs sort NULLs first.
     own = F.struct(F.col("doc").isNull().alias("none"), "doc", "place")
-    signed = stored(signed.select(own.alias("key"), "digest", "buckets"))
+    signed = stored(signed.select(own.alias("key"), "whole", "digest", "buckets"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         own = F.struct(F.col("doc").isNull().alias("none"), "doc", "place")
         return lines.select(own.alias("first"), "text").join(wanted, "first")
 
     found = classes(signed, texts_of, shingle_sets, similarity, least).filter("size > 1")
-    return signed.select("key", "digest").join(found, "digest").select(
-        F.col("key.doc").alias(key),
-        F.col("key.place").alias("place"),
-        F.col("class.doc").alias("class_key"),
-        F.col("class.place").alias("class_place"),
-        "size",
-        "links",
-        (F.col("key") != F.col("class")).alias("removed"),
+    whole_lines = stored(
+        signed.select("key", "whole", "digest").join(found, "digest").select(
+            F.col("key.doc").alias("doc"),
+            F.col("key.place").alias("place"),
+            F.col("class.doc").alias("class_key"),
+            F.col("class.place").alias("class_place"),
+            "size",
+            "links",
+            (F.col("key") != F.col("class")).alias("removed"),
+            F.lit(None).cast("long").alias("first_word"),
+            F.lit(None).cast("int").alias("words"),
+            "whole",
+        )
     )
+    inside = repeated_units(df, key, text, whole_lines.filter("removed"))
+    return whole_lines.unionByName(
+        inside.select(
+            F.col("key.doc").alias("doc"),
+            F.col("key.place").alias("place"),
+            F.col("class.doc").alias("class_key"),
+            F.col("class.place").alias("class_place"),
+            "size",
+            F.lit(0).cast("long").alias("links"),
+            (F.col("key") != F.col("class")).alias("removed"),
+            F.col("key.first_word").alias("first_word"),
+            F.lit(UNIT_WORDS).alias("words"),
+            "whole",
+        )
+    )
+
+
+def repeated_passages(
+    df: DataFrame, key: str, text: str = "text", least: float = LEAST_SIMILARITY
+) -> DataFrame:
+    """One row for every paragraph or unit that is like another: key, ``place`` (line, from 0),
+    ``class_key`` and ``class_place`` of the one that stays, ``size`` of the class, ``links``,
+    ``removed``, and of units ``first_word`` (in the text, from 0) and ``words``."""
+    return _passages(df, key, text, least).drop("whole").withColumnRenamed("doc", key)
 
 
 def without_repeats(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The documents without removed lines; a document's lines keep their order."""
-    gone = repeated_passages(df, key, text).filter("removed")
-    gone = gone.groupBy(F.col(key).alias("_key")).agg(F.collect_set("place").alias("_gone"))
-    kept = F.expr(
-        f"""array_join(filter(split(`{text}`, '\\n'),
-          (line, at) -> not array_contains(coalesce(_gone, array()), at)), '\\n')"""
+    """The documents without removed lines and units; what is left keeps its order."""
+    found = _passages(df, key, text, LEAST_SIMILARITY)
+    line = F.col("first_word").isNull()
+    gone = found.groupBy(F.col("doc").alias("_key"), F.col("whole").alias("_whole")).agg(
+        F.collect_set(F.when(line & F.col("removed"), F.col("place"))).alias("_lines"),
+        F.collect_set(F.when(F.col("removed"), F.col("first_word"))).alias("_units"),
+        F.collect_set(F.when(~F.col("removed"), F.col("first_word"))).alias("_stay"),
     )
-    joined = df.join(gone, df[key].eqNullSafe(F.col("_key")), "left")
-    return joined.withColumn(text, kept).select(*[f"`{name}`" for name in df.columns])
+
+    names, at = list(df.columns), df.columns.index(text)
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = []
+            for own, *parts in zip(*[c.to_pylist() for c in (batch.column(at), *batch.columns[-3:])], strict=True):
+                cut.append(own if own is None else cut_text(own, *[part or [] for part in parts]))
+            arrays = batch.columns[:-3]
+            arrays[at] = pa.array(cut, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    same = df[key].eqNullSafe(F.col("_key")) & (text_hash(text) == F.col("_whole"))
+    joined = df.join(gone, same, "left").withColumn(text, F.col(f"`{text}`").cast("string"))
+    columns = [*[f"`{name}`" for name in names], "_lines", "_units", "_stay"]
+    schema = df.withColumn(text, F.col(f"`{text}`").cast("string")).schema
+    return joined.select(*columns).mapInArrow(left, schema)
+
+
+def cut_text(text: str, lines: list[int], firsts: list[int], stay: list[int]) -> str:
+    """The text without these lines, and without the words of units that no unit to stay has."""
+    out = {at for first in firsts for at in range(first, first + UNIT_WORDS)}
+    out -= {at for first in stay for at in range(first, first + UNIT_WORDS)}
+    gone, kept, before = set(lines), [], 0
+    for place, line in enumerate(text.split("\n")):
+        spans = [found.span() for found in re.finditer(WORD, line)]
+        cut = [span for at, span in enumerate(spans, before) if at in out]
+        before += len(spans)
+        if place in gone or (spans and len(cut) == len(spans)):
+            continue
+        for start, end in reversed(cut):
+            line = line[:start] + line[end:].lstrip(" ")
+        kept.append(line)
+    return "\n".join(kept)

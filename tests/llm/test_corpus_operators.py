@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from rowsieve.llm.common import table, word_count
 from rowsieve.llm.minhash import near_duplicates, one_of_each
 from rowsieve.llm.queries import URL_RULES, word_tokenizer
 from rowsieve.llm.sharding import admit, ring_shards
+from rowsieve.llm.shingles import words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, start string, size long"
 SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe ri so tu va".split()
@@ -445,5 +447,47 @@ def test_passages(spark, docs, empty, rows):
     assert passages.tuned_bands(0.8) == 10
 
 
+def test_passages_wrapped_and_embedded(spark):
+    rng = random.Random(8)
+    passage, short = words(rng, 60), " ".join(words(rng, 8))
+
+    def wrapped(own, width):
+        return "\n".join(" ".join(own[at : at + width]) for at in range(0, len(own), width))
+
+    texts = [
+        wrapped([*words(rng, 3), *passage, *words(rng, 5)], 8),
+        wrapped([*words(rng, 7), *passage], 13),
+        " ".join([*words(rng, 100), *passage, *words(rng, 100)]),
+        short + "\n" + " ".join(words(rng, 30)),
+        " ".join(words(rng, 40)) + "\n" + short,
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = passages.repeated_passages(df, "doc_id").collect()
+    units = [row for row in got if row.first_word is not None]
+    assert {row.doc_id for row in units} == {0, 1, 2}
+    assert all(row.class_key == 0 and row.removed == (row.doc_id != 0) for row in units)
+    assert all(0 <= row.first_word - {0: 3, 1: 7, 2: 100}[row.doc_id] <= 40 for row in units)
+    assert {(row.doc_id, row.place, row.removed) for row in got if row.first_word is None} == {
+        (3, 0, False), (4, 1, True),
+    }
+    left = {row.doc_id: row.text for row in passages.without_repeats(df, "doc_id").collect()}
+    assert [left[0], left[3], left[5]] == [texts[0], texts[3], None]
+    assert left[4] == texts[4].split("\n")[0]
+    for at in (1, 2):
+        assert len(set(passage) & set(left[at].split())) < 20
+        assert left[at].split()[0] == texts[at].split()[0]
+
+
+def test_shared_words_share_a_unit():
+    rng = random.Random(3)
+    run = words(rng, passages.UNIT_WORDS + passages.WINDOW - 1)
+    hashed = []
+    for at in range(30):
+        texts = pa.array([" ".join(words(rng, at)), " ".join([*words(rng, at), *run, *words(rng, 30 - at)])])
+        hashed.append(set(passages.unit_places(words_of(texts))[1].tolist()))
+    assert set.intersection(*hashed)
+
+
 def test_documents_table_is_read(spark):
     assert table(spark, "/root/testdata/sf0.001", "documents").count() == 200
