@@ -14,8 +14,9 @@ shared again by weight. That is one level of water over all sources: the target
 ``min(LIMIT * size, level * weight)``.
 
 Rows stay whole. Around the end of a tape's play the rows of ``ZONE`` words on both sides are
-chosen by size, largest first, each if it still fits; so the words taken miss the target by
-less than the smallest of those left out.
+chosen by size, largest first, each if it still fits. What is then missing, as where one row
+is longer than the zone, is taken from the rows behind it by their sizes, largest first; so
+the words taken miss the target by less than the smallest of all rows left out.
 
 The tables of sources (one row each) and of blocks (``BLOCKS`` and at most two more for each
 source) do not grow with the text. Defined cases: NULL texts and texts without words have
@@ -105,6 +106,39 @@ def deal_blocks(sources: DataFrame, seed: int) -> DataFrame:
     return order.join(quotas, [*SOURCE, "n"]).select(*SOURCE, "block", "shard")
 
 
+def taken_behind(behind: DataFrame) -> DataFrame:
+    """Which rows fill up what is missing: source, ``size`` and the ``last`` unit to take of it.
+
+    ``behind`` has the rows left (source, ``left``, ``size``, ``unit``), none larger than
+    ``left``. Of each size as many are taken as fit after the larger ones, first on the tape
+    first. There are no more sizes than the words of the longest row.
+    """
+    behind = stored(behind.withColumn("bucket", F.shiftright("unit", BUCKET_BITS)))
+    sizes = behind.groupBy(*SOURCE, "left", "size").agg(F.count(F.lit(1)).alias("n"))
+    each = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("minus"), "n")))
+    takes = sizes.groupBy(*SOURCE, "left").agg(each.alias("_sizes"))
+    takes = takes.select(
+        *SOURCE,
+        F.explode(
+            F.expr(
+                """aggregate(_sizes,
+                  named_struct('left', left, 'takes', cast(array() as array<struct<size: bigint, k: bigint>>)),
+                  (had, row) -> if(-row.minus <= had.left,
+                    named_struct(
+                      'left', had.left + row.minus * least(row.n, had.left div -row.minus),
+                      'takes', array_append(had.takes, named_struct(
+                        'size', -row.minus, 'k', least(row.n, had.left div -row.minus)))),
+                    had),
+                  had -> had.takes)"""
+            )
+        ).alias("_take"),
+    )
+    takes = stored(takes.select(*SOURCE, "_take.size", "_take.k"))
+    rows = behind.join(_small(takes), [*SOURCE, "size"]).withColumn("copies", F.lit(1))
+    order = placed(rows, [*SOURCE, "size"], "bucket", ["unit"], F.lit(0))
+    return order.filter("before < k").groupBy(*SOURCE, "size").agg(F.max("unit").alias("last"))
+
+
 def mix(df: DataFrame, key: Column, source: Column, size: Column, seed: int = 0) -> Mix:
     """Decides how often every row is played, and in which shards.
 
@@ -166,17 +200,24 @@ def mix(df: DataFrame, key: Column, source: Column, size: Column, seed: int = 0)
               named_struct('left', _rest - _first, 'units', cast(array() as array<bigint>)),
               (had, row) -> if(-row.minus <= had.left,
                 named_struct('left', had.left + row.minus, 'units', array_append(had.units, row.unit)),
-                had),
-              had -> had.units)"""
-        ).alias("chosen"),
+                had))"""
+        ).alias("_had"),
     )
+    chosen = chosen.select(*SOURCE, F.col("_had.units").alias("chosen"), F.col("_had.left").alias("left"))
     sources = stored(ends.join(chosen, SOURCE, "left"))
+    short = sources.filter("left > 0").select(*SOURCE, "rest", "left")
+    behind = tape.join(_small(short), SOURCE).filter(
+        heard & ~near & (F.col("start") >= F.col("rest")) & (F.col("size") <= F.col("left"))
+    )
+    more = stored(taken_behind(behind.select(*SOURCE, "left", "size", "unit")))
     blocks = stored(deal_blocks(sources, seed))
 
-    joined = tape.join(_small(sources), SOURCE)
+    joined = tape.join(_small(sources), SOURCE).join(_small(more), [*SOURCE, "size"], "left")
     again = heard & F.when(
         near, F.coalesce(F.array_contains("chosen", F.col("unit")), F.lit(False))
-    ).otherwise(F.col("start") < F.col("rest"))
+    ).otherwise(
+        (F.col("start") < F.col("rest")) | F.coalesce(F.col("unit") <= F.col("last"), F.lit(False))
+    )
     times = F.when(F.col("size") > 0, F.col("plays") + again.cast("int")).otherwise(0)
     joined = joined.withColumn("times", times)
 

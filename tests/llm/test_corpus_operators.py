@@ -147,6 +147,19 @@ def test_mixing_meets_targets(spark, docs, empty, rows):
         F.col("source"), word_count(), seed=3).rows.collect())
 
 
+def test_mixing_fills_up_behind_very_long_rows(spark):
+    data = [(100 * at + n, f"s{at}", 20_000 if n < 8 else 500 + n) for at in range(6) for n in range(68)]
+    df = spark.createDataFrame(data, "k long, source string, size long")
+    got = mixing.mix(df, F.col("k"), F.col("source"), F.col("size"), seed=1).rows.collect()
+    assert Counter(row.key for row in got) == Counter(row[0] for row in data)
+    for name in {row[1] for row in data}:
+        own = [row for row in got if row.source == name]
+        left_out = [row.size for row in own if row.taken < 2 * row.size]
+        missing = round(own[0].target) - sum(row.taken for row in own)
+        assert 0 <= missing < min(left_out, default=1)
+        assert all(row.taken == row.size * len(row.draws) for row in own)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
