@@ -177,7 +177,8 @@ def classes(
     alike: Alike,
     least: float,
 ) -> DataFrame:
-    """Classes of similar texts: digest, ``class`` (smallest key), ``size``, ``links``, ``blank``.
+    """Classes of similar texts: digest, ``component``, ``class`` (smallest key), ``size``,
+    ``links``, ``blank``. Only ``component`` tells classes of one smallest key apart.
 
     ``signed`` is stored and has key, digest of the text and ``buckets``; ``texts_of`` joins
     ``first`` (a key), digest and node with the texts, as ``text``.
@@ -211,4 +212,4 @@ def classes(
     blank = F.size("buckets") == 0
     found = stored(found.select("digest", "component", "links", "first", "n", blank.alias("blank")))
     sizes = found.groupBy("component").agg(F.min("first").alias("class"), F.sum("n").alias("size"))
-    return found.join(sizes, "component").select("digest", "class", "size", "links", "blank")
+    return found.join(sizes, "component").select("digest", "component", "class", "size", "links", "blank")

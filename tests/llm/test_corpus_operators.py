@@ -295,6 +295,26 @@ def test_near_duplicates(spark, docs, empty, rows):
     assert ids == Counter([*{want[key] for key in want}, None, 97, 97])
 
 
+def test_near_duplicates_without_or_with_shared_keys(spark):
+    rng = random.Random(12)
+    bases = [words(rng, 150) for _ in range(4)]
+
+    def near(base, at):
+        return " ".join([*base[:at], "changed", *base[at + 1 :]])
+
+    # Two classes have only NULL keys, two share a smallest key.
+    data = [(None, near(bases[kind], at)) for kind in (0, 1) for at in (20, 70, 120)]
+    data += [(key, near(bases[kind], at)) for kind in (2, 3) for key, at in ((7, 20), (7 + kind, 70))]
+    data += [(None, " ".join(bases[2]))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = near_duplicates(df, "doc_id").collect()
+    assert Counter((row["class"], row.size) for row in got) == {(None, 3): 6, (7, 3): 3, (7, 2): 2}
+    assert len({row.component for row in got}) == 4
+    kept = one_of_each(df, "doc_id").collect()
+    assert Counter(row.doc_id for row in kept) == {None: 2, 7: 2}
+    assert len({max(range(4), key=lambda kind: len(set(bases[kind]) & set(row.text.split()))) for row in kept}) == 4
+
+
 def test_quality_counts_and_verdicts(spark, docs, empty, rows):
     noisy = [(200, "!!% $$ ## " * 40, "xx", "s", "x", 1), (201, "a b c d e f g h i j k\na b\na b\n", "xx", "s", "x", 1)]
     df = docs.unionByName(spark.createDataFrame(noisy, SCHEMA))
