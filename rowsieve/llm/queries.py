@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowsieve.llm.audit import audit, masks
 from rowsieve.llm.common import full_text, table, word_count
 from rowsieve.llm.minhash import near_duplicates
 from rowsieve.llm.mixing import mix
@@ -112,6 +113,11 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return audit(masks(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ring_sharding": ring_sharding,
     "op2_source_mixing": source_mixing,
@@ -123,4 +129,5 @@ QUERIES: dict[str, Query] = {
     "op8_sequence_packing": sequence_packing,
     "op9_suffix_dedup": suffix_dedup,
     "op10_substring_dedup": substring_dedup,
+    "op11_filter_audit": filter_audit,
 }

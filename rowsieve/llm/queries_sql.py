@@ -75,8 +75,57 @@ QUALITY = rf"""
     from b
 """
 
+AUDIT = r"""
+    with d as (
+      select doc_id, coalesce(text, '') t, coalesce(cast(lang as varchar), '') part from documents
+    ), w as (
+      select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws,
+        min(doc_id) over (partition by t) first_id
+      from d
+    ), m as (
+      select part,
+        (len(ws) < 100)::int
+        + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::int
+        + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::int
+        + 8 * regexp_matches(t, '[#$%&*|]')::int
+        + 16 * coalesce(first_id < doc_id, false)::int mask,
+        exists (select 1 from labels l where l.doc_id = w.doc_id and l.quality = 1) good,
+        exists (select 1 from labels l where l.doc_id = w.doc_id and l.toxic = 1) toxic
+      from w
+    ), c as (
+      select part, mask, count(*) n, count(*) filter (good) g, count(*) filter (toxic) x
+      from m group by part, mask
+    ), letters(l, b) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    orders as (
+      select l1.l || l2.l || l3.l || l4.l || l5.l o, [l1.b, l2.b, l3.b, l4.b, l5.b] bits
+      from letters l1, letters l2, letters l3, letters l4, letters l5
+      where l1.b + l2.b + l3.b + l4.b + l5.b = 31
+    ), steps as (
+      select o, k, bits[k] f, coalesce(list_sum(bits[1:k - 1]), 0) before
+      from orders, range(1, 6) r(k)
+    ), parts as (select distinct part from c), s as (
+      select p.part, o, k, f,
+        coalesce(sum(n) filter (mask & f <> 0 and mask & before = 0), 0) removed,
+        coalesce(sum(n) filter (mask & (before | f) <> 0), 0) gone,
+        coalesce(sum(n) filter (mask & f <> 0 and mask & before <> 0), 0) redundant,
+        coalesce(sum(n) filter (mask = f), 0) unique_fails,
+        coalesce(sum(g) filter (mask & f <> 0 and mask & before = 0), 0) good_lost,
+        coalesce(sum(x) filter (mask & f <> 0 and mask & before = 0), 0) toxic_lost,
+        coalesce((select sum(n) from c c2 where c2.part = p.part), 0) total
+      from parts p cross join steps left join c on c.part = p.part
+      group by p.part, o, k, f, before
+    )
+    select part, o filter_order, cast(k as integer) step, cast(total - gone as bigint) kept,
+      cast(removed as bigint) removed, cast(redundant as bigint) redundant,
+      cast(unique_fails as bigint) unique_fails, cast(good_lost as bigint) good_lost,
+      cast(toxic_lost as bigint) toxic_lost,
+      cast(sum(removed) over (partition by part, f) as bigint) shapley
+    from s
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": QUALITY,
+    "op11_filter_audit": AUDIT,
     "op4_exact_top_k": """
         with v as (
           select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) v
