@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsieve.llm.audit import audit, masks
+from rowsieve.llm.brown import scores
 from rowsieve.llm.common import full_text, table, word_count
 from rowsieve.llm.minhash import near_duplicates
 from rowsieve.llm.mixing import mix
@@ -118,6 +119,10 @@ def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(masks(documents, table(spark, sf_dir, "labels")))
 
 
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ring_sharding": ring_sharding,
     "op2_source_mixing": source_mixing,
@@ -130,4 +135,5 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": suffix_dedup,
     "op10_substring_dedup": substring_dedup,
     "op11_filter_audit": filter_audit,
+    "op13_lm_scoring": lm_scoring,
 }
