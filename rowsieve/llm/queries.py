@@ -14,6 +14,7 @@ from rowsieve.llm.minhash import near_duplicates
 from rowsieve.llm.mixing import mix
 from rowsieve.llm.packing import LENGTH, pack
 from rowsieve.llm.passages import repeated_passages
+from rowsieve.llm.phrases import collocations, frequent_phrases
 from rowsieve.llm.pii import personal_data
 from rowsieve.llm.quality import judged, references
 from rowsieve.llm.sharding import ring_shards
@@ -119,6 +120,10 @@ def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(masks(documents, table(spark, sf_dir, "labels")))
 
 
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(frequent_phrases(table(spark, sf_dir, "documents")))
+
+
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))
 
@@ -135,5 +140,6 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": suffix_dedup,
     "op10_substring_dedup": substring_dedup,
     "op11_filter_audit": filter_audit,
+    "op12_phrase_mining": phrase_mining,
     "op13_lm_scoring": lm_scoring,
 }
