@@ -1,6 +1,7 @@
 """Rule-based data quality for Spark tables."""
 
 from rowsieve.functions.validators import register_check
+from rowsieve.operators.context import register_table_check
 from rowsieve.operators.duplicates import duplicate_rows
 from rowsieve.operators.profile import profile
 from rowsieve.operators.report import blocking_failures, summarise, with_pass_rate
@@ -32,6 +33,7 @@ __all__ = [
     "profile",
     "read",
     "register_check",
+    "register_table_check",
     "rules_from_entries",
     "rules_from_form",
     "run",

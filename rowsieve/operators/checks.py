@@ -19,6 +19,7 @@ from rowsieve.functions.validators import (
     validator_for,
     validator_name,
 )
+from rowsieve.operators.context import Context, Pending, bind_stats, group_columns, table_checks
 from rowsieve.rules import DEFAULT_THRESHOLD, Rule, RuleError
 
 
@@ -40,6 +41,7 @@ class Check:
     pushable: tuple[Column, Column] | None = None
     keys: tuple[str, ...] = ()
     absent: str | None = None
+    context: Context | None = None
 
     @cached_property
     def fails_in_filter(self) -> Column | None:
@@ -56,11 +58,14 @@ def compile_checks(
     rules = list(rules)
     types = {field.name: field.dataType for field in df.schema.fields}
     custom = custom_checks()
-    checks = []
+    whole = table_checks()
+    checks: list[Check | None] = []
     patterns = []
+    pending: dict[int, tuple[Rule, float, Pending]] = {}
     for position, rule in enumerate(rules, start=1):
         threshold = rule.threshold_or(default_threshold)
-        absent = next((name for name in rule.targets if name not in types), None)
+        needed = [*rule.targets, *(group_columns(rule.params) if rule.type in whole else ())]
+        absent = next((name for name in needed if name not in types), None)
         if absent is not None:
             checks.append(Check(position, rule, threshold, absent, absent=absent))
             continue
@@ -89,11 +94,25 @@ def compile_checks(
         elif rule.type in custom:
             fails = F.coalesce(custom[rule.type](value, dtype, rule.params), F.lit(True))
             for_filter = None
+        elif rule.type in whole:
+            keys = group_columns(rule.params)
+            pending[position] = (
+                rule, threshold, Pending(position, value, dtype, rule.params, whole[rule.type], keys, tuple(types))
+            )
+            checks.append(None)
+            continue
         else:
             raise RuleError(f"rule {rule.id!r} has unknown type {rule.type!r}")
         checks.append(Check(position, rule, threshold, rule.column, fails, for_filter, pushed))
     check_patterns(df.sparkSession, dict.fromkeys(patterns))
-    return checks
+    if pending:
+        bound = bind_stats(df, [item for _, _, item in pending.values()])
+        for position, (rule, threshold, _) in pending.items():
+            fails, context = bound[position]
+            checks[position - 1] = Check(
+                position, rule, threshold, rule.column, fails, context=context
+            )
+    return checks  # type: ignore[return-value]
 
 
 def for_scan(checks: Iterable[Check]) -> tuple[Column, Column]:

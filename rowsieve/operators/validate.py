@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.functions.text import named, narrow_key, sql_text
 from rowsieve.operators.checks import Check, compile_checks
+from rowsieve.operators.context import with_context
 from rowsieve.rules import DEFAULT_THRESHOLD, Rule
 
 RESULT_SCHEMA = (
@@ -62,6 +63,7 @@ def results_of(df: DataFrame, checks: list[Check]) -> DataFrame:
 
 
 def _count_row_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
+    df = with_context(df, [check.context for check in checks])
     counted = df.agg(
         F.count(F.lit(1)).alias("total"),
         *[F.count_if(check.fails).alias(check.flag) for check in checks],

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from rowsieve.functions.text import as_text, is_missing, named
 from rowsieve.operators.checks import Check, compile_checks, for_scan
+from rowsieve.operators.context import with_context
 from rowsieve.operators.duplicates import (
     BROADCAST_BYTES,
     Duplicates,
@@ -82,6 +83,7 @@ def with_flags(
     """
     flags: dict[int, Column] = {}
     shared: dict[tuple[str, ...], str] = {}
+    df = with_context(df, [check.context for check in checks if check.fails is not None])
     for check in checks:
         if check.fails is not None:
             flags[check.position] = check.fails

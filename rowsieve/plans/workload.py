@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.functions.text import as_text
 from rowsieve.functions.validators import register_check
+from rowsieve.operators.context import register_table_check
 from rowsieve.operators.duplicates import BROADCAST_BYTES, duplicate_rows
 from rowsieve.operators.profile import null_counts, profile
 from rowsieve.operators.report import blocking_failures, summarise, with_pass_rate
@@ -242,6 +243,49 @@ def _custom_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(validate(table(spark, sf_dir, "part"), rules))
 
 
+def table_check_types() -> None:
+    """Three rule types that weigh a row against the table or its group."""
+    register_table_check(
+        "group_share",
+        lambda value, dtype, params: {"total": F.sum(value)},
+        lambda value, dtype, params, stats: value > F.lit(float(params["share"])) * stats["total"],
+    )
+    register_table_check(
+        "outlier",
+        lambda value, dtype, params: {"mean": F.avg(value), "spread": F.stddev_samp(value)},
+        lambda value, dtype, params, stats: F.abs(value - stats["mean"])
+        > F.lit(float(params["limit"])) * stats["spread"],
+    )
+    register_table_check(
+        "determined_by",
+        lambda value, dtype, params: {"kinds": F.count_distinct(value)},
+        lambda value, dtype, params, stats: stats["kinds"] > 1,
+    )
+
+
+# A line holding more than half of its order's quantity.
+LINE_SHARE = rule("line_share", "group_share", "l_quantity", threshold=0.9,
+                  params={"group_by": ["l_orderkey"], "share": 0.5})
+PRICE_OUTLIER = rule("price_outlier", "outlier", "o_totalprice", threshold=0.9, params={"limit": 2.0})
+# Each customer's orders share one priority.
+PRIORITY_BY_CUSTOMER = rule("priority_by_customer", "determined_by", "o_orderpriority",
+                            threshold=0.5, params={"group_by": "o_custkey"})
+
+
+def _table_checked(name: str, rules: list[Rule]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table_check_types()
+        return compared(validate(table(spark, sf_dir, name), rules))
+
+    return query
+
+
+def _table_check_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_check_types()
+    parts = split(table(spark, sf_dir, "lineitem"), [LINE_SHARE])
+    return parts.quarantine.select(*LINE_KEY, "l_quantity", "violation_reasons")
+
+
 def _full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(table(spark, sf_dir, "customer"), SPLIT_RULES).summary
 
@@ -522,6 +566,11 @@ QUERIES: dict[str, Query] = {
     "split_counts_lines": _line_split_counts,
     "auto_validate": _auto_validate,
     "custom_check": _custom_check,
+    "table_check_group_share": _table_checked("lineitem", [LINE_SHARE]),
+    "table_check_outliers": _table_checked("orders", [PRICE_OUTLIER]),
+    "table_check_pair": _table_checked("orders", [PRIORITY_BY_CUSTOMER]),
+    "table_check_all": _table_checked("orders", [PRICE_OUTLIER, PRIORITY_BY_CUSTOMER]),
+    "table_check_quarantine": _table_check_quarantine,
     "profile_nulls": _profile_nulls,
     "profile_kinds": _profile("kind"),
     "profile_samples": _profile_samples,

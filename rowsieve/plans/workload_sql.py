@@ -325,6 +325,17 @@ def _profile_flags() -> str:
 
 _REPEATS = "SELECT lang, count(*) - 1 AS repeats FROM documents GROUP BY lang HAVING count(*) > 1"
 
+_OUTLIERS = _failing(
+    "orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) AS st",
+    "coalesce(abs(o_totalprice - m) > 2.0 * s, TRUE)",
+)
+_PAIRS = _failing(
+    "orders AS o JOIN (SELECT o_custkey AS k, count(DISTINCT o_orderpriority) AS kinds "
+    "FROM orders GROUP BY o_custkey) AS g ON o.o_custkey IS NOT DISTINCT FROM g.k",
+    "coalesce(kinds > 1, TRUE)",
+)
+
+
 ORACLE_SQL: dict[str, str] = {
     "completeness_gaps": _result(1, "gap_present", "completeness", "gap", _GAP),
     "completeness_full": _result(
@@ -565,6 +576,29 @@ ORACLE_SQL: dict[str, str] = {
     "custom_check": _result(
         1, "size_even", "even_number", "p_size", _failing("part", "p_size % 2 <> 0"), "0.4"
     ),
+    "table_check_group_share": _result(
+        1, "line_share", "group_share", "l_quantity",
+        _failing(
+            "(SELECT l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total "
+            "FROM lineitem) AS lines",
+            "coalesce(l_quantity > 0.5 * total, TRUE)",
+        ),
+        "0.9",
+    ),
+    "table_check_outliers": _result(1, "price_outlier", "outlier", "o_totalprice", _OUTLIERS, "0.9"),
+    "table_check_pair": _result(
+        1, "priority_by_customer", "determined_by", "o_orderpriority", _PAIRS, "0.5"
+    ),
+    "table_check_all": _all(
+        _result(1, "price_outlier", "outlier", "o_totalprice", _OUTLIERS, "0.9"),
+        _result(2, "priority_by_customer", "determined_by", "o_orderpriority", _PAIRS, "0.5"),
+    ),
+    "table_check_quarantine": (
+        "SELECT l_orderkey, l_linenumber, l_quantity, "
+        "'[l_quantity] rule violated: line_share' AS violation_reasons FROM ("
+        "SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total FROM lineitem) AS lines "
+        "WHERE coalesce(l_quantity > 0.5 * total, TRUE)"
+    ),
     "profile_nulls": _profile_nulls(),
     "profile_kinds": _profile_kinds(),
     "profile_samples": _profile_samples(),

@@ -58,10 +58,11 @@ class Rule:
 
 
 def known_types() -> set[str]:
-    """The built-in rule types and those registered as custom checks."""
+    """The built-in rule types and those registered as custom or table checks."""
     from rowsieve.functions.validators import custom_checks
+    from rowsieve.operators.context import table_checks
 
-    return {*BUILTIN_TYPES, *custom_checks()}
+    return {*BUILTIN_TYPES, *custom_checks(), *table_checks()}
 
 
 def rule_from_entry(entry: Mapping[str, Any]) -> Rule:
