@@ -150,8 +150,10 @@ def fits_broadcast(
     width = ENTRY_OVERHEAD_BYTES + sum(_key_bytes(types[name]) for name in keys)
     if entries * width > limit:
         return False
+    # A file's path is part of the order only where positions stand in for it.
+    if FILE_POSITION[0] in order:
+        width += LONGEST_PATH_BYTES
     order = [name for name in order if name not in FILE_POSITION]
-    width += LONGEST_PATH_BYTES
     texts = [name for name in order if isinstance(types[name], (T.StringType, T.BinaryType))]
     width += 16 * (len(order) - len(texts))
     if texts:
