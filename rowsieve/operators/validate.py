@@ -51,7 +51,10 @@ def results_of(df: DataFrame, checks: list[Check]) -> DataFrame:
     for check in checks:
         if check.keys:
             by_keys.setdefault(check.keys, []).append(check)
-    parts += [_count_duplicates(df, keys, group) for keys, group in by_keys.items()]
+    if len(by_keys) > 1:
+        parts.append(_count_all_duplicates(df, by_keys))
+    else:
+        parts += [_count_duplicates(df, keys, group) for keys, group in by_keys.items()]
     skipped = [check for check in checks if check.absent is not None]
     if skipped:
         one_row = df.sparkSession.range(1, numPartitions=1)
@@ -93,8 +96,41 @@ def _count_duplicates(df: DataFrame, keys: tuple[str, ...], checks: list[Check])
     return _as_rows(counted, [(check, "failed", "total") for check in checks], "repeated")
 
 
+def _count_all_duplicates(df: DataFrame, by_keys: dict[tuple[str, ...], list[Check]]) -> DataFrame:
+    """Every key set in one scan: grouping sets expand each row once per set, one aggregate
+    counts rows per key, merged per task before the shuffle, and a second one sums each
+    set's counts, told apart by their grouping id."""
+    types = {field.name: field.dataType for field in df.schema.fields}
+    names = list(dict.fromkeys(name for keys in by_keys for name in keys))
+    slot = {name: f"__key_{place}" for place, name in enumerate(names)}
+    narrow = df.select(*[narrow_key(named(name), types[name]).alias(slot[name]) for name in names])
+    sets = [[slot[name] for name in keys] for keys in by_keys]
+    per_key = narrow.groupingSets(sets, *slot.values()).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")
+    )
+
+    def gid(keys: tuple[str, ...]) -> int:
+        # A bit for each column left out of the set, the first column highest.
+        return sum(1 << (len(names) - 1 - place) for place, name in enumerate(names) if name not in keys)
+
+    sums = []
+    for place, keys in enumerate(by_keys):
+        mine = F.col("gid") == F.lit(gid(keys))
+        sums += [
+            F.coalesce(F.sum(F.when(mine, F.col("n") - 1)), F.lit(0)).alias(f"failed_{place}"),
+            F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias(f"total_{place}"),
+            F.count_if(mine & (F.col("n") > 1)).alias(f"repeated_{place}"),
+        ]
+    cells = [
+        (check, f"failed_{place}", f"total_{place}", f"repeated_{place}")
+        for place, group in enumerate(by_keys.values())
+        for check in group
+    ]
+    return _as_rows(per_key.agg(*sums), cells)
+
+
 def _as_rows(
-    counted: DataFrame, cells: list[tuple[Check, str, str]], repeated: str = "0L"
+    counted: DataFrame, cells: list[tuple[Check, str, str] | tuple[Check, str, str, str]], repeated: str = "0L"
 ) -> DataFrame:
     """One row of counts becomes one row per check, with the rule's own facts as literals.
 
@@ -109,8 +145,9 @@ def _as_rows(
         f"'failed_count', {failed}, 'total_count', {total}, "
         f"'severity', {sql_text(check.rule.severity)}, "
         f"'skipped', {check.absent is not None}, 'subject', {sql_text(_subject(check))}, "
-        f"'repeated_keys', {repeated})"
-        for check, failed, total in cells
+        f"'repeated_keys', {cell[3] if len(cell) > 3 else repeated})"
+        for cell in cells
+        for check, failed, total in [cell[:3]]
     ]
     return counted.selectExpr(f"inline(array({', '.join(structs)}))")
 

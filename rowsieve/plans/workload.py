@@ -272,6 +272,17 @@ PRIORITY_BY_CUSTOMER = rule("priority_by_customer", "determined_by", "o_orderpri
                             threshold=0.5, params={"group_by": "o_custkey"})
 
 
+# Five key sets, one of them in two rules, counted in one scan.
+ALL_LINE_KEYS = [
+    rule("order_unique", "uniqueness", "l_orderkey", threshold=0.5),
+    rule("line_unique", "uniqueness", columns=LINE_KEY, threshold=1.0),
+    rule("part_unique", "uniqueness", "l_partkey", threshold=0.5),
+    rule("part_supplier_unique", "uniqueness", columns=("l_partkey", "l_suppkey"), threshold=0.9),
+    rule("ship_date_unique", "uniqueness", "l_shipdate", threshold=0.1),
+    rule("line_unique_loose", "uniqueness", columns=LINE_KEY, threshold=0.5, severity="warning"),
+]
+
+
 def _table_checked(name: str, rules: list[Rule]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         table_check_types()
@@ -463,6 +474,7 @@ QUERIES: dict[str, Query] = {
     "completeness_text": checked("documents", [rule("text_present", "completeness", "text")]),
     "uniqueness_single": checked("orders", [rule("key_unique", "uniqueness", "o_orderkey")]),
     "uniqueness_text": checked("documents", [rule("text_unique", "uniqueness", "text")]),
+    "uniqueness_all_keys": checked("lineitem", ALL_LINE_KEYS),
     "uniqueness_null_keys": checked(
         "events", [rule("user_unique", "uniqueness", "some_user")], "some_user"
     ),

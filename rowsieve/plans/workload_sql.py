@@ -355,6 +355,20 @@ ORACLE_SQL: dict[str, str] = {
         1, "user_unique", "uniqueness", "some_user",
         _repeated(_with("events", "some_user"), "some_user"),
     ),
+    "uniqueness_all_keys": _all(
+        _result(1, "order_unique", "uniqueness", "l_orderkey", _repeated("lineitem", "l_orderkey"), "0.5"),
+        _result(2, "line_unique", "uniqueness", None, _repeated("lineitem", "l_orderkey, l_linenumber"), "1.0"),
+        _result(3, "part_unique", "uniqueness", "l_partkey", _repeated("lineitem", "l_partkey"), "0.5"),
+        _result(
+            4, "part_supplier_unique", "uniqueness", None,
+            _repeated("lineitem", "l_partkey, l_suppkey"), "0.9",
+        ),
+        _result(5, "ship_date_unique", "uniqueness", "l_shipdate", _repeated("lineitem", "l_shipdate"), "0.1"),
+        _result(
+            6, "line_unique_loose", "uniqueness", None,
+            _repeated("lineitem", "l_orderkey, l_linenumber"), "0.5", "warning",
+        ),
+    ),
     "uniqueness_composite": _result(
         1, "line_unique", "uniqueness", None, _repeated("lineitem", "l_orderkey, l_linenumber")
     ),
