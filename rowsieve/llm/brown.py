@@ -13,22 +13,24 @@ each word to the class that raises the training likelihood most. The likelihood
 the moves is that of the predictive class model (Uszkoreit and Brants, 2008), whose change
 for one word depends only on that word's predecessors and the class totals, so all words of
 a round are weighed at once, as one join and aggregate, against the classes of the round
-before. Half of the words (by a hash) may move in a round, the other half in the next,
-which keeps two words from swapping back and forth. A move needs a gain above ``EPSILON``;
-equal gains go to the smaller class number.
+before. Half of the words (by a bit of their id) may move in a round, the other half in the
+next, which keeps two words from swapping back and forth. A move needs a gain above
+``EPSILON``; equal gains go to the smaller class number.
 
-What the rounds read are the bigram counts of all training documents, aggregated before
-the shuffle, and a table of (word, class), both stored in the shared folder each round, so
-the work grows with the corpus and nothing of it passes through the driver. Per round the
-join produces at most (distinct bigrams) x (classes) rows. Scoring sums per document over
-its distinct bigrams after joining the vocabulary; the transition table holds at most
-(CLASSES + 1) x CLASSES rows, a bound of the parameter, and is broadcast.
+Words travel as 64-bit ids (``xxhash64`` of the word); two words with one id would count
+as one (chance about n^2 / 2^65 for n distinct words). What the rounds read are the bigram
+counts of all training documents, aggregated before the shuffle, and a table of (id,
+class), stored in the shared folder each round, the round before deleted; so the work
+grows with the corpus and nothing of it passes through the driver. Per round the join
+produces at most (distinct bigrams) x (classes) rows. Tables are broadcast only after a
+count proves them below ``BROADCAST_BYTES``; the transition table holds at most
+(CLASSES + 1) x CLASSES rows, a bound of the parameter.
 
 Defined cases: a NULL text is empty and has the end token only; a NULL doc_id has no
 remainder, so its row is not held out and trains; repeated rows train and are scored each
 time; words never seen in training take their hashed class and the smoothed share of an
 unseen word; with no training tokens at all every class and transition is uniform; other
-columns of the input, whatever their names, are carried by nothing and read by nothing.
+columns of the input, whatever their names, are read by nothing.
 """
 
 from __future__ import annotations
@@ -38,12 +40,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsieve.llm.common import BLANKS, full_text, stored
+from rowsieve.llm.common import BLANKS, full_text, stored, stored_at
+from rowsieve.plans.cluster import drop_folder
 
 CLASSES = 32
 ROUNDS = 4
 SMOOTHING = 0.5
 EPSILON = 1e-6
+# Largest table broadcast: vocabulary, class counts of predecessors.
+BROADCAST_BYTES = 8 * 1024 * 1024
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Neither can be a word: words are non-empty and hold no blank.
 END = ""
 START = " "
@@ -51,47 +57,71 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens(text: str = "text") -> Column:
-    """A-Z lower-cased, words, then the end token."""
+    """Ids of the words (A-Z lower-cased), then of the end token."""
     lowered = F.translate(full_text(text), UPPER, LOWER)
     words = F.array_remove(F.split(lowered, BLANKS), "")
-    return F.concat(words, F.array(F.lit(END)))
+    return F.transform(F.concat(words, F.array(F.lit(END))), lambda word: F.xxhash64(word))
 
 
 def hashed_class(word: Column, classes: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(classes)).cast("int")
+    return F.pmod(word, F.lit(classes)).cast("int")
 
 
 def _xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
 
 
-def bigrams(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, prev, cur, n: each token with the one before it, counted per key."""
+def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, prev, cur: each token's id with the one before it."""
     toks = F.col("_tokens")
-    before = F.concat(F.array(F.lit(START)), F.slice(toks, 1, F.size(toks) - 1))
+    before = F.concat(F.array(F.xxhash64(F.lit(START))), F.slice(toks, 1, F.size(toks) - 1))
     pairs = rows.select(*keys, F.explode(F.arrays_zip(before.alias("prev"), toks.alias("cur"))).alias("_p"))
-    return pairs.groupBy(*keys, F.col("_p.prev").alias("prev"), F.col("_p.cur").alias("cur")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return pairs.select(*keys, F.col("_p.prev").alias("prev"), F.col("_p.cur").alias("cur"))
+
+
+def bigrams(rows: DataFrame) -> DataFrame:
+    """prev, cur, n over all rows, summed per task before the shuffle."""
+    return _pairs(rows, []).groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("n"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored ``df`` of ids and numbers, marked for broadcast where its row count proves
+    it below ``BROADCAST_BYTES``; else left to a shuffled join."""
+    width = 8 * (len(df.columns) + 2)
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
 def exchange(pairs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
-    """(word, class, count) of every word that training predicts, after ``rounds`` rounds."""
-    counts = pairs.groupBy(F.col("cur").alias("word")).agg(F.sum("n").alias("count"))
-    assigned = stored(counts.select("word", hashed_class(F.col("word"), classes).alias("class"), "count"))
+    """(word, class, count, f) of every word id that training predicts, after ``rounds``
+    rounds; f is the sum of n log n over the word's predecessors."""
+    counts = pairs.groupBy(F.col("cur").alias("word")).agg(
+        F.sum("n").alias("count"), F.sum(_xlogx(F.col("n").cast("double"))).alias("f")
+    )
+    first = counts.select("word", hashed_class(F.col("word"), classes).alias("class"), "count", "f")
+    assigned, path = stored_at(first)
     for turn in range(rounds):
-        assigned = stored(_round(pairs, assigned, classes, turn))
+        follows, used = stored_at(_follows(pairs, assigned))
+        moved, after = stored_at(_round(pairs, assigned, follows, classes, turn))
+        for done in (path, used):
+            drop_folder(pairs.sparkSession, done)
+        assigned, path = moved, after
     return assigned
 
 
-def _round(pairs: DataFrame, assigned: DataFrame, classes: int, turn: int) -> DataFrame:
-    cls = assigned.select(F.col("word").alias("cur"), F.col("class").alias("_c"))
-    # How often each predecessor is followed by each class, and each class's total.
-    follows = pairs.join(cls, "cur").groupBy("prev", "_c").agg(F.sum("n").alias("m"))
-    totals = assigned.groupBy(F.col("class").alias("_c")).agg(F.sum("count").alias("t"))
-    mine = assigned.select(F.col("word").alias("cur"), F.col("class").alias("a"), F.col("count").alias("own"))
+def _follows(pairs: DataFrame, assigned: DataFrame) -> DataFrame:
+    """How often each predecessor is followed by each class."""
+    cls = small(assigned).select(F.col("word").alias("cur"), F.col("class").alias("_c"))
+    return pairs.join(cls, "cur").groupBy("prev", "_c").agg(F.sum("n").alias("m"))
+
+
+def _round(pairs: DataFrame, assigned: DataFrame, follows: DataFrame, classes: int, turn: int) -> DataFrame:
+    # One total a class: at most ``classes`` numbers, inlined into the expressions.
+    counted = assigned.groupBy("class").agg(F.sum("count").alias("t")).collect()
+    totals = {row["class"]: float(row["t"]) for row in counted}
+    t_of = F.array(*[F.lit(totals.get(c, 0.0)) for c in range(classes)])
+    mine = small(assigned).select(F.col("word").alias("cur"), F.col("class").alias("a"))
     # Every predecessor of a word meets every class that predecessor already leads to.
-    meets = pairs.join(mine, "cur").join(follows, "prev")
+    meets = pairs.join(mine, "cur").join(small(follows), "prev")
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     terms = meets.groupBy("cur", "_c").agg(
         F.sum(
@@ -100,32 +130,27 @@ def _round(pairs: DataFrame, assigned: DataFrame, classes: int, turn: int) -> Da
             )
         ).alias("s")
     )
-    alone = pairs.groupBy("cur").agg(F.sum(_xlogx(F.col("n").cast("double"))).alias("f"))
-    everywhere = mine.join(alone, "cur").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("_c")
-    )
-    weighed = (
-        everywhere.join(terms, ["cur", "_c"], "left")
-        .join(F.broadcast(totals), "_c", "left")
-        .join(F.broadcast(totals.withColumnRenamed("_c", "a").withColumnRenamed("t", "ta")), "a", "left")
-    )
-    own, t, ta, s = F.col("own").cast("double"), F.coalesce("t", F.lit(0)).cast("double"), F.col("ta").cast("double"), F.coalesce("s", F.lit(0.0))
-    gain = F.col("f") + s - (_xlogx(t + own) - _xlogx(t))
-    removal = weighed.filter(F.col("_c") == F.col("a")).select(
-        "cur", (s - (_xlogx(ta - own) - _xlogx(ta))).alias("r")
-    )
-    best = (
-        weighed.filter(F.col("_c") != F.col("a"))
-        .groupBy("cur")
-        .agg(F.max(F.struct(gain.alias("g"), (-F.col("_c")).alias("c"))).alias("b"))
-    )
-    may_move = F.pmod(F.xxhash64(F.col("word"), F.lit("move")), F.lit(2)) == F.lit(turn % 2)
-    decided = assigned.join(best.withColumnRenamed("cur", "word"), "word", "left").join(
-        removal.withColumnRenamed("cur", "word"), "word", "left"
+    # At most ``classes`` entries a word.
+    per_word = terms.groupBy(F.col("cur").alias("word")).agg(
+        F.map_from_entries(F.collect_list(F.struct("_c", "s"))).alias("_s")
     )
-    moves = may_move & (F.col("r") + F.col("b.g") > F.lit(EPSILON))
+    decided = assigned.join(per_word, "word", "left")
+    own, a = F.col("count").cast("double"), F.col("class")
+    s_of = lambda c: F.coalesce(F.element_at(F.col("_s"), c), F.lit(0.0))
+    leave = s_of(a) - (_xlogx(t_of[a] - own) - _xlogx(t_of[a]))
+
+    def better(best: Column, c: Column) -> Column:
+        gain = F.col("f") + s_of(c) - (_xlogx(t_of[c] + own) - _xlogx(t_of[c]))
+        # Classes come in increasing order, so only a strictly larger gain replaces.
+        take = (c != a) & (gain > best["g"])
+        return F.when(take, F.struct(gain.alias("g"), c.alias("c"))).otherwise(best)
+
+    start = F.struct(F.lit(float("-inf")).alias("g"), F.lit(-1).alias("c"))
+    best = F.aggregate(F.sequence(F.lit(0), F.lit(classes - 1)), start, better)
+    may_move = F.shiftrightunsigned(F.col("word"), 32).bitwiseAND(F.lit(1)) == F.lit(turn % 2)
+    moves = may_move & (leave + best["g"] > F.lit(EPSILON))
     return decided.select(
-        "word", F.when(moves, -F.col("b.c")).otherwise(F.col("class")).cast("int").alias("class"), "count"
+        "word", F.when(moves, best["c"]).otherwise(a).cast("int").alias("class"), "count", "f"
     )
 
 
@@ -144,15 +169,24 @@ def fit(pairs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Model
     sizes = assigned.groupBy("class").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("members"))
     every = pairs.sparkSession.range(classes).select(F.col("id").cast("int").alias("class"))
     sizes = stored(every.join(sizes, "class", "left").na.fill(0, ["total", "members"]))
-    share = lambda count: F.log10((count + F.lit(SMOOTHING)) / (F.col("total") + F.lit(SMOOTHING) * (F.col("members") + 1)))
-    words = stored(assigned.join(F.broadcast(sizes), "class").select("word", "class", "count", share(F.col("count")).alias("emit")))
+
+    def share(count: Column) -> Column:
+        return F.log10((count + F.lit(SMOOTHING)) / (F.col("total") + F.lit(SMOOTHING) * (F.col("members") + 1)))
+
+    emitted = assigned.join(F.broadcast(sizes), "class").select("word", "class", "count", share(F.col("count")).alias("emit"))
+    words = stored(emitted)
     unseen = sizes.select("class", share(F.lit(0)).alias("logp"))
-    lead = assigned.select(F.col("word").alias("prev"), F.col("class").alias("c1"))
-    follow = assigned.select(F.col("word").alias("cur"), F.col("class").alias("c2"))
+    vocabulary = small(assigned)
+    lead = vocabulary.select(F.col("word").alias("prev"), F.col("class").alias("c1"))
+    follow = vocabulary.select(F.col("word").alias("cur"), F.col("class").alias("c2"))
     moved = (
         pairs.join(follow, "cur")
         .join(lead, "prev", "left")
-        .select(F.when(F.col("prev") == START, classes).otherwise(F.col("c1")).alias("c1"), "c2", "n")
+        .select(
+            F.when(F.col("prev") == F.xxhash64(F.lit(START)), classes).otherwise(F.col("c1")).alias("c1"),
+            "c2",
+            "n",
+        )
         .groupBy("c1", "c2")
         .agg(F.sum("n").alias("n"))
     )
@@ -186,34 +220,39 @@ def scores(
     as text, modulo 5, is 1)."""
     if held_out is None:
         held_out = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 1, F.lit(False))
-    rows = stored(
-        docs.select(
-            F.monotonically_increasing_id().alias("_row"),
-            F.col(doc_id).alias("_doc"),
-            held_out.alias("_held"),
-            tokens(text).alias("_tokens"),
-        )
-    )
-    training = stored(bigrams(rows.filter(~F.col("_held")), []))
-    model = fit(training, classes, rounds)
-    return score_rows(rows, model)
+    rows = docs.select(F.col(doc_id).alias("_doc"), held_out.alias("_held"), tokens(text).alias("_tokens"))
+    spark = docs.sparkSession
+    # Each step of the fitting is written before the next reads it, so its shuffle files
+    # may go as soon as it ends; the caller's setting comes back afterwards.
+    had = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        training = stored(bigrams(rows.filter(~F.col("_held"))))
+        model = fit(training, classes, rounds)
+    finally:
+        spark.conf.set(CLEANUP, had)
+    # The row number lives inside one pass: each row's tokens are scored and summed again
+    # within the stages that read it, so nothing of the text is written.
+    return score_rows(rows.select(F.monotonically_increasing_id().alias("_row"), "*"), model)
 
 
 def score_rows(rows: DataFrame, model: Model) -> DataFrame:
-    per_doc = bigrams(rows, ["_row"])
-    cur = model.words.select(F.col("word").alias("cur"), F.col("class").alias("c2"), "count", "emit")
-    prev = model.words.select(F.col("word").alias("prev"), F.col("class").alias("c1"))
+    per_token = _pairs(rows, ["_row", "_doc", "_held"])
+    vocabulary = small(model.words)
+    cur = vocabulary.select(F.col("word").alias("cur"), F.col("class").alias("c2"), "count", "emit")
+    prev = vocabulary.select(F.col("word").alias("prev"), F.col("class").alias("c1"))
     unseen = model.unseen.select(F.col("class").alias("c2"), F.col("logp").alias("_unseen"))
     base_total = F.lit(model.tokens + SMOOTHING * (model.distinct + 1))
     joined = (
-        per_doc.join(cur, "cur", "left")
+        per_token.join(cur, "cur", "left")
         .join(prev, "prev", "left")
         .select(
             "_row",
-            "n",
+            "_doc",
+            "_held",
             F.coalesce("count", F.lit(0)).alias("c"),
             F.coalesce("c2", hashed_class(F.col("cur"), model.classes)).alias("c2"),
-            F.when(F.col("prev") == START, model.classes)
+            F.when(F.col("prev") == F.xxhash64(F.lit(START)), model.classes)
             .otherwise(F.coalesce("c1", hashed_class(F.col("prev"), model.classes)))
             .alias("c1"),
             "emit",
@@ -221,13 +260,13 @@ def score_rows(rows: DataFrame, model: Model) -> DataFrame:
         .join(F.broadcast(unseen), "c2")
         .join(F.broadcast(model.moves), ["c1", "c2"])
     )
-    summed = joined.groupBy("_row").agg(
-        F.sum("n").alias("n_tokens"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("n") * F.log10((F.col("c") + F.lit(SMOOTHING)) / base_total)).alias("base_score"),
-        F.sum(F.col("n") * (F.col("logp") + F.coalesce("emit", "_unseen"))).alias("score"),
+    summed = joined.groupBy("_row", "_doc", "_held").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.count_if(F.col("c") > 0).alias("n_known"),
+        F.sum(F.log10((F.col("c") + F.lit(SMOOTHING)) / base_total)).alias("base_score"),
+        F.sum(F.col("logp") + F.coalesce("emit", "_unseen")).alias("score"),
     )
-    return rows.join(summed, "_row").select(
+    return summed.select(
         F.col("_doc").alias("doc_id"),
         F.col("_held").alias("held_out"),
         F.col("n_tokens").cast("long"),

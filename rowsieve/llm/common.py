@@ -38,11 +38,16 @@ def stored(df: DataFrame) -> DataFrame:
     can differ between reads. The folder is the one that ``spark.checkpoint.dir`` names, or
     the warehouse where that is unset; clearing it is up to whoever provides it.
     """
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``stored``, with the folder, for a caller that deletes it when done."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/rowsieve-llm/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def full_text(column: str = "text") -> Column:

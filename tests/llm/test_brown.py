@@ -17,11 +17,14 @@ SCHEMA = "doc_id long, text string, _row long, _tokens string, n long"
 LOWER = str.maketrans(brown.UPPER, brown.LOWER)
 
 
-def spark_hash(*parts: str) -> int:
-    seed = 42
-    for part in parts:
-        seed = xxhash.xxh64_intdigest(part.encode(), seed=seed)
-    return seed
+def word_id(word: str) -> int:
+    """Spark's xxhash64 of a string, unsigned."""
+    return xxhash.xxh64_intdigest(word.encode(), seed=42)
+
+
+def pmod(word: str, k: int) -> int:
+    signed = word_id(word) - (1 << 64) if word_id(word) >= 1 << 63 else word_id(word)
+    return signed % k
 
 
 def xl(x):
@@ -45,7 +48,7 @@ def brute(rows, k, rounds, a=brown.SMOOTHING):
     count = Counter()
     for (_, c), n in pairs.items():
         count[c] += n
-    cls = {w: spark_hash(w) % k for w in count}
+    cls = {w: pmod(w, k) for w in count}
     for turn in range(rounds):
         follows, tot = Counter(), Counter()
         for (p, c), n in pairs.items():
@@ -54,7 +57,7 @@ def brute(rows, k, rounds, a=brown.SMOOTHING):
             tot[cls[w]] += n
         new = dict(cls)
         for w in count:
-            if spark_hash(w, "move") % 2 != turn % 2:
+            if (word_id(w) >> 32) & 1 != turn % 2:
                 continue
             now, own = cls[w], count[w]
             preds = [(p, n) for (p, c), n in pairs.items() if c == w]
@@ -85,8 +88,8 @@ def brute(rows, k, rounds, a=brown.SMOOTHING):
         ts = tokens(text)
         base = score = 0.0
         for p, c in zip([" "] + ts[:-1], ts):
-            c1 = k if p == " " else cls.get(p, spark_hash(p) % k)
-            c2 = cls.get(c, spark_hash(c) % k)
+            c1 = k if p == " " else cls.get(p, pmod(p, k))
+            c2 = cls.get(c, pmod(c, k))
             base += math.log10((count[c] + 0.5) / (n_all + 0.5 * (v_all + 1)))
             score += math.log10((moves[(c1, c2)] + a) / (out_of[c1] + a * k))
             score += math.log10((count[c] + a) / (total[c2] + a * (members[c2] + 1)))
