@@ -16,62 +16,41 @@ from rowsieve.sources.writers import write_split
 from rowsieve.streaming.batches import validate_stream
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-PARCELS_CSV = """parcel,recipient,state,kilos
-11,north@post.test,sent,4
-12,,sent,12
-13,west@post.test,LOST?,7
-14,south@post.test,held,-2
-15, ,held,31
-15,east at post,sent,9
-17,mid@post.test,back,80
-18,far@post.test,sent,
+READINGS_CSV = """meter,site,month,kwh,unit,inspector
+M1,alpha,1,120.5,kwh,IN-001
+M1,alpha,2,130.0,kwh,IN-001
+M2,beta,1,-4.0,kwh,IN-002
+M2,beta,1,88.0,kwh,in-2
+M3,gamma,1,,kwh,IN-003
+M4,delta,3,9999.0,kwh,IN-004
 """
-PEOPLE_CSV = """\ufeffnick,national,tax,account,mobile
-ada,27182818254,{tax},{account},05427773311
-bo,27182818255,4829153709,DE{digits},+905427773311
-cy,7182818254,{tax},TR{spaced},02127773311
-di,27182818254,48291537,none,5427773311
-"""
-SHIPS_CSV = """\ufeffhull,master,radio,crew,port
-7001,Ines,CQ-41,22,north
-7002,Olaf,CQ-42,9,south
-7003,Remy,41,61,east
-7004,,CQ-44,18,north
-7005,Tove,CQ-45,30,MOON
-7005,Una,CQ-46,2,south
+BINS_CSV = """bin,label,weight,shelf
+B-10,bolts,2.5,upper
+B-11,,3.0,lower
+B-11,nuts,0.2,lower
+B-12,washers,7.5,roof
 """
 RULE_SET = {
     "version": "1.0",
     "rules": [
-        {"id": "a", "name": "recipient_given", "type": "completeness", "column": "recipient", "threshold": 0.8},
-        {"id": "b", "name": "parcel_once", "type": "uniqueness", "column": "parcel", "threshold": 0.8},
+        {"id": "once", "name": "one_reading_a_month", "type": "uniqueness", "columns": ["meter", "month"], "threshold": 1.0},
         {
-            "id": "c",
-            "name": "kilos_range",
+            "id": "kwh",
+            "name": "kwh_plausible",
             "type": "validity",
-            "column": "kilos",
+            "column": "kwh",
             "validator": "range",
-            "params": {"min_value": 0, "max_value": 50},
+            "params": {"min_value": 0, "max_value": 5000},
             "threshold": 0.9,
         },
         {
-            "id": "d",
-            "name": "state_known",
-            "type": "validity",
-            "column": "state",
-            "validator": "enum",
-            "params": {"allowed_values": ["back", "held", "sent"]},
-            "threshold": 0.95,
-            "severity": "warning",
-        },
-        {
-            "id": "e",
-            "name": "recipient_form",
+            "id": "who",
+            "name": "inspector_code",
             "type": "validity",
-            "column": "recipient",
+            "column": "inspector",
             "validator": "regex",
-            "params": {"pattern": r"[a-z]+@post\.test"},
-            "threshold": 0.7,
+            "params": {"pattern": "IN-[0-9]{3}"},
+            "threshold": 0.8,
             "severity": "warning",
         },
     ],
@@ -88,17 +67,19 @@ def types(df):
 
 
 def test_csv_with_rule_file(spark, tmp_path):
-    df = read(spark, write(tmp_path / "parcels.csv", PARCELS_CSV))
-    assert types(df) == {"parcel": "bigint", "recipient": "string", "state": "string", "kilos": "bigint"}
+    df = read(spark, write(tmp_path / "readings.csv", READINGS_CSV))
+    assert types(df) == {
+        "meter": "string", "site": "string", "month": "bigint", "kwh": "double", "unit": "string",
+        "inspector": "string",
+    }
     rules = load_rules(spark, write(tmp_path / "rules.json", json.dumps(RULE_SET)))
-    done = run(df, rules, order_by=["parcel"])
-    assert [(row.failed_count, row.total_count) for row in done.verdicts] == [
-        (2, 8), (1, 8), (3, 8), (1, 8), (3, 8),
-    ]
+    done = run(df, rules, order_by=["meter"])
+    # A repeated month of M2; a negative, a missing and an implausible reading; one code.
+    assert [(row.failed_count, row.total_count) for row in done.verdicts] == [(1, 6), (3, 6), (1, 6)]
     summary = done.summary.first()
-    assert (summary.overall_status, summary.passed_rules, summary.failed_rules) == ("failed", 1, 4)
-    assert summary.overall_score == pytest.approx(0.75)
-    assert [row.parcel for row in done.rows.clean.collect()] == [11]
+    assert (summary.overall_status, summary.passed_rules, summary.failed_rules) == ("failed", 1, 2)
+    assert summary.overall_score == pytest.approx((5 / 6 + 3 / 6 + 5 / 6) / 3)
+    assert sorted((row.meter, row.month) for row in done.rows.clean.collect()) == [("M1", 1), ("M1", 2)]
 
 
 def test_yaml_rule_file(spark, tmp_path):
@@ -112,45 +93,46 @@ def test_yaml_rule_file(spark, tmp_path):
     assert load_rules(spark, write(tmp_path / "none.yaml", "version: '1.0'\n")) == []
 
 
-def test_identifiers_kept_as_text(spark, tmp_path):
-    account = "TR750009900000001234567890"
-    text = PEOPLE_CSV.format(
-        tax="4829153708",
-        account=account,
-        digits=account[2:],
-        spaced=" ".join([account[2:4], *[account[at : at + 4] for at in range(4, 26, 4)]]),
-    )
-    rules = [
+def identifier_rules(*pairs):
+    return [
         Rule(name, name, "validity", column=name, validator=validator, threshold=1.0)
-        for name, validator in [
-            ("national", "tckn"), ("tax", "vkn"), ("account", "tr_iban"), ("mobile", "phone_tr"),
-        ]
+        for name, validator in pairs
     ]
-    df = read(spark, write(tmp_path / "ids.csv", text), rules=rules)
-    assert df.columns[0] == "nick"
-    assert set(types(df).values()) == {"string"}
-    assert [row.failed_count for row in validate(df, rules).collect()] == [2, 2, 2, 1]
+
+
+def test_phone_and_tax_numbers_kept_as_text(spark, tmp_path):
+    rules = identifier_rules(("tax", "vergi_no"), ("mobile", "telefon"))
+    path = write(tmp_path / "contacts.csv", "tax;mobile\n4829153708;+905427773311\n4829153709;05427773311\n")
+    df = read(spark, path, sep=";", rules=rules)
+    assert types(df) == {"tax": "string", "mobile": "string"}
+    assert [row.mobile for row in df.collect()] == ["+905427773311", "05427773311"]
+    assert [row.failed_count for row in validate(df, rules).collect()] == [1, 0]
+
+
+def test_account_and_national_numbers(spark, tmp_path):
+    account = "TR750009900000001234567890"
+    spaced = " ".join([account[:4], *[account[at : at + 4] for at in range(4, 26, 4)]])
+    rules = identifier_rules(("account", "iban"), ("national", "tc_kimlik"))
+    text = f"\ufeffaccount,national\n{spaced},27182818254\nDE{account[2:]},27182818255\n"
+    df = read(spark, write(tmp_path / "accounts.csv", text), rules=rules)
+    assert df.columns == ["account", "national"]
+    assert [row.failed_count for row in validate(df, rules).collect()] == [1, 1]
 
 
 def test_csv_without_row_order_is_landed(spark, tmp_path):
-    df = read(spark, write(tmp_path / "ships.csv", SHIPS_CSV))
+    df = read(spark, write(tmp_path / "bins.csv", BINS_CSV))
     rules = [
-        Rule("crew", "crew", "validity", "warning", "crew", (), 0.8, "range", {"min_value": 5, "max_value": 60}),
-        Rule("hull", "hull", "uniqueness", column="hull", threshold=0.9),
-        Rule("radio", "radio", "validity", column="radio", validator="regex", params={"pattern": "CQ-[0-9]{2}"}),
-        Rule("port", "port", "validity", "warning", "port", (), 0.9, "enum", {"allowed_values": ["east", "north", "south"]}),
-        Rule("master", "master", "completeness", column="master", threshold=0.5),
+        Rule("bin_once", "bin_once", "uniqueness", column="bin", threshold=0.9),
+        Rule("weight", "weight", "validity", "warning", "weight", (), 0.5, "range", {"min_value": 0.5, "max_value": 5.0}),
+        Rule("label", "label", "completeness", column="label", threshold=0.9),
+        Rule("shelf", "shelf", "validity", "warning", "shelf", (), 0.7, "enum", {"allowed_values": ["upper", "lower"]}),
     ]
     done = run(df, rules)
-    assert [row.failed_count for row in done.verdicts] == [2, 1, 1, 1, 1]
-    assert sorted(row.master for row in done.rows.clean.collect()) == ["Ines", "Olaf"]
-    reasons = {row.radio: row.violation_reasons for row in done.rows.quarantine.collect()}
-    assert reasons == {
-        "41": "[crew] invalid value ('61') | [radio] invalid value ('41')",
-        "CQ-44": "[master] missing value (blank)",
-        "CQ-45": "[port] invalid value ('MOON')",
-        "CQ-46": "[crew] invalid value ('2') | [hull] duplicate record ('7005')",
-    }
+    assert [row.failed_count for row in done.verdicts] == [1, 2, 1, 1]
+    # Both warnings pass their thresholds, so only the repeated bin and the blank label hold rows.
+    assert sorted(row.label for row in done.rows.clean.collect()) == ["bolts", "washers"]
+    reasons = {row.weight: row.violation_reasons for row in done.rows.quarantine.collect()}
+    assert reasons == {3.0: "[label] missing value (blank)", 0.2: "[bin] duplicate record ('B-11')"}
 
 
 def test_schema_and_inference_agree_on_missing_cells(spark, tmp_path):
@@ -250,18 +232,19 @@ def test_position_survives_null_clean_up(spark, tmp_path):
 
 def test_report_and_rows_are_written_once_per_run(spark, tmp_path):
     root = str(tmp_path / "out")
-    df = read(spark, write(tmp_path / "parcels.csv", PARCELS_CSV))
+    df = read(spark, write(tmp_path / "readings.csv", READINGS_CSV))
     rules = load_rules(spark, write(tmp_path / "rules.json", json.dumps(RULE_SET)))
     for run_id in ("one", "two", "two"):
-        run(df, rules, root=root, run_id=run_id, order_by=["parcel"], source="parcels.csv")
+        run(df, rules, root=root, run_id=run_id, order_by=["meter"], source="readings.csv")
     results = spark.read.json(f"{root}/results")
-    assert results.groupBy("run_id").count().orderBy("run_id").collect() == [("one", 5), ("two", 5)]
+    assert results.groupBy("run_id").count().orderBy("run_id").collect() == [("one", 3), ("two", 3)]
     summary = spark.read.json(f"{root}/summary").filter("run_id = 'two'").first()
-    assert (summary.overall_status, summary.overall_score, summary.source) == ("failed", 0.75, "parcels.csv")
+    assert (summary.overall_status, summary.source) == ("failed", "readings.csv")
+    assert summary.overall_score == pytest.approx((5 / 6 + 3 / 6 + 5 / 6) / 3, abs=1e-3)
     assert summary.executed_at
     rows = spark.read.parquet(f"{root}/rows")
     counts = rows.groupBy("run_id", "sieve_outcome").count().orderBy("run_id", "sieve_outcome").collect()
-    assert counts == [("one", "clean", 1), ("one", "quarantine", 7), ("two", "clean", 1), ("two", "quarantine", 7)]
+    assert counts == [("one", "clean", 2), ("one", "quarantine", 4), ("two", "clean", 2), ("two", "quarantine", 4)]
 
 
 def test_split_is_written_without_a_sort(spark, tmp_path):
