@@ -67,9 +67,9 @@ def _bit(letter: Column) -> Column:
 ORDERS = ["".join(order) for order in permutations(FILTERS)]
 
 
-def failures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
-    """The Column of each filter, true where the document fails it. E needs ``_first_id``,
-    the smallest doc_id of the same text, beside the row."""
+def failures(text: str = "text") -> dict[str, Column]:
+    """The Column of each filter that reads the text alone, true where the document fails
+    it. E compares documents and is found by ``masks``."""
     whole = full_text(text)
     trimmed = F.regexp_replace(whole, rf"^{BLANKS}|{BLANKS}$", "")
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANKS))
@@ -79,7 +79,6 @@ def failures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dic
         "B": F.size(F.array_distinct(words)) * 100 < F.size(words) * DISTINCT_PERCENT,
         "C": upper * 100 > F.length(whole) * UPPER_PERCENT,
         "D": whole.rlike(SYMBOLS),
-        "E": F.coalesce(F.col("_first_id") < F.col(doc_id), F.lit(False)),
     }
 
 
@@ -90,22 +89,27 @@ def masks(
     text: str = "text",
     part: str = "lang",
 ) -> DataFrame:
-    """One row per part and mask: ``n``, ``good`` and ``toxic`` documents."""
+    """One row per part and mask: ``n``, ``good`` and ``toxic`` documents.
+
+    The text is read where it lies: filters A to D become bits, the text a digest, and
+    only these narrow rows meet again by digest to find E.
+    """
+    fails = failures(text)
+    own = sum(
+        (F.when(fails[letter], F.lit(1 << bit)).otherwise(F.lit(0)) for bit, letter in enumerate(FILTERS[:4])),
+        F.lit(0),
+    )
     rows = docs.select(
         F.col(doc_id).alias("_id"),
         F.coalesce(F.col(part).cast("string"), F.lit("")).alias("_part"),
-        F.col(text).alias("_text"),
+        own.alias("_own"),
         F.sha2(full_text(text), 256).alias("_digest"),
     )
     # Copies of one text merge per task before the shuffle, so a hot text weighs little.
     first = rows.groupBy("_digest").agg(F.min("_id").alias("_first_id"))
-    joined = rows.join(first, "_digest")
-    fails = failures(joined, "_id", "_text")
-    mask = sum(
-        (F.when(fails[letter], F.lit(1 << bit)).otherwise(F.lit(0)) for bit, letter in enumerate(FILTERS)),
-        F.lit(0),
-    )
-    judged = joined.select("_id", "_part", mask.alias("mask"))
+    copy = F.coalesce(F.col("_first_id") < F.col("_id"), F.lit(False))
+    mask = F.col("_own") + F.when(copy, F.lit(1 << FILTERS.index("E"))).otherwise(F.lit(0))
+    judged = rows.join(first, "_digest").select("_id", "_part", mask.alias("mask"))
     if labels is not None:
         flags = labels.groupBy(F.col(doc_id).alias("_id")).agg(
             F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("_good"),
