@@ -64,6 +64,15 @@ def with_row_order(df: DataFrame, order_by: Sequence[str] | None) -> tuple[DataF
     return placed, [*wanted, *place]
 
 
+def has_positions(df: DataFrame) -> bool:
+    """Whether the rows of ``df`` have file positions, as rows read from Parquet have."""
+    try:
+        _with_positions(df)
+    except RowOrderError:
+        return False
+    return True
+
+
 def _with_positions(df: DataFrame) -> tuple[DataFrame, list[str]]:
     try:
         placed = df.select(

@@ -20,7 +20,7 @@ from rowsieve.plans.cluster import fresh_folder
 from rowsieve.plans.runs import run
 from rowsieve.rules import Rule, default_rules, rules_from_form
 from rowsieve.sources.readers import infer_types, null_nans, null_tokens, read
-from rowsieve.sources.writers import write_report, write_split
+from rowsieve.sources.writers import write_counted_split, write_report, write_split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -220,6 +220,13 @@ def _document_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _document_split(spark, sf_dir).quarantine
 
 
+def _split_counts_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of ``split_counts``, observed while the split is written."""
+    root = fresh_folder(spark, "customer_counted")
+    counts = write_counted_split(_customer_split(spark, sf_dir), root, "customer")[2]
+    return spark.createDataFrame([counts], "total_rows long, clean_rows long, quarantine_rows long")
+
+
 def _line_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_split(spark, sf_dir).counts()
 
@@ -576,6 +583,7 @@ QUERIES: dict[str, Query] = {
     "quarantine_documents": _document_quarantine,
     "quarantine_lines": _line_quarantine,
     "split_counts_lines": _line_split_counts,
+    "split_counts_written": _split_counts_written,
     "auto_validate": _auto_validate,
     "custom_check": _custom_check,
     "table_check_group_share": _table_checked("lineitem", [LINE_SHARE]),

@@ -689,3 +689,4 @@ ORACLE_SQL: dict[str, str] = {
         1, "characters", "validity", "text", _failing("documents", "text IS NULL")
     ),
 }
+ORACLE_SQL["split_counts_written"] = ORACLE_SQL["split_counts"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rowsieve.operators.report import summarise
@@ -55,12 +55,39 @@ def write_split(parts: Split, root: str, run_id: str, fmt: str = "parquet") -> t
     The outcome is a partition column, so a task writes its clean and its quarantined
     rows side by side and the table is neither read nor checked twice.
     """
+    clean, held, _ = write_counted_split(parts, root, run_id, fmt)
+    return clean, held
+
+
+def write_counted_split(
+    parts: Split, root: str, run_id: str, fmt: str = "parquet"
+) -> tuple[str, str, Row]:
+    """As ``write_split``, and the split's counts (``total_rows``, ``clean_rows``,
+    ``quarantine_rows``), observed by the tasks that write: no second pass reads the table.
+
+    Observed metrics are merged from the tasks that succeed, so a task tried again after a
+    lost executor counts once.
+    """
     base = f"{root}/rows/run_id={run_id}"
-    writer = parts.tagged.write.mode("overwrite").partitionBy(OUTCOME_COLUMN).format(fmt)
+    seen = Observation()
+    outcome = F.col(OUTCOME_COLUMN)
+    tagged = parts.tagged.observe(
+        seen,
+        F.count(F.lit(1)).alias("total_rows"),
+        F.count_if(outcome == "clean").alias("clean_rows"),
+        F.count_if(outcome == "quarantine").alias("quarantine_rows"),
+    )
+    writer = tagged.write.mode("overwrite").partitionBy(OUTCOME_COLUMN).format(fmt)
     # Two files open at a time spare the sort by outcome that each task would else make.
     with _setting(parts.tagged.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", "2"):
         writer.save(base)
-    return f"{base}/{OUTCOME_COLUMN}=clean", f"{base}/{OUTCOME_COLUMN}=quarantine"
+    counts = seen.get
+    row = Row(*[name for name in ("total_rows", "clean_rows", "quarantine_rows")])
+    return (
+        f"{base}/{OUTCOME_COLUMN}=clean",
+        f"{base}/{OUTCOME_COLUMN}=quarantine",
+        row(*[int(counts[name]) for name in ("total_rows", "clean_rows", "quarantine_rows")]),
+    )
 
 
 @contextmanager

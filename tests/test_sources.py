@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rowsieve import Rule, RuleError, load_rules, read, rules_from_entries, run, split, validate
 from rowsieve.plans.cluster import drop_folder, fresh_folder, shared_folder, shuffle_settings
 from rowsieve.sources.readers import infer_types, null_nans, null_tokens, supports
-from rowsieve.sources.writers import write_split
+from rowsieve.sources.writers import write_counted_split, write_split
 from rowsieve.streaming.batches import validate_stream
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -235,7 +235,8 @@ def test_report_and_rows_are_written_once_per_run(spark, tmp_path):
     df = read(spark, write(tmp_path / "readings.csv", READINGS_CSV))
     rules = load_rules(spark, write(tmp_path / "rules.json", json.dumps(RULE_SET)))
     for run_id in ("one", "two", "two"):
-        run(df, rules, root=root, run_id=run_id, order_by=["meter"], source="readings.csv")
+        done = run(df, rules, root=root, run_id=run_id, order_by=["meter"], source="readings.csv")
+        assert tuple(done.written) == (6, 2, 4) == tuple(done.rows.counts().first())
     results = spark.read.json(f"{root}/results")
     assert results.groupBy("run_id").count().orderBy("run_id").collect() == [("one", 3), ("two", 3)]
     summary = spark.read.json(f"{root}/summary").filter("run_id = 'two'").first()
@@ -247,6 +248,15 @@ def test_report_and_rows_are_written_once_per_run(spark, tmp_path):
     assert counts == [("one", "clean", 2), ("one", "quarantine", 4), ("two", "clean", 2), ("two", "quarantine", 4)]
 
 
+def test_counts_are_observed_while_writing(spark, tmp_path):
+    df = spark.createDataFrame([(place, place % 4) for place in range(41)], "id long, v long")
+    rules = [Rule("r", "r", "validity", column="v", validator="range", params={"min_value": 1})]
+    parts = split(df, rules)
+    clean, held, counts = write_counted_split(parts, str(tmp_path / "out"), "x")
+    assert tuple(counts) == (41, 30, 11) == tuple(parts.counts().first())
+    assert (spark.read.parquet(clean).count(), spark.read.parquet(held).count()) == (30, 11)
+
+
 def test_split_is_written_without_a_sort(spark, tmp_path):
     df = spark.createDataFrame([(place, place % 3) for place in range(30)], "id long, v long")
     rules = [Rule("r", "r", "validity", column="v", validator="range", params={"min_value": 1})]
