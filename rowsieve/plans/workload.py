@@ -449,9 +449,28 @@ def _in_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = violations(
         table(spark, sf_dir, "customer"), SPLIT_RULES, ["c_custkey"], in_row_order=True
     )
-    rows = found.select("c_custkey", "rule_position", F.monotonically_increasing_id().alias("at"))
-    place = F.row_number().over(Window.orderBy("at"))
-    return rows.select("c_custkey", "rule_position", place.cast("long").alias("row_number"))
+    return numbered(found.select("c_custkey", "rule_position"), "c_custkey", ["rule_position"])
+
+
+# Keys of one bucket when rows are numbered in order.
+BUCKET_WIDTH = 1024
+
+
+def numbered(rows: DataFrame, key: str, then: list[str]) -> DataFrame:
+    """Adds ``row_number``, the place of each row in the order of the integer ``key`` and
+    ``then``. Rows are numbered within buckets of ``BUCKET_WIDTH`` keys, in as many tasks,
+    and each bucket starts after the rows of all buckets before it, which a window over
+    one row per bucket sums; no task sees all rows."""
+    bucket = F.floor(F.col(key) / F.lit(BUCKET_WIDTH)).alias("_bucket")
+    rows = rows.select("*", bucket)
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *then))
+    return rows.join(starts, "_bucket").select(
+        *[name for name in rows.columns if name != "_bucket"],
+        (F.col("_start") + inside).cast("long").alias("row_number"),
+    )
 
 
 def _sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
