@@ -20,7 +20,13 @@ from rowsieve.plans.cluster import fresh_folder
 from rowsieve.plans.runs import run
 from rowsieve.rules import Rule, default_rules, rules_from_form
 from rowsieve.sources.readers import infer_types, null_nans, null_tokens, read
-from rowsieve.sources.writers import write_counted_split, write_report, write_split
+from rowsieve.sources.writers import (
+    compact_history,
+    history,
+    write_counted_split,
+    write_report,
+    write_split,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -492,6 +498,17 @@ def _sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.select("run_id", "source", "rule_id", "status", "score", "failed_count")
 
 
+def _sink_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over two days, the first one repeated on the second day, the first day
+    compacted: the history holds each run once."""
+    root = fresh_folder(spark, "customer_history")
+    verdicts = validate(table(spark, sf_dir, "customer"), SPLIT_RULES).collect()
+    for run_id, day in (("run0", "2026-01-01"), ("run1", "2026-01-01"), ("run2", "2026-01-02"), ("run0", "2026-01-02")):
+        write_report(spark, verdicts, root, run_id, source="customer", run_date=day)
+    compact_history(spark, root, "2026-01-01")
+    return history(spark, root).select("run_id", "rule_id", "status", "score", "failed_count")
+
+
 QUERIES: dict[str, Query] = {
     "completeness_gaps": checked("events", [rule("gap_present", "completeness", "gap")], "gap"),
     "completeness_full": checked(
@@ -603,6 +620,7 @@ QUERIES: dict[str, Query] = {
     "quarantine_lines": _line_quarantine,
     "split_counts_lines": _line_split_counts,
     "split_counts_written": _split_counts_written,
+    "sink_history": _sink_history,
     "auto_validate": _auto_validate,
     "custom_check": _custom_check,
     "table_check_group_share": _table_checked("lineitem", [LINE_SHARE]),

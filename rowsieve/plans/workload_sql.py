@@ -690,3 +690,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
 }
 ORACLE_SQL["split_counts_written"] = ORACLE_SQL["split_counts"]
+ORACLE_SQL["sink_history"] = (
+    "SELECT run_id, rule_id, status, round(score, 4) AS score, failed_count "
+    f"FROM ({_CUSTOMER_SPLIT_RESULTS}) AS results, (VALUES ('run0'), ('run1'), ('run2')) AS runs(run_id)"
+)

@@ -1,16 +1,21 @@
 """Sinks for reports and for the two halves of a split.
 
-Every run writes below ``run_id=<id>`` and replaces only that folder, so a repeated run,
-or a micro-batch that is tried again, leaves one copy. Reading the parent folder gives
-the history of all runs with ``run_id`` as a partition column.
+Every run writes its report below ``run_date=<day>/run_id=<id>`` and replaces only that
+folder, so a repeated run, or a micro-batch that is tried again, leaves one copy that
+day. ``compact_history`` rewrites a day's reports as one file of each kind, with
+``run_id`` as a column, and deletes the day's run folders; ``history`` reads both forms
+and keeps the latest copy of each run, so a run repeated on another day, or compacted
+while its folder was still there, counts once. Rows of a split go below ``run_id=<id>``.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowsieve.operators.report import summarise
@@ -29,8 +34,11 @@ def write_report(
     source: str = "",
     rules_source: str = "",
     fmt: str = "json",
+    run_date: str | None = None,
 ) -> None:
-    """Write ``results`` and ``summary`` below ``root``; one row per rule and one in all."""
+    """Write ``results`` and ``summary`` below ``root``; one row per rule and one in all,
+    in the partition of ``run_date`` (today, in UTC, if not given)."""
+    day = run_date or dt.datetime.now(dt.timezone.utc).date().isoformat()
     table = spark.createDataFrame(list(results), RESULT_SCHEMA)
     stamp = {
         "source": F.lit(source),
@@ -45,10 +53,47 @@ def write_report(
     )
     for name, part in (("results", shown), ("summary", summary)):
         part.withColumns(stamp).coalesce(1).write.mode("overwrite").format(fmt).save(
-            f"{root}/{name}/run_id={run_id}"
+            f"{root}/{name}/run_date={day}/run_id={run_id}"
         )
 
 
+REPORTS = ("results", "summary")
+
+
+def compact_history(spark: SparkSession, root: str, run_date: str, fmt: str = "json") -> None:
+    """One file of each report kind for ``run_date``, in ``<kind>_compacted``, and the
+    day's run folders deleted. The new file is written before anything is deleted, so an
+    interrupted compaction leaves copies that ``history`` counts once."""
+    from rowsieve.plans.cluster import drop_folder
+
+    for name in REPORTS:
+        day = f"{root}/{name}/run_date={run_date}"
+        try:
+            rows = spark.read.format(fmt).load(day)
+        except AnalysisException:
+            continue
+        # A day's reports are a few rows a run.
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/{name}_compacted/run_date={run_date}")
+        drop_folder(spark, day)
+
+
+def history(spark: SparkSession, root: str, name: str = "results", fmt: str = "json") -> DataFrame:
+    """Every run's report rows of kind ``name``, compacted or not, the latest copy of each
+    run only; with ``run_date`` and ``run_id``."""
+    parts = []
+    for path, reader in ((f"{root}/{name}", spark.read.format(fmt)), (f"{root}/{name}_compacted", spark.read.format("parquet"))):
+        try:
+            parts.append(reader.load(path))
+        except AnalysisException:
+            continue
+    if not parts:
+        raise FileNotFoundError(f"no reports below {root}/{name}")
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    stamp = F.col("executed_at").cast("string")
+    latest = F.max(stamp).over(Window.partitionBy("run_id"))
+    return rows.withColumn("__latest", latest).filter(stamp == F.col("__latest")).drop("__latest")
+
+
 def write_split(parts: Split, root: str, run_id: str, fmt: str = "parquet") -> tuple[str, str]:
     """Write both halves in one pass over the table; gives the two folders.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rowsieve import Rule, RuleError, load_rules, read, rules_from_entries, run, split, validate
 from rowsieve.plans.cluster import drop_folder, fresh_folder, shared_folder, shuffle_settings
 from rowsieve.sources.readers import infer_types, null_nans, null_tokens, supports
-from rowsieve.sources.writers import write_counted_split, write_split
+from rowsieve.sources.writers import compact_history, history, write_counted_split, write_report, write_split
 from rowsieve.streaming.batches import validate_stream
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -248,6 +248,24 @@ def test_report_and_rows_are_written_once_per_run(spark, tmp_path):
     assert counts == [("one", "clean", 2), ("one", "quarantine", 4), ("two", "clean", 2), ("two", "quarantine", 4)]
 
 
+def test_history_by_day_compacted_and_repeated_once(spark, tmp_path):
+    root = str(tmp_path / "reports")
+    verdicts = validate(spark.createDataFrame([(1,), (None,)], "x long"), [Rule("c", "c", "completeness", column="x")]).collect()
+    for place in range(12):
+        day = f"2026-01-0{1 + place % 3}"
+        write_report(spark, verdicts, root, f"run{place}", source="t", run_date=day)
+    write_report(spark, verdicts, root, "run0", source="again", run_date="2026-01-01")
+    write_report(spark, verdicts, root, "run1", source="later", run_date="2026-01-03")
+    for day in ("2026-01-01", "2026-01-02"):
+        compact_history(spark, root, day)
+    results = history(spark, root)
+    assert results.count() == 12
+    assert {row.run_id: row.source for row in results.select("run_id", "source").collect()}["run1"] == "later"
+    assert history(spark, root, "summary").count() == 12
+    # Two compacted days hold one file each; the third day keeps its run folders.
+    assert len([f for f in results.inputFiles() if "/results_compacted/" in f]) == 2
+
+
 def test_counts_are_observed_while_writing(spark, tmp_path):
     df = spark.createDataFrame([(place, place % 4) for place in range(41)], "id long, v long")
     rules = [Rule("r", "r", "validity", column="v", validator="range", params={"min_value": 1})]
