@@ -8,17 +8,19 @@ inside a piece is an n-gram. Counting them goes in four steps, all on Spark:
    and numpy prefix polynomials give every n-gram two fingerprints at once: with prefix
    sums ``S[k] = sum over j < k of h[j] B^-j`` (mod 2^64), the n-gram at ``i`` is
    ``B^(i+n-1) (S[i+n] - S[i])``. Each chunk of at most ``CHUNK`` words emits one row per
-   distinct fingerprint with its count and a pointer (doc_id, text digest, word number)
-   to its first occurrence, and a row of word totals.
+   distinct fingerprint with its count and a pointer to its first occurrence, and a row
+   of word totals. A pointer is one long: Spark's 32-bit ``hash`` of the text, then the
+   number of the word, so that every aggregate below is on longs and hashes.
 2. **Shuffle.** Rows are summed by (lang, n, first fingerprint); the smallest and
    largest second fingerprint and the smallest pointer come along. Only n-grams counted at
    least ``LEAST_COUNT`` times go on, stored in the shared folder.
 3. **Verification.** Where one first fingerprint came with two second ones, different
    n-grams collided: their texts are counted again, exactly, by their words (a broadcast
    set of the colliding fingerprints where their number is below ``BROADCAST_FINGERPRINTS``,
-   a join beyond it). All others are materialised from their pointer: the documents
-   pointed to are joined (broadcast below the same bound, else shuffled) and the words are
-   read at the pointer.
+   a join beyond it). All others are materialised from their pointer: the documents whose
+   text hash a pointer names are joined (broadcast below the same bound, else shuffled),
+   the words are read at the pointer, and only words whose two fingerprints are those of
+   the n-gram count; other texts of the same 32-bit hash give nothing.
 4. **Scores**, per language, as joins of the frequent phrases with their parts.
 
 Only frequent n-grams are ever written as text. Two n-grams with both fingerprints equal
@@ -50,7 +52,8 @@ from rowsieve.llm.common import full_text, small_batches, stored
 # Separators of pieces, and of words within pieces.
 PIECE_BREAKS = ".,;:!?\x0a\x0b\x0c\x0d"
 TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWERED = str.maketrans(UPPER, LOWER)
 UNKNOWN_LANG = "und"
 
 LONGEST = 3
@@ -58,17 +61,21 @@ LEAST_COUNT = 10
 TOP = 2000
 CHUNK = 200_000
 BROADCAST_FINGERPRINTS = 500_000
+# Largest set of frequent words sent to the tasks that make fingerprints; beyond it every
+# n-gram is fingerprinted.
+PRUNE_BYTES = 64 * 1024 * 1024
 # Odd bases of the two polynomials, and keys of the two word hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 KEYS = ("rowsieve-phrase1", "rowsieve-phrase2")
 
-GRAMS = "lang string, n int, fp1 long, fp2 long, count long, doc_id long, digest long, pos int"
+GRAMS = "lang string, n int, fp1 long, fp2 long, count long, at long"
+POSITION_BITS = 31
 
 
 def words_of(text: str | None) -> tuple[list[str], list[int]]:
     """Words of a text and the number of the piece each stands in."""
     words, pieces, piece = [], [], 0
-    for token in TOKEN.findall((text or "").translate(LOWER)):
+    for token in TOKEN.findall((text or "").translate(LOWERED)):
         if token in PIECE_BREAKS:
             piece += 1
         else:
@@ -107,7 +114,11 @@ def fingerprints(words: list[str], pieces: list[int], n: int, bits: int = 64) ->
     return starts[inside], first[inside], prints[1][inside]
 
 
-def _emit(batches: Iterator[pd.DataFrame], bits: int, chunk: int) -> Iterator[pd.DataFrame]:
+def _emit(
+    batches: Iterator[pd.DataFrame], bits: int, chunk: int, allowed: dict[str, set[str]] | None
+) -> Iterator[pd.DataFrame]:
+    """Fingerprint rows of the n-grams of 2 to ``LONGEST`` words whose words are all in
+    ``allowed`` of their language (all n-grams where ``allowed`` is None)."""
     parts: list[dict] = []
     held = 0
 
@@ -125,36 +136,28 @@ def _emit(batches: Iterator[pd.DataFrame], bits: int, chunk: int) -> Iterator[pd
                 "fp1": out["fp1"].to_numpy(np.uint64).view(np.int64),
                 "fp2": out["fp2"].to_numpy(np.uint64).view(np.int64),
                 "count": out["count"].astype(np.int64),
-                "doc_id": out["doc_id"].astype("Int64"),
-                "digest": out["digest"].astype(np.int64),
-                "pos": out["pos"].astype(np.int32),
-            }
+                "at": (out["digest"].to_numpy(np.int64) << POSITION_BITS) | out["pos"].to_numpy(np.int64),
+            },
+            columns=["lang", "n", "fp1", "fp2", "count", "at"],
         )
 
     for batch in batches:
-        for lang, doc_id, digest, text in zip(batch["lang"], batch["doc_id"], batch["digest"], batch["text"]):
+        for lang, digest, text in zip(batch["lang"], batch["digest"], batch["text"]):
             words, pieces = words_of(text)
-            doc = None if pd.isna(doc_id) else int(doc_id)
-            for start in range(0, max(len(words), 1), chunk):
+            known = None if allowed is None else allowed.get(lang, set())
+            for start in range(0, len(words), chunk):
                 # A chunk owns the n-grams that start in it; the next words complete them.
                 stop = min(len(words), start + chunk)
                 ws, ps = words[start : stop + LONGEST - 1], pieces[start : stop + LONGEST - 1]
-                # Word totals ride along as n = 0.
-                parts.append(
-                    {
-                        "lang": np.full(1, lang, dtype=object),
-                        "n": np.zeros(1, np.int64),
-                        "fp1": np.zeros(1, np.uint64),
-                        "fp2": np.zeros(1, np.uint64),
-                        "weight": np.full(1, stop - start, dtype=np.int64),
-                        "doc_id": np.full(1, doc, dtype=object),
-                        "digest": np.full(1, digest, dtype=np.int64),
-                        "pos": np.zeros(1, np.int64),
-                    }
-                )
-                for n in range(1, LONGEST + 1):
+                frequent = None if known is None else np.array([w in known for w in ws], dtype=bool)
+                for n in range(2, LONGEST + 1):
                     at, fp1, fp2 = fingerprints(ws, ps, n, bits)
                     keep = at < stop - start
+                    if frequent is not None and len(at):
+                        whole = np.ones(len(ws) - n + 1, dtype=bool)
+                        for k in range(n):
+                            whole &= frequent[k : len(ws) - n + 1 + k]
+                        keep &= whole[at]
                     at, fp1, fp2 = at[keep], fp1[keep], fp2[keep]
                     parts.append(
                         {
@@ -163,7 +166,6 @@ def _emit(batches: Iterator[pd.DataFrame], bits: int, chunk: int) -> Iterator[pd
                             "fp1": fp1,
                             "fp2": fp2,
                             "weight": np.ones(len(at), dtype=np.int64),
-                            "doc_id": np.full(len(at), doc, dtype=object),
                             "digest": np.full(len(at), digest, dtype=np.int64),
                             "pos": at + start,
                         }
@@ -172,21 +174,28 @@ def _emit(batches: Iterator[pd.DataFrame], bits: int, chunk: int) -> Iterator[pd
                 if held >= chunk:
                     yield flush()
                     parts, held = [], 0
-    if parts:
+    if parts and held:
         yield flush()
 
 
-def _materialise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Phrases at the pointers of each document."""
+def _materialise(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    """Phrases at the pointers of each document, where its words there have the n-gram's
+    fingerprints."""
     for batch in batches:
         rows = {"lang": [], "n": [], "fp1": [], "phrase": []}
-        for text, pointers in zip(batch["text"], batch["pointers"]):
-            words, _ = words_of(text)
+        for lang, text, pointers in zip(batch["lang"], batch["text"], batch["pointers"]):
+            words, pieces = words_of(text)
             for pointer in pointers:
-                rows["lang"].append(pointer["lang"])
-                rows["n"].append(pointer["n"])
+                n, pos = pointer["n"], pointer["pos"]
+                if pointer["lang"] != lang or pos + n > len(words):
+                    continue
+                _, fp1, fp2 = fingerprints(words[pos : pos + n], pieces[pos : pos + n], n, bits)
+                if len(fp1) != 1 or int(fp1.view(np.int64)[0]) != pointer["fp1"] or int(fp2.view(np.int64)[0]) != pointer["fp2"]:
+                    continue
+                rows["lang"].append(lang)
+                rows["n"].append(n)
                 rows["fp1"].append(pointer["fp1"])
-                rows["phrase"].append(" ".join(words[pointer["pos"] : pointer["pos"] + pointer["n"]]))
+                rows["phrase"].append(" ".join(words[pos : pos + n]))
         yield pd.DataFrame(rows, columns=["lang", "n", "fp1", "phrase"]).astype({"n": np.int32, "fp1": np.int64})
 
 
@@ -196,7 +205,7 @@ def _recount(batches: Iterator[pd.DataFrame], wanted: set[int] | None, bits: int
         out = {"lang": [], "n": [], "fp1": [], "phrase": []}
         for lang, text in zip(batch["lang"], batch["text"]):
             words, pieces = words_of(text)
-            for n in range(1, LONGEST + 1):
+            for n in range(2, LONGEST + 1):
                 at, fp1, _ = fingerprints(words, pieces, n, bits)
                 signed = fp1.view(np.int64)
                 for start, fp in zip(at.tolist(), signed.tolist()):
@@ -212,7 +221,6 @@ def frequent_phrases(
     docs: DataFrame,
     text: str = "text",
     lang: str = "lang",
-    doc_id: str = "doc_id",
     bits: int = 64,
     chunk: int = CHUNK,
 ) -> DataFrame:
@@ -223,36 +231,48 @@ def frequent_phrases(
     small_batches(spark)
     source = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"),
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.xxhash64(full_text(text)).alias("digest"),
+        # 32 bits, as the pointer's place for it.
+        F.hash(full_text(text)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("digest"),
         F.col(text).alias("text"),
     )
-    grams = source.mapInPandas(lambda it: _emit(it, bits, chunk), GRAMS)
+    # Words are counted by Spark itself. An n-gram is found as often as its rarest word at
+    # most, so only n-grams of words found LEAST_COUNT times need fingerprints: a cut that
+    # loses none of the n-grams that can reach the count.
+    words = stored(_word_counts(source))
+    totals = words.groupBy("lang").agg(F.sum("f").alias("f")).select(
+        "lang", F.lit(0).alias("n"), F.lit(None).cast("string").alias("phrase"), "f"
+    )
+    singles = words.filter(F.col("f") >= LEAST_COUNT).select("lang", F.lit(1).alias("n"), F.col("word").alias("phrase"), "f")
+    size = singles.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("b")).first()
+    allowed = None
+    if 64 * size["n"] + size["b"] <= PRUNE_BYTES:
+        allowed = {}
+        for row in singles.select("lang", "phrase").collect():
+            allowed.setdefault(row["lang"], set()).add(row["phrase"])
+    grams = source.mapInPandas(lambda it: _emit(it, bits, chunk, allowed), GRAMS)
     counted = grams.groupBy("lang", "n", "fp1").agg(
         F.sum("count").alias("f"),
         F.min("fp2").alias("lo"),
         F.max("fp2").alias("hi"),
-        F.min(F.struct("digest", "doc_id", "pos")).alias("at"),
+        F.min("at").alias("at"),
     )
-    kept = stored(counted.filter((F.col("n") == 0) | (F.col("f") >= LEAST_COUNT)))
-    totals = kept.filter("n = 0").select("lang", "n", F.lit(None).cast("string").alias("phrase"), "f")
-    clean = kept.filter((F.col("n") > 0) & (F.col("lo") == F.col("hi")))
-    pointers = clean.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.digest").alias("_digest")).agg(
-        F.collect_list(F.struct("lang", "n", "fp1", F.col("at.pos").alias("pos"))).alias("pointers")
+    kept = stored(counted.filter(F.col("f") >= LEAST_COUNT))
+    clean = kept.filter(F.col("lo") == F.col("hi"))
+    place = F.col("at").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
+    pointers = clean.groupBy(F.shiftright("at", POSITION_BITS).alias("_digest")).agg(
+        F.collect_list(F.struct("lang", "n", "fp1", F.col("lo").alias("fp2"), place.alias("pos"))).alias("pointers")
     )
     # Each frequent n-gram makes one pointer, so their count bounds what is broadcast.
     if clean.count() <= BROADCAST_FINGERPRINTS:
         pointers = F.broadcast(pointers)
-    pointed = source.join(
-        pointers, (source["doc_id"].eqNullSafe(pointers["_doc"])) & (source["digest"] == pointers["_digest"])
-    ).select("text", "pointers")
+    pointed = source.join(pointers, source["digest"] == pointers["_digest"]).select("lang", "text", "pointers")
     named = (
-        pointed.mapInPandas(_materialise, "lang string, n int, fp1 long, phrase string")
+        pointed.mapInPandas(lambda it: _materialise(it, bits), "lang string, n int, fp1 long, phrase string")
         .groupBy("lang", "n", "fp1")
         .agg(F.min("phrase").alias("phrase"))
     )
     found = clean.join(named, ["lang", "n", "fp1"]).select("lang", "n", "phrase", "f")
-    collided = stored(kept.filter((F.col("n") > 0) & (F.col("lo") != F.col("hi"))).select("lang", "n", "fp1"))
+    collided = stored(kept.filter(F.col("lo") != F.col("hi")).select("lang", "n", "fp1"))
     clashes = collided.count()
     if clashes:
         wanted = None
@@ -268,7 +288,16 @@ def frequent_phrases(
             .filter(F.col("f") >= LEAST_COUNT)
         )
         found = found.unionByName(exact)
-    return found.unionByName(totals)
+    return found.unionByName(singles).unionByName(totals)
+
+
+def _word_counts(source: DataFrame) -> DataFrame:
+    """lang, word, f: every word of every text, counted by built-in functions."""
+    lowered = F.translate(full_text("text"), UPPER, LOWER)
+    pieces = F.split(lowered, r"[.,;:!?\x0A-\x0D]")
+    words = F.flatten(F.transform(pieces, lambda piece: F.split(piece, r"[\x20\x09]+")))
+    found = source.select("lang", F.explode(words).alias("word")).filter(F.col("word") != "")
+    return found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f"))
 
 
 def collocations(phrases: DataFrame, top: int = TOP) -> DataFrame:

@@ -97,3 +97,10 @@ def test_long_text_in_chunks(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_without_pruning(spark, monkeypatch):
+    """Where the frequent words are too many to send, every n-gram gets fingerprints."""
+    monkeypatch.setattr(phrases, "PRUNE_BYTES", 0)
+    rows = corpus(random.Random(5))
+    assert run(spark, rows) == brute(rows)
