@@ -123,9 +123,58 @@ AUDIT = r"""
     from s
 """
 
+PHRASES = r"""
+    with d as (
+      select coalesce(lang, 'und') lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
+      from documents
+    ), p as (
+      select lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) piece from d
+    ), w as (
+      select lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') ws
+      from p
+    ), g as (
+      select lang, n, array_to_string(ws[i : i + n - 1], ' ') phrase from (
+        select lang, ws, n, unnest(range(1, len(ws) - n + 2)) i
+        from w, (values (1), (2), (3)) r(n) where len(ws) >= n)
+    ), f as (
+      select lang, n, phrase, count(*) f from g group by lang, n, phrase
+    ), tot as (
+      select lang, sum(len(ws)) total from w group by lang
+    ), c as (
+      select lang, n, phrase, f a, string_split(phrase, ' ') ws from f where n >= 2 and f >= 10
+    ), cuts as (
+      select c.lang, c.phrase, c.a, k, l.f l, r.f r,
+        (c.a::hugeint * c.a * 1000000) // (l.f::hugeint * r.f) score
+      from c, range(1, 3) kk(k)
+      join f l on l.lang = c.lang and l.phrase = array_to_string(c.ws[1 : k], ' ')
+      join f r on r.lang = c.lang and r.phrase = array_to_string(c.ws[k + 1 : c.n], ' ')
+      where k < c.n
+    ), best as (
+      select * from cuts
+      qualify row_number() over (partition by lang, phrase order by score, k) = 1
+    ), longer as (
+      select lang, s phrase, max(a) outer_a from (
+        select lang, a, array_to_string(ws[1 : 2], ' ') s from c where n = 3
+        union all select lang, a, array_to_string(ws[2 : 3], ' ') s from c where n = 3)
+      group by lang, s
+    ), kept as (
+      select b.* from best b left join longer o on o.lang = b.lang and o.phrase = b.phrase
+      where o.outer_a is null or o.outer_a * 100 < b.a * 50
+    ), ranked as (
+      select *, row_number() over (partition by lang order by score desc, a desc, phrase) rk
+      from kept
+    )
+    select ranked.lang, rk::bigint "rank", phrase, a::bigint a, l::bigint l, r::bigint r,
+      total::bigint n, score::bigint score
+    from ranked join tot on tot.lang = ranked.lang where rk <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": QUALITY,
     "op11_filter_audit": AUDIT,
+    "op12_phrase_mining": PHRASES,
     "op4_exact_top_k": """
         with v as (
           select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) v
