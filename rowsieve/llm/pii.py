@@ -3,11 +3,16 @@
 For every kind there are two generators. The strict one finds what has the kind's exact form
 and passes its check; these base spans are always selected. The loose one proposes whatever
 looks like the kind, also spaced, bracketed or otherwise disguised; its spans may overlap each
-other and the base. Boosted trees rate loose candidates by format (check, separators, number
-of digits, lead character) and context (characters on both sides). They learn from the corpus
-itself which of these go with base spans, and what scores above a threshold is selected too.
-The threshold is the lowest at which ``PRECISION`` of the candidates held out of training
-(a fifth, by their text) are base spans.
+other and the base. Each loose candidate is put back into plain form (``[at]`` and `` @ `` to
+``@``, ``[dot]`` to ``.``, a leading ``00`` or the trunk ``0`` of a national number to ``+``,
+commas of addresses to dots, the one kind of separator of a card number dropped), and its
+label is whether that form has the kind's strict form and passes its check. Boosted trees
+rate candidates by format (how far the match is from its plain form, number of digits) and
+context (characters on both sides), learning from the corpus itself which formats and
+contexts hold real data; nothing that tells the label itself is a feature. A candidate is
+selected where its plain form passes and its code scores at or above its kind's threshold:
+the lowest at which ``PRECISION`` of the kind's candidates held out of training (a fifth, by
+their text) pass; codes of equal score are taken or left together.
 
 Features are small categories, so a candidate is one of ``CODES`` codes. Counts of codes over
 all documents are all that training needs; they are gathered as one row per code and label,
@@ -39,13 +44,15 @@ HELD_OUT = 5
 
 @dataclass(frozen=True)
 class Kind:
-    """``strict`` and ``loose`` patterns, the check on ``m``, and what must be in a text."""
+    """``strict`` and ``loose`` patterns, the check on ``m``, what must be in a text, and
+    the plain form of a loose match ``m``."""
 
     name: str
     strict: str
     loose: str
     check: str
     needs: str
+    plain: str
 
 
 _DIGITS = "length(regexp_replace(m, '[^0-9]+', ''))"
@@ -60,6 +67,8 @@ KINDS = [
         + r"(?: ?@ ?| ?[\[(](?:at|AT)[\])] ?)[A-Za-z0-9-]++(?:(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z0-9-]++)++",
         "true",
         r"@|[\[(](?:at|AT)[\])]",
+        r"regexp_replace(regexp_replace(regexp_replace(m, ' ?[\\[(](?:dot|DOT)[\\])] ?', '.'),"
+        r" ' ?[\\[(](?:at|AT)[\\])] ?', '@'), ' ?@ ?', '@')",
     ),
     Kind(
         "ip",
@@ -67,6 +76,7 @@ KINDS = [
         r"(?<![0-9])[0-9]{1,3}+(?: ?[.,] ?[0-9]{1,3}+){3}+",
         r"forall(split(m, '[^0-9]+'), p -> length(ltrim('0', p)) < 4 and int(right(concat('00', p), 3)) < 256)",
         r"[0-9] ?[.,] ?[0-9]",
+        "replace(replace(m, ' ', ''), ',', '.')",
     ),
     Kind(
         "card",
@@ -74,17 +84,23 @@ KINDS = [
         r"[0-9](?:[ ./_-]?+[0-9]){12,}+",
         f"{_DIGITS} between 14 and 19 and luhn_check(regexp_replace(m, '[^0-9]+', ''))",
         r"(?:[0-9][ ./_-]?){13}",
+        # Written with one kind of separator at most, as card numbers are.
+        "if(replace(regexp_replace(m, '[0-9]+', ''), left(regexp_replace(m, '[0-9]+', ''), 1), '') = '',"
+        " regexp_replace(m, '[^0-9]+', ''), m)",
     ),
     Kind(
         "phone",
         r"\+[0-9][ ().0-9-]+[0-9]",
-        r"(?<![0-9])(?:\+|00)?+\(?+[0-9]{1,4}+(?:[ ().-]{1,2}+[0-9]{2,4}+){2,5}+",
+        r"(?<![0-9])(?:\+|00)?+\(?+[0-9]{1,4}+(?:[ ().-]{1,2}+[0-9]{2,8}+){2,5}+",
         f"{_DIGITS} between 10 and 15",
         r"[0-9][ ().-]{1,2}[0-9]|\+[0-9]",
+        # A national number begins with its trunk 0; other bare numbers stay as they are.
+        "case when m like '+%' then m when m like '00%' then concat('+', substr(m, 3))"
+        " when m rlike '^[(]?0' then concat('+', m) else m end",
     ),
 ]
 # Categories of each feature, in order.
-FEATURES = {"check": 2, "marks": 3, "digits": 4, "lead": 3, "before": 3, "after": 3}
+FEATURES = {"form": 3, "digits": 4, "before": 3, "after": 3}
 CODES = len(KINDS) * math.prod(FEATURES.values())
 
 
@@ -118,11 +134,10 @@ def _side(column: str) -> str:
 
 
 def _code(at: int, kind: Kind) -> str:
-    """The code of a match m: kind and features as digits of one number."""
-    marks = r"case when m rlike '^[A-Za-z0-9]+$' then 0 when m rlike '^[A-Za-z0-9.@_%+()-]+$' then 1 else 2 end"
+    """The code of a match m with plain form p: kind and features as digits of one number."""
+    form = "case when m = p then 0 when replace(m, ' ', '') = replace(p, ' ', '') then 1 else 2 end"
     digits = f"case when {_DIGITS} < 10 then 0 when {_DIGITS} < 14 then 1 when {_DIGITS} <= 19 then 2 else 3 end"
-    lead = "case when m like '+%' then 0 when m rlike '^[0-9]' then 1 else 2 end"
-    values = [f"if({kind.check}, 1, 0)", marks, digits, lead, _side("before"), _side("after")]
+    values = [form, digits, _side("before"), _side("after")]
     code = str(at)
     for value, n in zip(values, FEATURES.values(), strict=True):
         code = f"({code}) * {n} + {value}"
@@ -130,8 +145,8 @@ def _code(at: int, kind: Kind) -> str:
 
 
 def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_base`` (spans: start, kind number, end) and ``_loose`` (the same with code and
-    whether it is a base span, and whether it is held out of training)."""
+    """Adds ``_base`` (spans: start, kind number, end) and ``_loose`` (the same with code,
+    whether its plain form passes, and whether it is held out of training)."""
     df = df.withColumn("_text", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     bases, looses = [], []
     for at, kind in enumerate(KINDS):
@@ -144,12 +159,16 @@ def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
             f"""transform(filter(_strict{at}, x -> {passed}),
               x -> named_struct('start', x.start, 'kind', {at}, 'end', x.end))"""
         )
-        code = inner.format(
-            f"transform(array(x.before), before -> transform(array(x.after), after -> {_code(at, kind)})[0])[0]"
+        plain = inner.format(kind.plain)
+        # Its plain form has the strict form and passes the check.
+        passes = f"transform(array({plain}), m -> m rlike '^(?:{_sql(kind.strict)})$' and {kind.check})[0]"
+        code = (
+            f"transform(array(x.m), m -> transform(array({kind.plain}), p -> transform(array(x.before), "
+            f"before -> transform(array(x.after), after -> {_code(at, kind)})[0])[0])[0])[0]"
         )
         looses.append(
             f"""transform(_loose{at}, x -> named_struct('start', x.start, 'kind', {at}, 'end', x.end,
-              'code', {code}, 'held', pmod(xxhash64(x.m), {HELD_OUT}) = 0))"""
+              'code', {code}, 'held', pmod(xxhash64(x.m), {HELD_OUT}) = 0, 'passes', coalesce({passes}, false)))"""
         )
     df = df.withColumn("_base", F.expr(f"array_sort(concat({', '.join(bases)}))"))
     df = df.withColumn(
@@ -157,8 +176,7 @@ def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
         F.expr(
             f"""transform(concat({', '.join(looses)}), x -> named_struct(
               'span', named_struct('start', x.start, 'kind', x.kind, 'end', x.end),
-              'code', x.code, 'held', x.held,
-              'base', array_contains(_base, named_struct('start', x.start, 'kind', x.kind, 'end', x.end))))"""
+              'code', x.code, 'held', x.held, 'passes', x.passes))"""
         ),
     )
     return df.drop("_text", *[f"_{name}{at}" for name in ("strict", "loose") for at in range(len(KINDS))])
@@ -228,33 +246,46 @@ def score(trees: Sequence, code: int) -> float:
 
 
 def selected_codes(counts: Sequence[tuple[int, bool, bool, int]]) -> list[int]:
-    """Codes to select, from (code, held out, base span, number of candidates)."""
+    """Codes to select, from (code, held out, plain form passes, number of candidates).
+
+    One model for all kinds, one threshold for each: codes of a kind in falling score,
+    taken while the held-out candidates down to them pass in ``PRECISION`` of cases; codes
+    of equal score are taken or left together."""
     taught: dict[int, list[float]] = {}
     held: dict[int, list[float]] = {}
-    for code, is_held, is_base, n in counts:
-        (held if is_held else taught).setdefault(code, [0.0, 0.0])[0 if is_base else 1] += n
+    for code, is_held, passes, n in counts:
+        (held if is_held else taught).setdefault(code, [0.0, 0.0])[0 if passes else 1] += n
     if not taught or not held:
         return []
     rows = [(features_of(code), good, bad) for code, (good, bad) in sorted(taught.items())]
     trees = boosted(rows)
-    ranked = sorted({*taught, *held}, key=lambda code: (-score(trees, code), code))
-    good = bad = 0.0
-    chosen = 0
-    for at, code in enumerate(ranked, 1):
-        good += held.get(code, [0, 0])[0]
-        bad += held.get(code, [0, 0])[1]
-        if good and good >= PRECISION * (good + bad):
-            chosen = at
-    return sorted(ranked[:chosen])
+    chosen: list[int] = []
+    for kind in range(len(KINDS)):
+        mine = [code for code in {*taught, *held} if features_of(code)[0] == kind]
+        by_score: dict[float, list[int]] = {}
+        for code in mine:
+            by_score.setdefault(round(score(trees, code), 12), []).append(code)
+        good = bad = 0.0
+        taken: list[int] = []
+        kept: list[int] = []
+        for value in sorted(by_score, reverse=True):
+            tie = by_score[value]
+            taken += tie
+            good += sum(held.get(code, [0, 0])[0] for code in tie)
+            bad += sum(held.get(code, [0, 0])[1] for code in tie)
+            if good and good >= PRECISION * (good + bad):
+                kept = list(taken)
+        chosen += kept
+    return sorted(chosen)
 
 
 def with_spans(candidates: DataFrame) -> DataFrame:
     """Adds ``_spans``, base and selected ones; ``candidates`` are stored."""
     seen = candidates.select(F.explode("_loose").alias("c"))
-    counts = seen.groupBy("c.code", "c.held", "c.base").count()
+    counts = seen.groupBy("c.code", "c.held", "c.passes").count()
     codes = selected_codes([tuple(row) for row in counts.collect()])
     listed = ", ".join(map(str, codes)) or "-1"
-    chosen = f"transform(filter(_loose, x -> x.code in ({listed})), x -> x.span)"
+    chosen = f"transform(filter(_loose, x -> x.passes and x.code in ({listed})), x -> x.span)"
     return candidates.withColumn("_spans", F.expr(f"array_sort(array_union(_base, {chosen}))"))
 
 

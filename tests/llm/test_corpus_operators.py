@@ -219,15 +219,66 @@ def test_redaction(spark):
 
 def test_boosted_trees_learn_a_conjunction():
     counts = []
-    for check in (0, 1):
-        for marks in (0, 1, 2):
-            code = ((check * 3 + marks) * 4 + 1) * 27
-            counts += [(code, held, check == 1 and marks == 0, 50) for held in (False, True)]
+    for form in (0, 1, 2):
+        for digits in (0, 1, 2):
+            code = ((form * 4 + digits) * 3 + 1) * 3
+            counts += [(code, held, form == 1 and digits == 2, 50) for held in (False, True)]
     chosen = pii.selected_codes(counts)
-    assert [pii.features_of(code)[1:3] for code in chosen] == [(1, 0)]
+    assert [pii.features_of(code)[1:3] for code in chosen] == [(1, 2)]
     assert pii.selected_codes([]) == []
 
 
+DISGUISED = [
+    ("phone", "0212 555 12 34"),
+    ("phone", "0049 30 1234567"),
+    ("email", "jane.doe [at] example [dot] com"),
+    ("email", "jane.doe @ example.com"),
+    ("ip", "10, 20, 30, 40"),
+    ("card", "4111/1111/1111/1111"),
+    ("card", "4111.1111.1111.1111"),
+]
+LOOK_ALIKES = ["15.01.2024", "v1.2.3", "$1,299.99", "4111.1111.1111.1112", "room 12, 14"]
+
+
+def luhn_number(rng, length=16):
+    digits = [rng.randint(0, 9) for _ in range(length - 1)]
+    total = 0
+    for at, digit in enumerate(reversed(digits)):
+        doubled = digit * 2 if at % 2 == 0 else digit
+        total += doubled - 9 if doubled > 9 else doubled
+    return "".join(map(str, digits)) + str((10 - total % 10) % 10)
+
+
+def disguised(rng, kind_at):
+    """One of the seven disguised shapes, with its own digits or names."""
+    name = "".join(rng.choices("abcdefghij", k=5))
+    number = luhn_number(rng)
+    return [
+        ("phone", f"0212 555 {rng.randint(10, 99)} {rng.randint(10, 99)}"),
+        ("phone", f"0049 30 {rng.randint(1000000, 9999999)}"),
+        ("email", f"{name}.doe [at] example [dot] com"),
+        ("email", f"{name}.doe @ example.com"),
+        ("ip", ", ".join(str(rng.randint(1, 255)) for _ in range(4))),
+        ("card", "/".join(number[at : at + 4] for at in range(0, 16, 4))),
+        ("card", ".".join(number[at : at + 4] for at in range(0, 16, 4))),
+    ][kind_at]
+
+
+def test_disguised_forms_are_selected_and_look_alikes_not(spark):
+    rng = random.Random(4)
+    planted = [(at % 7, *(DISGUISED[at % 7] if at < 7 else disguised(rng, at % 7))) for at in range(700)]
+    texts = [f"please write to {form} today, not {rng.choice(LOOK_ALIKES)} or later" for _, _, form in planted]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {row.doc_id: row.spans for row in pii.personal_data(df, "doc_id").collect()}
+    for at, (text, (_, kind, form)) in enumerate(zip(texts, planted)):
+        start = text.index(form)
+        assert f"{kind}:{start}:{start + len(form)}" in got[at].split(","), text
+        other = text.index(" not ") + 5
+        assert not any(int(span.split(":")[1]) >= other for span in got[at].split(",") if span), text
+    redacted = {row.doc_id: row.text for row in pii.redacted(df).collect()}
+    assert all(form not in redacted[at] for at, (_, _, form) in enumerate(planted))
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = [list(map(float, v)) for v in rng.normal(size=(500, 12))]
