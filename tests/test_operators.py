@@ -601,16 +601,16 @@ def test_row_rules_share_one_narrow_scan(stored):
     assert "Python" not in plan
 
 
-def test_each_key_is_scanned_once(stored):
+def test_all_keys_share_one_scan(stored):
     rules = [
         rule("uniqueness", "text"),
         rule("uniqueness", "text", threshold=1.0),
         rule("uniqueness", "number"),
     ]
     plan = plan_of(validate(stored, rules))
-    assert plan.count("FileScan") == 2
-    assert "ReadSchema: struct<text:string>" in plan
-    assert "ReadSchema: struct<number:int>" in plan
+    assert plan.count("FileScan") == 1
+    assert "ReadSchema: struct<text:string,number:int>" in plan
+    assert "Expand" in plan
 
 
 def test_row_rules_split_without_shuffle(stored):
