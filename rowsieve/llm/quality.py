@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsieve.llm.common import BLANKS, full_text
+from rowsieve.llm.common import BLANKS, full_text, stored
 
 # The base rules and their window.
 BASE_WORDS = 10
@@ -178,6 +178,8 @@ def judged(df: DataFrame, found: DataFrame, text: str = "text", lang: str = "lan
 
     ``found`` are the ``references``.
     """
+    # Written once, so that counting them and joining them read the text once.
+    found = stored(found)
     small = F.broadcast(found) if found.count() <= BROADCAST_LANGUAGES else found
     rows = with_base_counts(with_counts(df, text, lang), text).join(small, "_lang", "left")
     rows = rows.withColumn("_hits", F.expr("filter(_words, w -> array_contains(common, w))"))
