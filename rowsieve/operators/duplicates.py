@@ -73,6 +73,12 @@ def has_positions(df: DataFrame) -> bool:
     return True
 
 
+def with_positions(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table with its file path and row index, and their names; RowOrderError where
+    its rows have no positions."""
+    return _with_positions(df)
+
+
 def _with_positions(df: DataFrame) -> tuple[DataFrame, list[str]]:
     try:
         placed = df.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowsieve.functions.text import FLOATING, as_text, named, sql_text
+from rowsieve.operators.duplicates import has_positions, with_positions
 from rowsieve.rules import ID_WORDS
 
 KIND_ROWS = 10
@@ -79,9 +80,14 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def first_rows_of(df: DataFrame, order_by: Sequence[str] | None, count: int) -> DataFrame:
     """The first ``count`` rows. The leading order column alone is read to find where they
-    end; that bound is then pushed to the scan, which skips the rest of the table."""
+    end; that bound is then pushed to the scan, which skips the rest of the table. Without
+    ``order_by`` a table with file positions gives its first rows by file and position,
+    and any other table the rows that come first."""
     if not order_by:
-        return df.limit(count)
+        if not has_positions(df):
+            return df.limit(count)
+        placed, order = with_positions(df)
+        return first_rows_of(placed, order, count).select(*[named(name) for name in df.columns])
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     lead = named(order[0])
     last = df.select(lead.alias("lead")).orderBy("lead").limit(count).agg(
@@ -97,12 +103,14 @@ def _looks(df: DataFrame, order_by: Sequence[str] | None) -> DataFrame:
     """column_position, kind, sample: worked out from one array holding the first rows."""
     order = [order_by] if isinstance(order_by, str) else list(order_by or [])
     fields = df.schema.fields
+    if not order and has_positions(df):
+        df, order = with_positions(df)
     texts = [
         as_text(named(field.name), field.dataType).alias(f"c{place}")
         for place, field in enumerate(fields, start=1)
     ]
     rank = [named(name).alias(f"o{place}") for place, name in enumerate(order)]
-    head = first_rows_of(df, order_by, KIND_ROWS).select(F.struct(*rank, *texts).alias("row"))
+    head = first_rows_of(df, order, KIND_ROWS).select(F.struct(*rank, *texts).alias("row"))
     gathered = F.collect_list("row")
     packed = head.agg((F.array_sort(gathered) if rank else gathered).alias(_HEAD))
     rows = [

@@ -670,3 +670,13 @@ def test_head_of_profile_is_bounded_in_the_scan(stored):
 
     plan = plan_of(first_rows_of(stored, ["o"], 10))
     assert "LessThanOrEqual(o,9)" in plan
+
+
+def test_profile_without_order_starts_at_the_first_file(spark, tmp_path):
+    small, large = str(tmp_path / "a"), str(tmp_path / "b")
+    spark.range(0, 10).selectExpr("id", "cast(id AS string) AS label").coalesce(1).write.parquet(small)
+    spark.range(10, 3000).selectExpr("id", "cast(id AS string) AS label").coalesce(1).write.parquet(large)
+    # Spark plans the larger file first; positions put the first file's first rows first.
+    df = spark.read.parquet(small, large)
+    samples = {row["column"]: list(row["sample"]) for row in profile(df).collect()}
+    assert samples["label"][:3] == ["0", "1", "2"]
