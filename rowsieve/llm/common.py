@@ -102,3 +102,15 @@ def placed(
 def each_copy(rows: DataFrame) -> DataFrame:
     """One row for each copy again, with ``copy`` counting from 0."""
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+
+
+def neutral(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], list[Column]]:
+    """``df`` with its columns renamed ``__in_0``, ``__in_1``, ...; the new names of
+    ``names``; and the Columns that give the input's columns back under their own names.
+    Operators that add columns of their own work on this form, so that no column of the
+    input, whatever its name, meets one of theirs."""
+    renamed = [f"__in_{place}" for place in range(len(df.columns))]
+    inner = df.toDF(*renamed)
+    where = {name: new for name, new in zip(df.columns, renamed)}
+    back = [F.col(new).alias(name) for name, new in zip(df.columns, renamed)]
+    return inner, [where[name] for name in names], back

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsieve.llm.common import each_copy, placed, stored, with_copies
+from rowsieve.llm.common import each_copy, neutral, placed, stored, with_copies
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -251,9 +251,12 @@ def mix(df: DataFrame, key: Column, source: Column, size: Column, seed: int = 0)
 def mixed_rows(df: DataFrame, source: str, size: Column, seed: int = 0) -> DataFrame:
     """The rows themselves, each as often as the mix plays it, with ``mix_shard`` and
     ``mix_turn``; sort by these when writing. Further columns pass through."""
-    columns = [F.col(f"`{name}`") for name in df.columns]
+    outer = df
+    # The size is worked out on the input's own names, then all of them are put aside.
+    df, (source,), _ = neutral(df.select("*", size.alias("__size")), source)
+    columns = [F.col(name) for name in df.columns[:-1]]
     keyed = df.withColumn("_row", F.xxhash64(*columns, *[column.isNull() for column in columns]))
-    plan = mix(keyed, F.col("_row"), F.col(f"`{source}`"), size, seed).rows
+    plan = mix(keyed, F.col("_row"), F.col(source), F.col(df.columns[-1]), seed).rows
     # Equal rows are interchangeable: their draws go to one of them.
     plan = plan.filter("size(draws) > 0").groupBy(F.col("key").alias("_row")).agg(
         F.flatten(F.collect_list("draws")).alias("_draws"), F.min("turn").alias("_turn")
@@ -263,7 +266,7 @@ def mixed_rows(df: DataFrame, source: str, size: Column, seed: int = 0) -> DataF
     )
     played = once.join(plan, "_row").withColumn("mix_shard", F.explode("_draws"))
     return played.select(
-        *[F.col(f"_v{place}").alias(name) for place, name in enumerate(df.columns)],
+        *[F.col(f"_v{place}").alias(name) for place, name in enumerate(outer.columns)],
         "mix_shard",
         F.xxhash64("_turn", "mix_shard").alias("mix_turn"),
     )

@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsieve.llm.common import stored
+from rowsieve.llm.common import neutral, stored
 
 PRECISION = 0.99
 ROUNDS = 30
@@ -311,6 +311,8 @@ def personal_data(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every selected span replaced by its kind in angle brackets; where
     spans overlap, they are replaced together by the first one's kind."""
+    outer = df
+    df, (text,), back = neutral(df, text)
     found = with_spans(stored(with_candidates(df, text)))
     names = ", ".join(f"'<{kind.name}>'" for kind in KINDS)
     done = f"""if(size(_spans) = 0, `{text}`, aggregate(_spans,
@@ -319,4 +321,4 @@ def redacted(df: DataFrame, text: str = "text") -> DataFrame:
         named_struct('out', concat(s.out, substring(`{text}`, s.at + 1, x.start - s.at), get(array({names}), x.kind)), 'at', x.end),
         named_struct('out', s.out, 'at', greatest(s.at, x.end))),
       s -> concat(s.out, substring(`{text}`, s.at + 1))))"""
-    return found.withColumn(text, F.expr(done)).select(*[f"`{name}`" for name in df.columns])
+    return found.withColumn(text, F.expr(done)).select(*back).select(*[f"`{name}`" for name in outer.columns])

@@ -216,6 +216,6 @@ def judged(df: DataFrame, found: DataFrame, text: str = "text", lang: str = "lan
 def kept_documents(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that pass, with their own columns."""
     tagged = df.select(F.struct("*").alias("_row"), F.col(text).alias("_t"), F.col(lang).alias("_l"))
-    verdicts = judged(tagged, references(df, text, lang), "_t", "_l")
+    verdicts = judged(tagged, references(tagged.select("_t", "_l"), "_t", "_l"), "_t", "_l")
     # A filter would be pushed below all that the verdict is made of, and repeat it there.
     return verdicts.select(F.inline(F.expr("if(kept, array(_row), filter(array(_row), x -> false))")))
