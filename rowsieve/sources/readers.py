@@ -99,17 +99,23 @@ def read_json(
 
 
 def _first_record(spark: SparkSession, path: str) -> list[str]:
-    """The names in the first record, from no more lines than it takes to close it."""
-    lines = 64
+    """The names in the first record, from no more lines, and no more characters of each,
+    than it takes to close it. Lines are cut on the executors, so a file that holds its
+    whole array in one line sends the driver its beginning only."""
+    lines, width = 64, 4096
     while True:
-        head = [row[0] for row in spark.read.text(path).limit(lines).collect()]
-        text = "\n".join(head).lstrip("\ufeff \t\r\n[")
+        cut = spark.read.text(path).select(
+            F.substring("value", 1, width).alias("head"), (F.length("value") > width).alias("longer")
+        )
+        rows = cut.limit(lines).collect()
+        text = "\n".join(row["head"] for row in rows).lstrip("\ufeff \t\r\n[")
         try:
             record, _ = json.JSONDecoder().raw_decode(text)
         except ValueError:
-            if len(head) < lines:
+            longer = any(row["longer"] for row in rows)
+            if len(rows) < lines and not longer:
                 return []
-            lines *= 8
+            lines, width = (lines * 8 if len(rows) == lines else lines), (width * 8 if longer else width)
         else:
             return list(record) if isinstance(record, dict) else []
 

@@ -336,3 +336,11 @@ def test_shared_folder_follows_the_session(spark):
     drop_folder(spark, fresh[0])
     with pytest.raises(AnalysisException):
         spark.read.parquet(fresh[0])
+
+
+def test_json_array_in_one_long_line(spark, tmp_path):
+    records = [{"zeta": place, "alpha": "x" * 50, "mid": None} for place in range(2000)]
+    path = write(tmp_path / "one_line.json", json.dumps(records))
+    df = read(spark, path)
+    assert df.columns == ["zeta", "alpha", "mid"]
+    assert df.count() == 2000
