@@ -12,10 +12,10 @@ documents at the limit of 0.8 share at least one of ten bands in 999 of 1,000 ca
 in all but one of a million. Pairs that collide are verified by their exact weighted Jaccard
 similarity.
 
-Document frequencies cover all documents, and are exact to ``N / REPORTED``: each task
-reports the words found in at least that share of every ``REPORTED_ROWS`` of its documents. What is broadcast are
-words in at least one of ``COMMON`` documents, so at most ``COMMON`` times the mean number of
-different words a document has; all others weigh the most.
+Document frequencies cover all documents and are exact: each task reports every word, merged
+over up to ``HELD_WORDS`` different ones. What is broadcast are words in at least one of
+``COMMON`` documents, so at most ``COMMON`` times the mean number of different words a
+document has; all others weigh the most, whatever their number.
 
 Defined cases: NULL and blank texts have no shingle and stay alone; texts of one to four
 words are alike only if their words are equal; equal texts are always one class; repeated
@@ -41,16 +41,15 @@ ROWS = 3
 SAMPLES = BANDS * ROWS
 DAMPING = 0.25
 COMMON = 1024
-REPORTED = 4096
-REPORTED_ROWS = 4 * REPORTED
+HELD_WORDS = 1_000_000
 _UNIT = np.float32(2.0**-24)
 
 
 def word_frequencies(df: DataFrame, text: str) -> DataFrame:
-    """(word, df): number of documents with the word, for words common enough."""
+    """(word, df): number of documents with the word, for every word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, counts, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        numbers, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for part in chunks(batches, 0):
             words = words_of(part.column(0))
             rows = np.repeat(np.arange(part.num_rows), np.diff(words.starts))
@@ -61,16 +60,15 @@ def word_frequencies(df: DataFrame, text: str) -> DataFrame:
             own, n = np.unique(own[new], return_counts=True)
             together, where = np.unique(np.concatenate([numbers, own]), return_inverse=True)
             counts = np.bincount(where, np.concatenate([counts, n]), len(together)).astype(np.int64)
-            numbers, seen = together, seen + part.num_rows
-            if seen >= REPORTED_ROWS:
-                yield reported(numbers, counts, seen)
-                numbers, counts, seen = numbers[:0], counts[:0], 0
-        yield reported(numbers, counts, seen)
-
-    def reported(numbers: np.ndarray, counts: np.ndarray, seen: int) -> pa.RecordBatch:
-        enough = counts * REPORTED >= seen
+            numbers = together
+            if len(numbers) >= HELD_WORDS:
+                yield reported(numbers, counts)
+                numbers, counts = numbers[:0], counts[:0]
+        yield reported(numbers, counts)
+
+    def reported(numbers: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(numbers[enough].view(np.int64)), pa.array(counts[enough])], names=["word", "df"]
+            [pa.array(numbers.view(np.int64)), pa.array(counts)], names=["word", "df"]
         )
 
     counted = df.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, "word long, df long")

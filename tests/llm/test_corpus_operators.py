@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.llm import mixing, packing, passages, pii, quality, suffixes, topk, urls
 from rowsieve.llm.common import table, word_count
-from rowsieve.llm.minhash import near_duplicates, one_of_each
+from rowsieve.llm.minhash import near_duplicates, one_of_each, word_frequencies
 from rowsieve.llm.queries import URL_RULES, word_tokenizer
 from rowsieve.llm.sharding import admit, ring_shards
 from rowsieve.llm.shingles import words_of
@@ -346,6 +346,13 @@ def test_near_duplicates(spark, docs, empty, rows):
     assert ids == Counter([*{want[key] for key in want}, None, 97, 97])
 
 
+def test_word_frequencies_count_every_document(spark):
+    # Two tasks of 4,300 documents; in the first, "rare" stands in fewer than 1 of 4,096.
+    rows = spark.range(0, 8600, 1, 2)
+    rows = rows.selectExpr("if(id = 7 or id >= 8595, 'rare plain rare', 'plain') AS text")
+    assert sorted(word_frequencies(rows, "text").toPandas()["df"]) == [6, 8600]
+
+
 def test_near_duplicates_without_or_with_shared_keys(spark):
     rng = random.Random(12)
     bases = [words(rng, 150) for _ in range(4)]
