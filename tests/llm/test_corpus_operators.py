@@ -6,18 +6,19 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rowsieve.llm import mixing, packing, passages, pii, quality, suffixes, topk, urls
+from rowsieve.llm import mixing, neighbours, packing, passages, pii, quality, suffixes, topk, urls
 from rowsieve.llm.common import table, word_count
 from rowsieve.llm.minhash import near_duplicates, one_of_each, word_frequencies
 from rowsieve.llm.queries import URL_RULES, word_tokenizer
 from rowsieve.llm.sharding import admit, ring_shards
-from rowsieve.llm.shingles import words_of
+from rowsieve.llm.shingles import similarity, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, start string, size long"
 SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe ri so tu va".split()
@@ -353,6 +354,62 @@ def test_word_frequencies_count_every_document(spark):
     assert sorted(word_frequencies(rows, "text").toPandas()["df"]) == [6, 8600]
 
 
+def test_finer_buckets_lose_no_similar_pair(spark):
+    rng = np.random.default_rng(5)
+    least, base = 0.8, rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = []
+    for _ in range(150):
+        kept = base[rng.random(len(base)) > rng.choice([0.0, 0.03, 0.06, 0.2])]
+        own = rng.integers(0, 2**63, rng.integers(0, 25)).astype(np.uint64)
+        numbers = np.unique(np.concatenate([kept, own]))
+        sets.append((numbers, (1 + 0.25 * (numbers % 7) / 7).astype(np.float32)))
+    crowd = np.zeros(1 << neighbours.SLOT_BITS, np.int64)
+    for numbers, _ in sets:
+        crowd += np.bincount(neighbours.slots(numbers), minlength=len(crowd))
+    cut = [neighbours.prefix(*one, crowd, least) for one in sets]
+    alike = unlike = unmade = 0
+    for a, b in combinations(range(len(sets)), 2):
+        small_, large = sorted((a, b), key=lambda at: sets[at][1].sum())
+        index = set(cut[small_][0][cut[small_][1]].tolist())
+        apart = sum(
+            int(one).bit_count()
+            for one in (neighbours.parities(sets[a][0]) ^ neighbours.parities(sets[b][0])).view(np.uint64)
+        ) * min(sets[a][1].min(), sets[b][1].min())
+        weight = float(sets[a][1].sum()) + float(sets[b][1].sum())
+        made = bool(index & set(cut[large][0].tolist())) and apart <= weight * (0.2 / 1.8 + 1e-5)
+        if similarity(sets[a], sets[b]) >= least:
+            alike += 1
+            assert made
+        else:
+            unlike += 1
+            unmade += not made
+    assert alike > 100 and unmade > 0.8 * unlike
+
+
+def test_template_texts_below_the_limit_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    base = words(rng, 150)
+    texts = []
+    for at in range(300):
+        own = list(base)
+        for place in rng.sample(range(0, 150, 5), 9):
+            own[place] = f"x{at}y{place}"
+        texts.append(" ".join(own))
+    made = []
+    compared = neighbours.compared
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(neighbours, "compared", counted)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # All share buckets, and all but a few pairs are less alike than the limit.
+    found = near_duplicates(rows, "doc_id").toPandas()
+    assert len(found) == 300
+    assert sum(made) < 20 * 300
+
+
 def test_near_duplicates_without_or_with_shared_keys(spark):
     rng = random.Random(12)
     bases = [words(rng, 150) for _ in range(4)]
