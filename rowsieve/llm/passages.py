@@ -164,12 +164,25 @@ def units(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def unit_counts(df: DataFrame, text: str) -> DataFrame:
+    """(a, n): how often units with this first hash stand in the texts, a row for each batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 0):
+            _, a, _ = unit_places(words_of(batch.column(0)))
+            hashed, n = np.unique(a.view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(n)], names=["a", "n"])
+
+    return df.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, "a long, n long")
+
+
 def repeated_units(df: DataFrame, key: str, text: str, gone: DataFrame) -> DataFrame:
     """The units that stand in several places, and their classes; ``gone`` has the doc, whole
     and place of lines that are removed."""
-    cut = stored(units(df, key, text))
-    several = cut.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = cut.join(small(stored(several.select("a", "b"))), ["a", "b"], "left_semi")
+    # Most units stand in one place: only hashes are counted, and the texts are cut again for
+    # the others. What has one hash in common but not both is told apart below.
+    several = unit_counts(df, text).groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1")
+    found = units(df, key, text).join(small(stored(several.select("a"))), "a", "left_semi")
     lines = found.withColumn("line", F.explode(F.sequence("place", "last")))
     gone = gone.select(
         F.col("doc").alias("_doc"), F.col("whole").alias("_whole"), F.col("place").alias("_line")

@@ -627,6 +627,18 @@ def test_passages_wrapped_and_embedded(spark):
         assert left[at].split()[0] == texts[at].split()[0]
 
 
+def test_unit_counts_are_those_of_the_units(spark):
+    rng = random.Random(3)
+    shared = words(rng, 60)
+    texts = [" ".join(words(rng, 40) + shared + words(rng, 9)).replace(" ", "\n", at) for at in range(5)]
+    texts += [None, "", "few words"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = Counter(row["a"] for row in passages.units(rows, "doc_id", "text").collect())
+    found = passages.unit_counts(rows, "text").groupBy("a").agg(F.sum("n").alias("n")).collect()
+    assert {row["a"]: row["n"] for row in found} == every
+    assert max(every.values()) == 5
+
+
 def test_shared_words_share_a_unit():
     rng = random.Random(3)
     run = words(rng, passages.UNIT_WORDS + passages.WINDOW - 1)
