@@ -11,7 +11,7 @@ source, size or repeated document makes a group larger; each group is packed by
 with a table of ``LENGTH`` counts. A group leaves a few sequences unfilled, one in thousands.
 
 Tokenisers are told apart by their file alone. Words (between white space) are tokenised once
-per task and remembered, up to ``REMEMBERED`` of them; this needs a tokeniser that never joins
+per Python worker, which Spark reuses for many tasks, and remembered, up to ``REMEMBERED`` of them; this needs a tokeniser that never joins
 characters across white space and drops it, which is checked by ``splits_at_blanks``.
 
 Defined cases: a NULL text is empty and gives one piece of its end token; repeated rows are
@@ -132,6 +132,11 @@ class WordTokens:
         return found
 
 
+@lru_cache(maxsize=1)
+def _word_tokens(path: str) -> WordTokens:
+    return WordTokens(path)
+
+
 def token_ids(texts: pa.Array, tokens: WordTokens) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts one after the other, and where each text begins (and the end)."""
     import pyarrow.compute as pc
@@ -161,7 +166,7 @@ def tokenised(df: DataFrame, key: str, text: str, path: str, length: int = LENGT
     schema += "ids binary, unit long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = _word_tokens(path)
         unit = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in chunks(iter([whole]), 1, CHUNK_WORDS):

@@ -534,6 +534,11 @@ def test_words_keep_their_tokens(spark):
         assert np.frombuffer(ids, "<u4").tolist() == own.encode(word, add_special_tokens=False).ids, word
 
 
+def test_words_are_remembered_across_tasks():
+    path = word_tokenizer()
+    assert packing._word_tokens(path) is packing._word_tokens(path)
+
+
 def test_sum_of_squares_prefers_rare_gaps():
     sequence, offset, made = packing.place_all(np.array([6, 6, 4, 4, 2]), 10)
     assert made == 3 and sorted(offset.tolist()) == [0, 0, 0, 6, 6]
