@@ -354,7 +354,7 @@ def test_word_frequencies_count_every_document(spark):
     assert sorted(word_frequencies(rows, "text").toPandas()["df"]) == [6, 8600]
 
 
-def test_finer_buckets_lose_no_similar_pair(spark):
+def test_finer_buckets_lose_no_similar_pair():
     rng = np.random.default_rng(5)
     least, base = 0.8, rng.integers(0, 2**63, 200).astype(np.uint64)
     sets = []
