@@ -2,29 +2,24 @@
 
 Texts are lower-cased (A-Z only), cut into pieces at ``.,;:!?`` and line breaks (line feed
 to return), and pieces into words at blanks and tabs. Every run of 1 to ``LONGEST`` words
-inside a piece is an n-gram. Counting them goes in four steps, all on Spark:
-
-1. **Fingerprints.** On the executors (``mapInPandas``), each word gets two 64-bit hashes,
-   and numpy prefix polynomials give every n-gram two fingerprints at once: with prefix
-   sums ``S[k] = sum over j < k of h[j] B^-j`` (mod 2^64), the n-gram at ``i`` is
-   ``B^(i+n-1) (S[i+n] - S[i])``. Each chunk of at most ``CHUNK`` words emits one row per
-   distinct fingerprint with its count and a pointer to its first occurrence, and a row
-   of word totals. A pointer is one long: Spark's 32-bit ``hash`` of the text, then the
-   number of the word, so that every aggregate below is on longs and hashes.
-2. **Shuffle.** Rows are summed by (lang, n, first fingerprint); the smallest and
-   largest second fingerprint and the smallest pointer come along. Only n-grams counted at
-   least ``LEAST_COUNT`` times go on, stored in the shared folder.
-3. **Verification.** Where one first fingerprint came with two second ones, different
-   n-grams collided: their texts are counted again, exactly, by their words (a broadcast
-   set of the colliding fingerprints where their number is below ``BROADCAST_FINGERPRINTS``,
-   a join beyond it). All others are materialised from their pointer: the documents whose
-   text hash a pointer names are joined (broadcast below the same bound, else shuffled),
-   the words are read at the pointer, and only words whose two fingerprints are those of
-   the n-gram count; other texts of the same 32-bit hash give nothing.
-4. **Scores**, per language, as joins of the frequent phrases with their parts.
-
-Only frequent n-grams are ever written as text. Two n-grams with both fingerprints equal
-(chance 2^-128 a pair) would still count as one.
+inside a piece is an n-gram. Counting them goes in three steps, all on Spark; each drops
+only n-grams that surely stay below ``LEAST_COUNT``:
+
+1. **Words** are counted by their text: each chunk of about ``CHUNK`` words emits one row
+   per distinct word (``mapInArrow``), and Spark sums them. An n-gram is found as often as its
+   rarest part at most, so n-grams with a rarer word go no further.
+2. **Fingerprints**, first of two words, then of three. On the executors (``mapInArrow``),
+   each word gets a 64-bit hash, and numpy prefix polynomials give every n-gram its
+   fingerprint at once: with prefix sums ``S[k] = sum over j < k of h[j] B^-j`` (mod 2^64),
+   the n-gram at ``i`` is ``B^(i+n-1) (S[i+n] - S[i])``. Each chunk emits one row
+   per distinct fingerprint, of two longs: fingerprint and count. Spark sums them. Different n-grams with one fingerprint are summed too, which only keeps more.
+   Three words need both pairs in them to be frequent.
+3. **Texts.** The n-grams whose fingerprints reached the count are counted again, by their
+   text, and this count alone is the result: a collision of fingerprints changes nothing.
+
+What is frequent reaches the tasks as a bitmap of ``BITMAP_BITS`` bits, whatever their
+number: each fingerprint sets the bit that its leading bits name. Where many are set, more
+n-grams go on to be counted, and none is lost.
 
 Scores (named query): candidates are phrases of 2 to 3 words with ``a = f >= 10``; cutting
 after k words gives ``l``, ``r`` and ``floor(1000000 a^2 / (l r))``, in decimal arithmetic of
@@ -39,49 +34,79 @@ are not read, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsieve.llm.common import full_text, small_batches, stored
+from rowsieve.llm.common import BITMAP_BITS, bitmap, in_bitmap, small_batches, stored
+from rowsieve.llm.shingles import mixed
 
 # Separators of pieces, and of words within pieces.
-PIECE_BREAKS = ".,;:!?\x0a\x0b\x0c\x0d"
-TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]")
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LOWERED = str.maketrans(UPPER, LOWER)
+PIECE_BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
+WORD_BREAKS = b"\x20\x09"
 UNKNOWN_LANG = "und"
 
 LONGEST = 3
 LEAST_COUNT = 10
 TOP = 2000
-CHUNK = 200_000
-BROADCAST_FINGERPRINTS = 500_000
-# Largest set of frequent words sent to the tasks that make fingerprints; beyond it every
-# n-gram is fingerprinted.
+CHUNK = 400_000
+# Bytes of text for each word of a chunk.
+BYTES_PER_WORD = 6
+# Largest bitmap sent to the tasks; below it every n-gram is fingerprinted.
 PRUNE_BYTES = 64 * 1024 * 1024
-# Odd bases of the two polynomials, and keys of the two word hashes.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-KEYS = ("rowsieve-phrase1", "rowsieve-phrase2")
-
-GRAMS = "lang string, n int, fp1 long, fp2 long, count long, at long"
-POSITION_BITS = 31
-
-
-def words_of(text: str | None) -> tuple[list[str], list[int]]:
-    """Words of a text and the number of the piece each stands in."""
-    words, pieces, piece = [], [], 0
-    for token in TOKEN.findall((text or "").translate(LOWERED)):
-        if token in PIECE_BREAKS:
-            piece += 1
-        else:
-            words.append(token)
-            pieces.append(piece)
-    return words, pieces
+# Odd base of the polynomials.
+BASE = 0x9E3779B97F4A7C15
+
+# What a byte is: of a word, a word break, a piece break. All breaks are ASCII.
+KINDS = np.zeros(256, dtype=np.uint8)
+KINDS[list(WORD_BREAKS)] = 1
+KINDS[list(PIECE_BREAKS)] = 2
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """The words of several texts of one language, as codes into ``spelled``, and the
+    number of the piece each stands in; pieces of different texts differ."""
+
+    codes: np.ndarray
+    pieces: np.ndarray
+    spelled: pa.Array
+
+
+def words_of(texts: bytes) -> Tokens:
+    """Words of lower-cased texts with a piece break between each two."""
+    data = np.frombuffer(texts, dtype=np.uint8)
+    kinds = KINDS[data]
+    inside = kinds == 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    letters = pa.py_buffer(np.ascontiguousarray(data[inside]))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), letters])
+    coded = words.dictionary_encode()
+    # Piece breaks up to each word.
+    breaks = np.searchsorted(np.flatnonzero(kinds == 2), starts)
+    return Tokens(coded.indices.to_numpy(zero_copy_only=False), breaks, coded.dictionary)
+
+
+def _salt(lang: str) -> np.uint64:
+    return pd.util.hash_array(np.array([lang], dtype=object), categorize=False).astype(np.uint64)[0]
+
+
+def word_hashes(tokens: Tokens, lang: str) -> np.ndarray:
+    """A hash of each word and its language."""
+    spelled = np.array(tokens.spelled.cast(pa.large_string()).to_pylist(), dtype=object)
+    if not len(spelled):
+        return np.empty(0, dtype=np.uint64)
+    hashed = pd.util.hash_array(spelled, categorize=False).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mixed(hashed + _salt(lang))[tokens.codes]
 
 
 def _powers(base: int, count: int) -> np.ndarray:
@@ -93,128 +118,107 @@ def _powers(base: int, count: int) -> np.ndarray:
     return out
 
 
-def fingerprints(words: list[str], pieces: list[int], n: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start positions of all n-grams inside pieces, and their two fingerprints."""
-    size = len(words) - n + 1
+def fingerprints(hashes: np.ndarray, pieces: np.ndarray, n: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Start positions of all n-grams inside pieces, and their fingerprints."""
+    size = len(hashes) - n + 1
     if size <= 0:
-        empty = np.empty(0, dtype=np.uint64)
-        return np.empty(0, dtype=np.int64), empty, empty
-    values = np.array(words, dtype=object)
-    starts = np.arange(size)
-    inside = np.asarray(pieces[n - 1 :]) == np.asarray(pieces[:size])
-    prints = []
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    starts = np.flatnonzero(pieces[n - 1 :] == pieces[:size])
     with np.errstate(over="ignore"):
-        for base, key in zip(BASES, KEYS):
-            h = pd.util.hash_array(values, hash_key=key, categorize=False).astype(np.uint64)
-            up = _powers(base, len(words))
-            down = _powers(pow(base, -1, 1 << 64), len(words))
-            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down, dtype=np.uint64)])
-            prints.append((prefix[starts + n] - prefix[starts]) * up[starts + n - 1])
-    first = prints[0] if bits >= 64 else prints[0] & np.uint64((1 << bits) - 1)
-    return starts[inside], first[inside], prints[1][inside]
-
-
-def _emit(
-    batches: Iterator[pd.DataFrame], bits: int, chunk: int, allowed: dict[str, set[str]] | None
-) -> Iterator[pd.DataFrame]:
-    """Fingerprint rows of the n-grams of 2 to ``LONGEST`` words whose words are all in
-    ``allowed`` of their language (all n-grams where ``allowed`` is None)."""
-    parts: list[dict] = []
-    held = 0
-
-    def flush() -> pd.DataFrame:
-        frame = pd.DataFrame({key: np.concatenate([p[key] for p in parts]) for key in parts[0]})
-        keys = ["lang", "n", "fp1", "fp2"]
-        grouped = frame.groupby(keys, sort=False)
-        first = grouped.head(1).set_index(keys)
-        first["count"] = grouped["weight"].sum()
-        out = first.reset_index()
-        return pd.DataFrame(
-            {
-                "lang": out["lang"].astype(object),
-                "n": out["n"].astype(np.int32),
-                "fp1": out["fp1"].to_numpy(np.uint64).view(np.int64),
-                "fp2": out["fp2"].to_numpy(np.uint64).view(np.int64),
-                "count": out["count"].astype(np.int64),
-                "at": (out["digest"].to_numpy(np.int64) << POSITION_BITS) | out["pos"].to_numpy(np.int64),
-            },
-            columns=["lang", "n", "fp1", "fp2", "count", "at"],
-        )
+        up, down = _powers(BASE, len(hashes)), _powers(pow(BASE, -1, 1 << 64), len(hashes))
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * down, dtype=np.uint64)])
+        prints = mixed((prefix[starts + n] - prefix[starts]) * up[starts + n - 1])
+    # The leading bits, which name a bit of the bitmap.
+    return starts, prints if bits >= 64 else prints & ~np.uint64((1 << (64 - bits)) - 1)
 
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[str, bytes]]:
+    """(lang, lower-cased texts) with about ``chunk`` words, cut only between pieces."""
+    size = max(chunk * BYTES_PER_WORD, 1)
     for batch in batches:
-        for lang, digest, text in zip(batch["lang"], batch["digest"], batch["text"]):
-            words, pieces = words_of(text)
-            known = None if allowed is None else allowed.get(lang, set())
-            for start in range(0, len(words), chunk):
-                # A chunk owns the n-grams that start in it; the next words complete them.
-                stop = min(len(words), start + chunk)
-                ws, ps = words[start : stop + LONGEST - 1], pieces[start : stop + LONGEST - 1]
-                frequent = None if known is None else np.array([w in known for w in ws], dtype=bool)
-                for n in range(2, LONGEST + 1):
-                    at, fp1, fp2 = fingerprints(ws, ps, n, bits)
-                    keep = at < stop - start
-                    if frequent is not None and len(at):
-                        whole = np.ones(len(ws) - n + 1, dtype=bool)
-                        for k in range(n):
-                            whole &= frequent[k : len(ws) - n + 1 + k]
-                        keep &= whole[at]
-                    at, fp1, fp2 = at[keep], fp1[keep], fp2[keep]
-                    parts.append(
-                        {
-                            "lang": np.full(len(at), lang, dtype=object),
-                            "n": np.full(len(at), n),
-                            "fp1": fp1,
-                            "fp2": fp2,
-                            "weight": np.ones(len(at), dtype=np.int64),
-                            "digest": np.full(len(at), digest, dtype=np.int64),
-                            "pos": at + start,
-                        }
-                    )
-                    held += len(at)
-                if held >= chunk:
-                    yield flush()
-                    parts, held = [], 0
-    if parts and held:
-        yield flush()
-
-
-def _materialise(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
-    """Phrases at the pointers of each document, where its words there have the n-gram's
-    fingerprints."""
-    for batch in batches:
-        rows = {"lang": [], "n": [], "fp1": [], "phrase": []}
-        for lang, text, pointers in zip(batch["lang"], batch["text"], batch["pointers"]):
-            words, pieces = words_of(text)
-            for pointer in pointers:
-                n, pos = pointer["n"], pointer["pos"]
-                if pointer["lang"] != lang or pos + n > len(words):
-                    continue
-                _, fp1, fp2 = fingerprints(words[pos : pos + n], pieces[pos : pos + n], n, bits)
-                if len(fp1) != 1 or int(fp1.view(np.int64)[0]) != pointer["fp1"] or int(fp2.view(np.int64)[0]) != pointer["fp2"]:
-                    continue
-                rows["lang"].append(lang)
-                rows["n"].append(n)
-                rows["fp1"].append(pointer["fp1"])
-                rows["phrase"].append(" ".join(words[pos : pos + n]))
-        yield pd.DataFrame(rows, columns=["lang", "n", "fp1", "phrase"]).astype({"n": np.int32, "fp1": np.int64})
-
-
-def _recount(batches: Iterator[pd.DataFrame], wanted: set[int] | None, bits: int) -> Iterator[pd.DataFrame]:
-    """(lang, n, fp1, phrase) of every n-gram whose first fingerprint is wanted."""
+        for lang in pc.unique(batch.column(0)).to_pylist():
+            own = batch.column(1).filter(pc.equal(batch.column(0), lang)).drop_null()
+            texts = "\n".join(own.to_pylist()).encode().lower()
+            start = 0
+            while start < len(texts):
+                stop = len(texts)
+                if stop - start > size:
+                    ahead = KINDS[np.frombuffer(texts, np.uint8, offset=start + size)] == 2
+                    at = int(ahead.argmax())
+                    stop = start + size + at + 1 if ahead[at] else stop
+                yield lang, texts[start:stop]
+                start = stop
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """Bitmaps of what was found often enough: words, pairs, triples; None where unknown."""
+
+    bits: int
+    maps: dict[int, np.ndarray]
+
+    def among(self, n: int, prints: np.ndarray) -> np.ndarray:
+        known = self.maps.get(n)
+        return np.ones(len(prints), dtype=bool) if known is None else in_bitmap(known, prints)
+
+    def grams(self, hashes: np.ndarray, pieces: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those n-grams of which all parts that were counted are frequent."""
+        starts, prints = fingerprints(hashes, pieces, n, self.bits)
+        if n > 1 and self.maps.get(n - 1) is not None:
+            shorter = np.zeros(len(hashes) + 1, dtype=bool)
+            if n == 2:
+                shorter[:-1] = self.among(1, hashes)
+            else:
+                at, parts = self.grams(hashes, pieces, n - 1)
+                shorter[at] = self.among(n - 1, parts)
+            keep = shorter[starts] & shorter[starts + 1]
+            starts, prints = starts[keep], prints[keep]
+        return starts, prints
+
+
+def _count(batches: Iterator[pa.RecordBatch], n: int, frequent: Frequent, chunk: int) -> Iterator[pa.RecordBatch]:
+    """(fp, count) of the n-grams in each chunk."""
+    for lang, texts in _chunks(batches, chunk):
+        tokens = words_of(texts)
+        _, prints = frequent.grams(word_hashes(tokens, lang), tokens.pieces, n)
+        found, counts = np.unique(prints, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["fp", "count"])
+
+
+def _recount(batches: Iterator[pa.RecordBatch], frequent: Frequent, chunk: int) -> Iterator[pa.RecordBatch]:
+    """(lang, n, phrase, count) of the frequent n-grams in each chunk, by their words."""
+    for lang, texts in _chunks(batches, chunk):
+        tokens = words_of(texts)
+        hashes = word_hashes(tokens, lang)
+        for n in range(2, LONGEST + 1):
+            starts, prints = frequent.grams(hashes, tokens.pieces, n)
+            starts = starts[frequent.among(n, prints)]
+            if not len(starts):
+                continue
+            # Equal n-grams have equal words: their codes are merged one word at a time.
+            keys = tokens.codes[starts].astype(np.int64)
+            for k in range(1, n):
+                _, keys = np.unique(keys * len(tokens.spelled) + tokens.codes[starts + k], return_inverse=True)
+            _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            words = [tokens.spelled.take(pa.array(tokens.codes[starts[first] + k])) for k in range(n)]
+            phrases = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(first), pa.string()),
+                    pa.array(np.full(len(first), n, dtype=np.int32)),
+                    phrases.cast(pa.large_string()).cast(pa.string()),
+                    pa.array(counts.astype(np.int64)),
+                ],
+                names=["lang", "n", "phrase", "count"],
+            )
+
+
+def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = {"lang": [], "n": [], "fp1": [], "phrase": []}
-        for lang, text in zip(batch["lang"], batch["text"]):
-            words, pieces = words_of(text)
-            for n in range(2, LONGEST + 1):
-                at, fp1, _ = fingerprints(words, pieces, n, bits)
-                signed = fp1.view(np.int64)
-                for start, fp in zip(at.tolist(), signed.tolist()):
-                    if wanted is None or fp in wanted:
-                        out["lang"].append(lang)
-                        out["n"].append(n)
-                        out["fp1"].append(fp)
-                        out["phrase"].append(" ".join(words[start : start + n]))
-        yield pd.DataFrame(out, columns=["lang", "n", "fp1", "phrase"]).astype({"n": np.int32, "fp1": np.int64})
+        for lang in pc.unique(batch.column(0)).to_pylist():
+            own = batch.column(1).filter(pc.equal(batch.column(0), lang)).cast(pa.large_binary())
+            hashes = word_hashes(Tokens(np.arange(len(own)), np.zeros(len(own)), own), lang)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["fp"])
 
 
 def frequent_phrases(
@@ -226,78 +230,49 @@ def frequent_phrases(
 ) -> DataFrame:
     """lang, n, phrase, f: every n-gram of 1 to ``LONGEST`` words found ``LEAST_COUNT``
     times or more in its language, and one row of n = 0 per language with its word count
-    as f (phrase NULL). ``bits`` shortens the first fingerprint, for tests of collisions."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    as f (phrase NULL). ``bits`` shortens the fingerprints, for tests of collisions."""
+    small_batches(docs.sparkSession)
     source = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"),
-        # 32 bits, as the pointer's place for it.
-        F.hash(full_text(text)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("digest"),
-        F.col(text).alias("text"),
+        F.col(text).cast("string").alias("text"),
     )
-    # Words are counted by Spark itself. An n-gram is found as often as its rarest word at
-    # most, so only n-grams of words found LEAST_COUNT times need fingerprints: a cut that
-    # loses none of the n-grams that can reach the count.
-    words = stored(_word_counts(source))
+    words = stored(_word_counts(source, chunk))
     totals = words.groupBy("lang").agg(F.sum("f").alias("f")).select(
         "lang", F.lit(0).alias("n"), F.lit(None).cast("string").alias("phrase"), "f"
     )
-    singles = words.filter(F.col("f") >= LEAST_COUNT).select("lang", F.lit(1).alias("n"), F.col("word").alias("phrase"), "f")
-    size = singles.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("b")).first()
-    allowed = None
-    if 64 * size["n"] + size["b"] <= PRUNE_BYTES:
-        allowed = {}
-        for row in singles.select("lang", "phrase").collect():
-            allowed.setdefault(row["lang"], set()).add(row["phrase"])
-    grams = source.mapInPandas(lambda it: _emit(it, bits, chunk, allowed), GRAMS)
-    counted = grams.groupBy("lang", "n", "fp1").agg(
-        F.sum("count").alias("f"),
-        F.min("fp2").alias("lo"),
-        F.max("fp2").alias("hi"),
-        F.min("at").alias("at"),
+    often = F.col("f") >= LEAST_COUNT
+    singles = words.filter(often).select("lang", F.lit(1).alias("n"), F.col("word").alias("phrase"), "f")
+    prune = BITMAP_BITS // 8 <= PRUNE_BYTES
+    maps = {}
+    if prune:
+        maps[1] = bitmap(singles.select("lang", "phrase").mapInArrow(_hash_words, "fp long"), "fp")
+    for n in range(2, LONGEST + 1):
+        if prune:
+            known = Frequent(bits, dict(maps))
+            grams = source.mapInArrow(lambda it, n=n, known=known: _count(it, n, known, chunk), "fp long, count long")
+            counted = grams.groupBy("fp").agg(F.sum("count").alias("f"))
+            maps[n] = bitmap(stored(counted.filter(often).select("fp")), "fp")
+    known = Frequent(bits, maps)
+    named = source.mapInArrow(
+        lambda it: _recount(it, known, chunk), "lang string, n int, phrase string, count long"
     )
-    kept = stored(counted.filter(F.col("f") >= LEAST_COUNT))
-    clean = kept.filter(F.col("lo") == F.col("hi"))
-    place = F.col("at").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
-    pointers = clean.groupBy(F.shiftright("at", POSITION_BITS).alias("_digest")).agg(
-        F.collect_list(F.struct("lang", "n", "fp1", F.col("lo").alias("fp2"), place.alias("pos"))).alias("pointers")
-    )
-    # Each frequent n-gram makes one pointer, so their count bounds what is broadcast.
-    if clean.count() <= BROADCAST_FINGERPRINTS:
-        pointers = F.broadcast(pointers)
-    pointed = source.join(pointers, source["digest"] == pointers["_digest"]).select("lang", "text", "pointers")
-    named = (
-        pointed.mapInPandas(lambda it: _materialise(it, bits), "lang string, n int, fp1 long, phrase string")
-        .groupBy("lang", "n", "fp1")
-        .agg(F.min("phrase").alias("phrase"))
-    )
-    found = clean.join(named, ["lang", "n", "fp1"]).select("lang", "n", "phrase", "f")
-    collided = stored(kept.filter(F.col("lo") != F.col("hi")).select("lang", "n", "fp1"))
-    clashes = collided.count()
-    if clashes:
-        wanted = None
-        if clashes <= BROADCAST_FINGERPRINTS:
-            wanted = {row["fp1"] for row in collided.select("fp1").distinct().collect()}
-        texts = source.select("lang", "text").mapInPandas(
-            lambda it: _recount(it, wanted, bits), "lang string, n int, fp1 long, phrase string"
-        )
-        exact = (
-            texts.join(collided, ["lang", "n", "fp1"], "left_semi")
-            .groupBy("lang", "n", "phrase")
-            .agg(F.count(F.lit(1)).alias("f"))
-            .filter(F.col("f") >= LEAST_COUNT)
-        )
-        found = found.unionByName(exact)
-    return found.unionByName(singles).unionByName(totals)
-
-
-def _word_counts(source: DataFrame) -> DataFrame:
-    """lang, word, f: every word of every text, counted by built-in functions."""
-    lowered = F.translate(full_text("text"), UPPER, LOWER)
-    pieces = F.split(lowered, r"[.,;:!?\x0A-\x0D]")
-    words = F.flatten(F.transform(pieces, lambda piece: F.split(piece, r"[\x20\x09]+")))
-    found = source.select("lang", F.explode(words).alias("word")).filter(F.col("word") != "")
-    return found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f"))
+    found = named.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("f")).filter(often)
+    return stored(found).unionByName(singles).unionByName(totals)
+
+
+def _word_counts(source: DataFrame, chunk: int) -> DataFrame:
+    """lang, word, f: every word of every text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in _chunks(batches, chunk):
+            tokens = words_of(texts)
+            spelled = tokens.spelled.cast(pa.large_string()).cast(pa.string())
+            found = np.bincount(tokens.codes, minlength=len(spelled))
+            langs = pa.array([lang] * len(spelled), pa.string())
+            yield pa.RecordBatch.from_arrays([langs, spelled, pa.array(found)], names=["lang", "word", "count"])
+
+    found = source.mapInArrow(count, "lang string, word string, count long")
+    return found.groupBy("lang", "word").agg(F.sum("count").alias("f"))
 
 
 def collocations(phrases: DataFrame, top: int = TOP) -> DataFrame:

@@ -6,9 +6,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from rowsieve.llm import phrases
+from rowsieve.llm import common, phrases
 
 SCHEMA = "doc_id long, text string, lang string, fp1 long, digest string, n int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -104,3 +106,31 @@ def test_without_pruning(spark, monkeypatch):
     monkeypatch.setattr(phrases, "PRUNE_BYTES", 0)
     rows = corpus(random.Random(5))
     assert run(spark, rows) == brute(rows)
+
+
+def test_triples_need_frequent_pairs():
+    """Only triples whose pairs are both frequent make rows to shuffle, and these rows hold
+    two longs."""
+    text = "a b c. a b x"
+    tokens = phrases.words_of(text.encode())
+    hashes = phrases.word_hashes(tokens, "en")
+    _, pairs = phrases.fingerprints(hashes, tokens.pieces, 2)
+
+    def bits(of):
+        out = np.zeros(common.BITMAP_BITS // 64, dtype=np.uint64)
+        place = of >> np.uint64(64 - 27)
+        np.bitwise_or.at(out, (place >> np.uint64(6)).astype(int), np.uint64(1) << (place & np.uint64(63)))
+        return out
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], names=["lang", "text"])
+    for known, rows in ((pairs[:2], 1), (pairs[:1], 0), (pairs, 2)):
+        frequent = phrases.Frequent(64, {1: bits(hashes), 2: bits(known)})
+        out = list(phrases._count(iter([batch]), 3, frequent, 100))
+        assert sum(b.num_rows for b in out) == rows
+        assert all(b.schema.types == [pa.int64(), pa.int64()] for b in out)
+
+
+def test_full_bitmap_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "BITMAP_BITS", 128)
+    rows = corpus(random.Random(11))
+    assert run(spark, rows) == brute(rows)
