@@ -31,9 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsieve.llm.common import (
+    BITMAP_BITS,
     LEAST_SIMILARITY,
     WORD,
     WORDS_PER_SHINGLE,
+    bitmap,
+    in_bitmap,
+    passing,
     small_batches,
     stored,
 )
@@ -110,16 +114,24 @@ def shingle_sets(parts: pa.Array) -> list:
     return [(own, np.ones(len(own), dtype=np.float32)) for own in sets]
 
 
+def _over(best: np.ufunc, numbers: np.ndarray) -> np.ndarray:
+    """The least or highest of any ``WINDOW`` numbers in a row."""
+    size = len(numbers) - WINDOW + 1
+    out = numbers[:size]
+    for step in range(1, WINDOW):
+        out = best(out, numbers[step : size + step])
+    return out
+
+
 def unit_places(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the first words of all units, and two hashes of each one's words."""
     numbers, first, begins = shingles_of(words)
     if len(numbers) <= UNIT_WORDS - WORDS_PER_SHINGLE:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     own = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    view = np.lib.stride_tricks.sliding_window_view
-    least = np.where(own[: 1 - WINDOW] == own[WINDOW - 1 :], view(numbers, WINDOW).min(axis=1), 0)
+    least = np.where(own[: 1 - WINDOW] == own[WINDOW - 1 :], _over(np.minimum, numbers), np.uint64(0))
     edge = np.zeros(WINDOW - 1, np.uint64)
-    highest = view(np.concatenate([edge, least.astype(np.uint64), edge]), WINDOW).max(axis=1)
+    highest = _over(np.maximum, np.concatenate([edge, least, edge]))
     whole = first + UNIT_WORDS <= words.starts[1:][own]
     at = np.flatnonzero((numbers == highest) & whole)
     hashes = []
@@ -131,8 +143,9 @@ def unit_places(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first[at], *hashes
 
 
-def units(df: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, whole, first and last line, first word, and two hashes of all units."""
+def units(df: DataFrame, key: str, text: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """doc, whole, first and last line, first word, and two hashes of all units, or of those
+    whose first hash has its bit in the bitmap ``wanted``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 2):
@@ -141,6 +154,9 @@ def units(df: DataFrame, key: str, text: str) -> DataFrame:
             words = words_of(lines.flatten())
             starts = words.starts[offsets]
             at, a, b = unit_places(Words(words.numbers, starts))
+            if wanted is not None:
+                kept = in_bitmap(wanted, a)
+                at, a, b = at[kept], a[kept], b[kept]
             row = np.searchsorted(starts, at, side="right") - 1
             ends = (at, at + UNIT_WORDS - 1)
             line = [np.searchsorted(words.starts, end, side="right") - 1 - offsets[row] for end in ends]
@@ -176,37 +192,49 @@ def unit_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, "a long, n long")
 
 
+def removed_lines(gone: DataFrame) -> DataFrame:
+    """doc, whole and ``bits``: 64 lines a long, where the bit of each removed one is set."""
+    bit = F.expr("shiftleft(1L, int(place % 64))")
+    longs = gone.groupBy("doc", "whole", (F.col("place") / 64).cast("int").alias("at")).agg(
+        F.bit_or(bit).alias("bits")
+    )
+    found = longs.groupBy("doc", "whole").agg(
+        F.max("at").alias("last"), F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("by")
+    )
+    dense = F.transform(
+        F.sequence(F.lit(0), "last"), lambda at: F.coalesce(F.element_at("by", at), F.lit(0).cast("long"))
+    )
+    return found.select("doc", "whole", dense.alias("bits"))
+
+
 def repeated_units(df: DataFrame, key: str, text: str, gone: DataFrame) -> DataFrame:
     """The units that stand in several places, and their classes; ``gone`` has the doc, whole
     and place of lines that are removed."""
     # Most units stand in one place: only hashes are counted, and the texts are cut again for
-    # the others. What has one hash in common but not both is told apart below.
+    # the others, of which a bitmap keeps most from being shuffled. What has one hash in common
+    # but not both, or only its bit, is told apart below.
     several = unit_counts(df, text).groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1")
-    found = units(df, key, text).join(small(stored(several.select("a"))), "a", "left_semi")
-    lines = found.withColumn("line", F.explode(F.sequence("place", "last")))
-    gone = gone.select(
-        F.col("doc").alias("_doc"), F.col("whole").alias("_whole"), F.col("place").alias("_line")
-    ).distinct()
-    same = (
-        F.col("doc").eqNullSafe(F.col("_doc"))
-        & (F.col("whole") == F.col("_whole"))
-        & (F.col("line") == F.col("_line"))
+    several = stored(several.select("a"))
+    found = units(df, key, text, bitmap(several, "a"))
+    if several.count() > BITMAP_BITS // 8:
+        # Too many bits are set to tell much.
+        found = found.join(several, "a", "left_semi")
+    bits = removed_lines(gone).select(F.struct("doc", "whole").alias("id"), "bits")
+    met = found.select(F.struct("doc", "whole").alias("id"), *found.columns[2:]).join(bits, "id", "left")
+    # One exchange: the units of a text are with the text's removed lines.
+    removed = F.filter(
+        F.sequence("place", "last"),
+        lambda line: F.getbit(F.get("bits", (line / 64).cast("int")), F.pmod(line, F.lit(64))) == 1,
     )
-    own = F.struct(F.col("doc").isNull().alias("none"), "doc", "place", "first_word")
+    removed = F.coalesce(F.when(F.col("bits").isNotNull(), F.size(removed)), F.lit(0))
+    own = F.struct(F.col("id.doc").isNull().alias("none"), F.col("id.doc").alias("doc"), "place", "first_word")
     marked = (
-        lines.join(gone, same, "left")
-        .groupBy("doc", "whole", "place", "last", "first_word", "a", "b")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("_line").alias("removed"))
-        .filter("removed < n")
-        .select(
-            "a",
-            "b",
-            (F.col("removed") > 0).alias("torn"),
-            own.alias("key"),
-            # Repeated rows have their units in common.
-            (F.col("n") / (F.col("last") - F.col("place") + 1)).cast("long").alias("copies"),
-            "whole",
-        )
+        met.select("id", *found.columns[2:], removed.alias("removed"))
+        .filter(F.col("removed") <= F.col("last") - F.col("place"))
+        .groupBy("id", "place", "first_word", "a", "b", "removed")
+        # Repeated rows have their units in common.
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .select("a", "b", (F.col("removed") > 0).alias("torn"), own.alias("key"), "copies", "id.whole")
     )
     marked = stored(marked)
     tops = marked.groupBy("a", "b").agg(
@@ -218,9 +246,8 @@ def repeated_units(df: DataFrame, key: str, text: str, gone: DataFrame) -> DataF
     )
 
 
-def _passages(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    small_batches(df.sparkSession)
-    lines = paragraphs(df, key, text)
+def _similar_lines(lines: DataFrame, least: float) -> DataFrame:
+    """The lines that are like another, and their classes."""
     signed = signatures(lines, tuned_bands(least))
     # NULL keys last, as structs sort NULLs first.
     own = F.struct(F.col("doc").isNull().alias("none"), "doc", "place")
@@ -231,20 +258,25 @@ def _passages(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
         return lines.select(own.alias("first"), "text").join(wanted, "first")
 
     found = classes(signed, texts_of, shingle_sets, similarity, least).filter("size > 1")
-    whole_lines = stored(
-        signed.select("key", "whole", "digest").join(found, "digest").select(
-            F.col("key.doc").alias("doc"),
-            F.col("key.place").alias("place"),
-            F.col("class.doc").alias("class_key"),
-            F.col("class.place").alias("class_place"),
-            "size",
-            "links",
-            (F.col("key") != F.col("class")).alias("removed"),
-            F.lit(None).cast("long").alias("first_word"),
-            F.lit(None).cast("int").alias("words"),
-            "whole",
-        )
+    return signed.select("key", "whole", "digest").join(found, "digest").select(
+        F.col("key.doc").alias("doc"),
+        F.col("key.place").alias("place"),
+        F.col("class.doc").alias("class_key"),
+        F.col("class.place").alias("class_place"),
+        "size",
+        "links",
+        (F.col("key") != F.col("class")).alias("removed"),
+        F.lit(None).cast("long").alias("first_word"),
+        F.lit(None).cast("int").alias("words"),
+        "whole",
     )
+
+
+def _passages(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    small_batches(df.sparkSession)
+    lines = paragraphs(df, key, text)
+    with passing(df.sparkSession) as keep:
+        whole_lines = keep(_similar_lines(lines, least))
     inside = repeated_units(df, key, text, whole_lines.filter("removed"))
     return whole_lines.unionByName(
         inside.select(

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowsieve.llm import mixing, neighbours, packing, passages, pii, quality, suffixes, topk, urls
-from rowsieve.llm.common import table, word_count
+from rowsieve.llm.common import bitmap, passing, stored_at, table, word_count
 from rowsieve.llm.minhash import near_duplicates, one_of_each, word_frequencies
 from rowsieve.llm.queries import URL_RULES, word_tokenizer
 from rowsieve.llm.sharding import admit, ring_shards
@@ -644,6 +644,54 @@ def test_unit_counts_are_those_of_the_units(spark):
     assert max(every.values()) == 5
 
 
+def test_units_that_stand_once_are_not_shuffled(spark):
+    rng = random.Random(4)
+    shared = words(rng, 60)
+    texts = [" ".join(words(rng, 300) + shared * (at < 2) + words(rng, 300)) for at in range(5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = passages.units(rows, "doc_id", "text").collect()
+    times = Counter(row["a"] for row in every)
+    several = spark.createDataFrame([(a,) for a, n in times.items() if n > 1], "a long")
+    found = passages.units(rows, "doc_id", "text", bitmap(several, "a")).collect()
+    assert sorted(found) == sorted(row for row in every if times[row["a"]] > 1)
+    assert 0 < len(found) < len(every) / 4
+
+
+def test_lines_of_units_are_found_among_many(spark):
+    """Units beyond the first 64 lines, some of them in lines that are removed."""
+    rng = random.Random(6)
+    lines = [" ".join(words(rng, 25)) for _ in range(150)]
+    texts = ["\n".join(lines), "\n".join([" ".join(words(rng, 6)), *lines[70:]])]
+    rows = spark.createDataFrame([*enumerate(texts), (None, texts[1])], "doc_id long, text string")
+    gone = passages.removed_lines(
+        spark.createDataFrame(
+            [(d, hash_of, at) for d, hash_of, ats in ((0, 5, [0, 63, 64, 149]), (None, 6, [1])) for at in ats],
+            "doc long, whole long, place int",
+        )
+    )
+    want = {(0, 5): {0, 63, 64, 149}, (None, 6): {1}}
+    for row in gone.collect():
+        found = {64 * at + bit for at, own in enumerate(row.bits) for bit in range(64) if own >> bit & 1}
+        assert found == want.pop((row.doc, row.whole))
+    assert not want
+    got = passages.repeated_passages(rows, "doc_id").collect()
+    removed = {(row.doc_id, row.place) for row in got if row.first_word is None and row.removed}
+    assert removed == {(1, at) for at in range(1, 81)} | {(None, at) for at in range(81)}
+    # A unit inside a removed line is left out; those across two lines are inside removed ones too.
+    units = [row for row in got if row.first_word is not None]
+    assert all((row.doc_id, row.place) not in removed for row in units)
+
+
+def test_passing_tables_are_deleted(spark):
+    rows = spark.range(5)
+    with passing(spark) as keep:
+        gone = stored_at(rows)[1]
+        left = keep(rows)
+    assert left.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(gone)
+
+
 def test_shared_words_share_a_unit():
     rng = random.Random(3)
     run = words(rng, passages.UNIT_WORDS + passages.WINDOW - 1)
