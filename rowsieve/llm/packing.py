@@ -107,12 +107,12 @@ class WordTokens:
             known.clear()
         parts: dict[str, tuple[str, str]] = {}
         plain, other = set(), set()
-        for word in words:
-            if word in known:
-                continue
+        for word in [word for word in words if word not in known]:
             stop = word[-1:] if word[-1:] in _STOPS else ""
             stem = word[:-1] if stop else word
-            if self.folds and _LETTERS.fullmatch(stem):
+            # Most words are plain letters, which need no pattern.
+            ascii_word = stem.isascii() and stem.isalpha() and len(stem) <= LONGEST_REMEMBERED
+            if self.folds and (ascii_word or _LETTERS.fullmatch(stem)):
                 stem = stem.lower()
                 parts[word] = stem, stop
                 plain.add(stem)
@@ -143,9 +143,10 @@ def token_ids(texts: pa.Array, tokens: WordTokens) -> tuple[np.ndarray, np.ndarr
 
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    # Far cheaper than a Python list of scalars, one after the other.
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     ids = tokens.of(words)
-    lengths = np.fromiter((len(one) // 4 for one in ids), dtype=np.int64, count=len(ids))
+    lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
     pool = np.frombuffer(b"".join(ids), dtype="<u4")
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(ids) else np.zeros(0, np.int64)
     codes = coded.indices.to_numpy(zero_copy_only=False)

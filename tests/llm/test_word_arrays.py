@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from rowsieve.llm import shingles
+from rowsieve.llm import packing, shingles
 
 TEXTS = ["One two,  one\tTWO\n", None, "", "Ärger à Ωmega 12 two", " x" * 70 + "y" * 70]
 
@@ -48,3 +48,22 @@ def test_words_leave_arrow_as_one_array(no_scalars, texts):
     hashed = pd.util.hash_array(np.array(want, dtype=object), categorize=False) if want else []
     assert found.numbers.tolist() == list(hashed)
     assert np.diff(found.starts).tolist() == [len((text or "").split()) for text in texts]
+
+
+def test_plain_letters_need_no_pattern(no_scalars, monkeypatch):
+    from rowsieve.llm.queries import word_tokenizer
+
+    tokens = packing.WordTokens(word_tokenizer())
+    assert tokens.folds
+    tried = []
+
+    class Pattern:
+        def fullmatch(self, word, plain=packing._LETTERS):
+            tried.append(word)
+            return plain.fullmatch(word)
+
+    monkeypatch.setattr(packing, "_LETTERS", Pattern())
+    ids, begins = packing.token_ids(pa.array(TEXTS, pa.string()), tokens)
+    assert sorted(tried) == sorted(["", "12", "x" + "y" * 70, "Ärger", "à", "Ωmega"])
+    for text, a, b in zip(TEXTS, begins, begins[1:]):
+        assert ids[a:b].tolist() == tokens.tokenizer.encode(text or "", add_special_tokens=False).ids
