@@ -137,3 +137,15 @@ def test_nothing_to_learn(spark, monkeypatch):
 
 def test_empty_table(spark, monkeypatch):
     assert run(spark, [], monkeypatch, 4, 1) == []
+
+
+def test_a_round_weighs_only_words_that_may_move(spark):
+    rows = [(word_id(a) % 2**62, word_id(b) % 2**62, 1) for a, b in ["ab", "bc", "ca", "cb"]]
+    pairs = spark.createDataFrame(rows, "prev long, cur long, n long")
+    words = sorted({cur for _, cur, _ in rows})
+    assigned = spark.createDataFrame([(w, w % 4, 1, 0.0) for w in words], "word long, class int, count long, f double")
+    moved = brown._round(pairs, assigned, brown._follows(pairs, assigned), 4, 0)
+    # Bigrams of the other half of the words meet no class.
+    lines = moved._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Filter" in line and "shiftrightunsigned(cur" in line for line in lines)
+    assert sorted(row["word"] for row in moved.collect()) == words
