@@ -218,7 +218,8 @@ def repeated_units(df: DataFrame, key: str, text: str, gone: DataFrame) -> DataF
     found = units(df, key, text, bitmap(several, "a"))
     if several.count() > BITMAP_BITS // 8:
         # Too many bits are set to tell much.
-        found = found.join(several, "a", "left_semi")
+        # A join by name puts that column first.
+        found = found.join(several, "a", "left_semi").select(*found.columns)
     bits = removed_lines(gone).select(F.struct("doc", "whole").alias("id"), "bits")
     met = found.select(F.struct("doc", "whole").alias("id"), *found.columns[2:]).join(bits, "id", "left")
     # One exchange: the units of a text are with the text's removed lines.
